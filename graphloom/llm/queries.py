@@ -22,8 +22,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(documents(spark, sf_dir), tokenizer_file())
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.token_counts import token_counts
+
+    return token_counts(documents(spark, sf_dir), tokenizer_file(), limit=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_token_counts": op2_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
