@@ -1,19 +1,26 @@
 """Encoding with the tokenizers library, each distinct word once.
 
-Byte-level BPE never merges over a blank that a visible character follows, so a text may be cut there
-and the pieces encoded alone. Pieces repeat; what the library gave for one is kept for the next. Texts
-that hold one of the tokenizer's special strings go to the library whole.
+Byte-level BPE with its usual splitting pattern never merges over a blank that a visible character
+follows, nor over a line feed between two visible characters. So a text is cut there, and the pieces are
+encoded alone. Pieces repeat; what the library gave for one is kept for the next. Texts that hold one of
+the tokenizer's special strings go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 
 import numpy as np
 
-#: A blank before a character that no definition of white space includes. Fewer cuts are always safe.
-CUT = re.compile(" (?=[!-~À-ɏ])")
+#: Characters that no definition of white space includes. Fewer cuts are always safe.
+SEEN = "!-~À-ɏ"
+#: In pieces, FEED stands for a line feed where the others begin with a blank.
+FEED = "\x00"
+CUT = re.compile(f" (?=[{SEEN}{FEED}])")
+LONE = re.compile(f"{FEED}|\n(?![{SEEN}])|[^{SEEN}]\n")
 
 
 def load_tokenizer(path: str):
@@ -30,11 +37,9 @@ class Encoder:
     keep: most pieces that are remembered. Pieces met in one batch only are forgotten first.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         self.tok = load_tokenizer(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        import json
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -42,27 +47,54 @@ class Encoder:
         added = [a["content"] for a in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.keep, self.cache, self.once = keep, {}, set()
+        self.feed = self._library(["\n"])[0] if self.cuttable else b""
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str], run: int = 4000) -> None:
+        """Ids of unknown pieces into the cache. Those without white space inside are encoded in runs, a line feed
+        between each two: it is always a token of its own there, so the ids can be told apart again."""
+        plain, other = [], []
+        for x in pieces:
+            if x[1 if x[0] == FEED else 0 :].isprintable() and x[-1] != " ":
+                plain.append(x)
+            else:
+                other.append(x)
+        self.cache.update(zip(other, self._library(["\n" + x[1:] if x[0] == FEED else " " + x for x in other])))
+        size = self.dtype.itemsize
+        for i in range(0, len(plain), run):
+            part = plain[i : i + run]
+            raw = self._library(["\n".join([x[1:] if x[0] == FEED else " " + x for x in part])])[0]
+            at = (np.nonzero(np.frombuffer(raw, self.dtype) == np.frombuffer(self.feed, self.dtype)[0])[0] * size).tolist()
+            begin = 0
+            for x, end in zip(part, (*at, len(raw))):
+                self.cache[x] = self.feed + raw[begin:end] if x[0] == FEED else raw[begin:end]
+                begin = end + size
+            if len(at) != len(part) - 1:
+                raise AssertionError("pieces ran together")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.cuttable:
             return self._library([t or "" for t in texts])
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and self.special and self.special.search(t)]
+        whole, rest, heads, tails = [], [], [], []
+        for i, t in enumerate(texts):
+            t = t or ""
+            if self.special and self.special.search(t):
+                whole.append(i)
+            else:
+                rest.append(i)
+                cut = CUT.split(t if LONE.search(t) else t.replace("\n", " " + FEED))
+                heads.append(cut[0])
+                del cut[0]
+                tails.append(cut)
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
-        rest = [i for i, x in enumerate(out) if x is None]
-        heads, tails = [], []
-        for i in rest:
-            head, *tail = CUT.split(texts[i] or "")
-            heads.append(head)
-            tails.append(tail)
         seen = set().union(*tails)
         missing = list(seen.difference(self.cache))
         self.once.difference_update(seen)
-        self.cache.update(zip(missing, self._library([" " + x for x in missing])))
+        self._learn(missing)
         self.once.update(missing)
         at = self.cache.__getitem__
         for i, head, tail in zip(rest, self._library(heads), tails):
