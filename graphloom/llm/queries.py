@@ -28,9 +28,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_file(), limit=1024)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.simhash import simhash_components
+
+    return simhash_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLES: dict[str, str] = {}
