@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm.common import documents
+from graphloom.llm.common import documents, scratch
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -34,10 +35,36 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.line_dedup import ADDED, dedup_lines
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = dedup_lines(docs, scratch(spark, "lines"), min_docs=5, min_chars=40)
+    return out.select("doc_id", *(F.col(c).alias(c[2:]) for c in ADDED))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
     "op4_simhash": op4_simhash,
+    "op5_line_dedup": op5_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": f"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+  from documents),
+keyed as (
+  select *, translate(trim(line, {_WS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+hot as (
+  select key, max(doc_id) as keeper from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+marked as (
+  select k.*, h.key is not null and k.doc_id <> h.keeper as gone from keyed k left join hot h on k.key = h.key)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+""",
+}
