@@ -43,11 +43,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(c).alias(c[2:]) for c in ADDED))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.sharding import balanced_shards
+
+    return balanced_shards(documents(spark, sf_dir), n_shards=40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
+    "op7_sharding": op7_sharding,
 }
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
