@@ -102,7 +102,7 @@ def balanced_shards(docs: DataFrame, n_shards: int = 40, overhead: int = 16) ->
         task = pa.array(np.full(len(bins), TaskContext.get().partitionId(), np.int32))
         yield from pa.table([table.column("g1"), table.column("g2"), table.column("bytes"), task, pa.array(bins)], names=[*GROUP, "bytes", "task", "bin"]).to_batches(max_chunksize=1 << 16)
 
-    binned = materialize(groups.repartition(n, *GROUP).mapInArrow(local, "g1 long, g2 long, bytes long, task int, bin int"), "bins")
+    binned = materialize(groups.repartition(n, F.xxhash64(*GROUP)).mapInArrow(local, "g1 long, g2 long, bytes long, task int, bin int"), "bins")
     bins = sorted(binned.groupBy("task", "bin").agg(F.sum("bytes").alias("bytes")).collect())  # at most PIECES + n rows
     singles = [np.eye(1, n_shards, dtype=np.int64)[0] * r["bytes"] for r in bins]
     moves = [(r["task"], r["bin"], int(np.nonzero(order == 0)[0][0])) for r, order in zip(bins, difference(singles))]
