@@ -68,6 +68,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality import FEATURES, quality_rules
+
+    out = quality_rules(documents(spark, sf_dir).select("doc_id", "lang", "text"), ["doc_id"])
+    return out.select("doc_id", *(F.col(f"__{c}").alias(c) for c in (*FEATURES, "base_failed", "kept")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat": op6_chat,
     "op7_sharding": op7_sharding,
     "op9_url_filter": op9_url_filter,
+    "op10_quality": op10_quality,
 }
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
