@@ -61,6 +61,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontaminate import benchmark_overlaps
+
+    return benchmark_overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.url_filter import filter_urls
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_chat": op6_chat,
     "op7_sharding": op7_sharding,
+    "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
 }
