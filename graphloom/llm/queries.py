@@ -29,6 +29,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_file(), limit=1024)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), tokenizer_file(), limit=1024)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.simhash import simhash_components
 
@@ -84,6 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
+    "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op6_chat": op6_chat,
