@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import texts_of
+from graphloom.llm.common import texts_of, trim
 
 #: Kept positions of the spaced seeds (fixed values, found by search; see above for what they guarantee).
 MASKS = ("11111", "110101101", "1001110101", "1101100011")
@@ -147,6 +147,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index = Index(sent.value)
             for batch in batches:
                 yield batch.filter(pa.array([not index.overlaps(word_hashes(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+                trim()
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import WHITE_STR, materialize, texts_of
+from graphloom.llm.common import WHITE_STR, materialize, texts_of, trim
 
 KEY = ["k1", "k2"]
 MOST_FILTER_BYTES = 32 << 20
@@ -243,7 +243,7 @@ class LineStore:
 
     def drops(self) -> DataFrame:
         """(k1, k2, doc_id): the documents' hot lines that go."""
-        candidates = self.posted
+        candidates = self.posted.select(*KEY, "doc_id")
         size = self.filters.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"]
         if size <= MOST_FILTER_BYTES:
             data, shards = {r["shard"]: r["data"] for r in self.filters.collect()}, self.shards
@@ -290,6 +290,7 @@ def rewrite(docs: DataFrame, drops: DataFrame, min_chars: int, id_col: str = "do
                     c.append(v)
             cols = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(extra[0], pa.int64()), pa.array(extra[1], pa.int64()), pa.array(extra[2], pa.string())], names=[f.name for f in schema.fields])
+            trim()
 
     return joined.mapInArrow(run, schema)
 

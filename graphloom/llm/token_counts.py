@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import texts_of
+from graphloom.llm.common import texts_of, trim
 
 OTHER, LETTER, NUMBER, BLANK, WHITE, QUOTE, STMD, R, E, V, L, END, SPECIAL = range(13)
 START, LET, NUM, OTH, BLANK1, WHITE1, BLANKS, WHITES, Q, QR, QV, QL = range(12)
@@ -354,5 +354,6 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
             for a, b in slices(texts, 2 << 20):
                 counts[a:b] = fst.counts(texts[a:b])
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            trim()
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

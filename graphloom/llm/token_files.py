@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, open_fs, scratch, texts_of, width
+from graphloom.llm.common import materialize, open_fs, scratch, texts_of, trim, width
 
 HEAD = struct.Struct("<BBHq")
 #: Added after the rotation (a fixed value of the well-known masked-checksum scheme).
@@ -104,6 +104,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
                 ["shard", "row", "doc_id", "offset", "length", "n_tokens", "local_start"],
             )
             row += k
+            trim()
         if out is not None:
             out.close()
             fs.move(tmp, name)
