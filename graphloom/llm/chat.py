@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, width
+from graphloom.llm.common import materialize, small_batches, width
 
 #: Control strings of common templates and of this one (fixed values).
 CONTROL = ("<|turn|>", "<|body|>", "<|end|>", "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -139,6 +139,7 @@ def format_chats(conversations: DataFrame, tokenizer: str) -> DataFrame:
         if segments:
             yield _parts([flush(True)])
 
+    small_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     turns = rows.mapInArrow(encode, SEGMENTS).repartition(width(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "order")
     return turns.mapInArrow(join, PARTS)

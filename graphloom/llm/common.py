@@ -13,15 +13,25 @@ WHITE = b" \t\n\r\x0b\x0c"
 WHITE_STR = " \t\n\r\x0b\x0c"
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch between Spark and its Python workers; Spark's own default is 64 MB, several copies of which live at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES in this session, where it has Spark's default."""
+    if spark.conf.get(BATCH) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where none is (local tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set (local tests)."""
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+    return base or context.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -50,6 +60,7 @@ def open_fs(uri: str):
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) only, whatever further columns there are."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import texts_of, trim
+from graphloom.llm.common import small_batches, texts_of, trim
 
 #: Kept positions of the spaced seeds (fixed values, found by search; see above for what they guarantee).
 MASKS = ("11111", "110101101", "1001110101", "1101100011")
@@ -140,6 +140,7 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that overlap no benchmark item, all columns. Works on rows, so null or repeated ids do no harm."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for sent in benchmark_blocks(benchmark):
 

@@ -145,7 +145,7 @@ class Encoder:
     bits: the table of remembered pieces has 2^bits slots, of 21 bytes each.
     """
 
-    def __init__(self, path: str, bits: int = 21):
+    def __init__(self, path: str, bits: int = 22):
         self.tok = load_tokenizer(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:

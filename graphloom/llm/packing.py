@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import materialize, texts_of, width
+from graphloom.llm.common import materialize, texts_of, trim, width
 
 SHARD_TOKENS = 1 << 18
 K1, B = 1.2, 0.75
@@ -52,6 +52,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFr
                 sigs = [signature(np.frombuffer(x, enc.dtype)) for x in ids]
                 wide = [enc.dtype.itemsize] * len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), pa.array(sigs, pa.int64()), pa.array(wide, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "sig", "wide", "ids"])
+            trim()
 
     return texts_of(docs).mapInArrow(run, "doc_id long, sig long, wide int, ids binary")
 
@@ -60,29 +61,26 @@ class Bm25:
     """Inverted index of one shard: for each term, the documents that have it and their weights, idf included."""
 
     def __init__(self, docs: list[np.ndarray]):
-        self.n = len(docs)
-        terms, counts, self.own = [], [], []
-        for d in docs:
-            t, c = np.unique(d, return_counts=True)
-            terms.append(t)
-            counts.append(c)
-        doc = np.repeat(np.arange(self.n), [len(t) for t in terms])
-        flat, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float64)
+        self.n, self.docs = len(docs), docs
         length = np.array([len(d) for d in docs], np.float64)
-        vocab, at, df = np.unique(flat, return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(self.n), length.astype(np.int64))
+        flat = np.concatenate(docs)
+        kind = np.uint32 if (int(flat.max()) + 1) * self.n < 1 << 32 else np.uint64
+        pairs, tf = np.unique(flat.astype(kind) * kind(self.n) + doc.astype(kind), return_counts=True)  # by term, then document
+        term = (pairs // kind(self.n)).astype(np.int64)
+        self.doc = pairs.astype(np.int64) - term * self.n
+        df = np.bincount(term)
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        weight = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / length.mean()))
-        order = np.argsort(at, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order].astype(np.float32)
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / length.mean()))[self.doc])
         self.begin = np.concatenate([[0], np.cumsum(df)])
-        ends = np.cumsum([len(t) for t in terms])
-        self.own = np.split(at, ends[:-1])
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard, the seed's distinct terms being the query."""
-        t = self.own[seed]
-        begin, size = self.begin[t], self.begin[t + 1] - self.begin[t]
-        at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        t = np.unique(self.docs[seed])
+        begin = self.begin[t]
+        size = self.begin[t.astype(np.int64) + 1] - begin
+        last = np.cumsum(size)
+        at = np.repeat(begin - last + size, size) + np.arange(last[-1])
         return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
 
@@ -114,10 +112,11 @@ def pack_shard(docs: list[np.ndarray], limit: int) -> list[tuple[int, int, int,
         query, seed = seed, None
         if offset and unused.any():
             score = np.where(unused, index.scores(query), -1.0)
-            for d in np.argsort(-score, kind="stable").tolist():
-                if score[d] < 0 or not offset:
+            while offset:
+                d = int(score.argmax())
+                if score[d] < 0:
                     break
-                unused[d] = False
+                unused[d], score[d] = False, -1.0
                 start = put(d, 0)
                 if start < len(docs[d]):
                     seed = d
