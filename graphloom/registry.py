@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name: function of (spark, sf_dir)) and ORACLES (name: DuckDB SQL).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = tuple(f"graphloom.plans.q_{n}" for n in ("filters", "joins", "sets", "aggregates", "windows", "text", "training", "retrieval", "graph", "sources", "pipeline"))
 
 
 def _merged(what: str) -> dict:
