@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 #: Words that are no identifiers of interest (fixed values).
 KEYWORDS = ("if", "else", "for", "while", "return", "int", "void", "char", "bool", "const", "static", "auto", "class", "struct", "new", "delete", "this", "public", "private", "true", "false")
+TYPES = ("int", "char", "long", "short", "double", "float", "bool", "void", "signed", "unsigned", "auto")
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
 
@@ -78,7 +79,7 @@ def normalize_signature_udf(signature: str | None) -> str | None:
         p = p.split("=")[0].strip() if "(" not in p.split("=")[0] else p.strip()
         if "(" not in p:
             m = re.fullmatch(r"(.*[\s*&>])([A-Za-z_]\w*)(\[\d*\])?", p, re.S)
-            if m and m[1].strip() not in ("const", "unsigned", "struct", "signed", "volatile"):
+            if m and m[2] not in TYPES and m[1].strip() not in ("const", "struct", "volatile"):
                 p = m[1].strip() + (m[3] or "")
         kinds.append(re.sub(r"\s+", " ", p))
     return f"{name.strip()}({', '.join(kinds)}){tail.rstrip()}"

@@ -29,7 +29,7 @@ def glob_regex(pattern: str) -> str:
         elif c == "?":
             out.append(".")
         elif end > 0:
-            body = pattern[i + 1 : end].replace("\\", "\\\\")
+            body = re.sub(r"([\\\[&~])", r"\\\1", pattern[i + 1 : end])
             out.append("[" + ("^" + body[1:] if body.startswith("!") else body) + "]")
             i = end
         else:

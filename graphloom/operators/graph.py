@@ -242,7 +242,7 @@ def order_of_visits(tree: DataFrame, start, post: bool = False) -> DataFrame:
     The group is what start reaches, which the caller bounds."""
     import pandas as pd
 
-    def visit(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def visit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         children: dict = {}
         for s, d in sorted(zip(rows["src"], rows["dst"])):
             children.setdefault(s, []).append(d)
