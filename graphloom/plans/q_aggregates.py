@@ -115,9 +115,9 @@ def _(t):
     return t.orders.select("o_orderkey", "o_totalprice").join(m, "o_orderkey")
 
 
-@query("o_a18_duplicates", f"select split_part(name, ' ', 1) as key, count(*) as n, string_agg(id::varchar, '|' order by id) as members from ({NODES}) where id < 300 group by 1 having count(*) > 1")
+@query("o_a18_duplicates", f"select split_part(name, ' ', 1) as key, count(*) as n, string_agg(id::varchar, '|' order by id) as members from ({NODES}) group by 1 having count(*) > 1")
 def _(t):
-    return op.duplicates(t.nodes.where("id < 300"), F.split_part("name", F.lit(" "), F.lit(1)), "id")
+    return op.duplicates(t.nodes, F.split_part("name", F.lit(" "), F.lit(1)), "id")
 
 
 @query("o_a19_dependency_counts", f"select s_suppkey as id, (select count(distinct dst) from ({CALLS}) where src = s_suppkey) as dependencies from supplier")
@@ -213,9 +213,9 @@ def _(t):
     return t.documents.groupBy("source").agg(F.count("*").alias("units"), F.sum("n_chars").alias("chars"))
 
 
-@query("o_a35_consolidate", "with e as (select user_id, event_id, case when event_type = 'purchase' then 'DEFINE' else 'USE' end as relation, event_type || event_id::varchar as description from events where user_id < 20) select user_id, (array_agg(description order by (relation = 'DEFINE') desc, event_id))[1] as description, string_agg(description, '|' order by event_id) as candidates from e group by 1")
+@query("o_a35_consolidate", "with e as (select user_id, event_id, case when event_type = 'purchase' then 'DEFINE' else 'USE' end as relation, event_type || event_id::varchar as description from events) select user_id, (array_agg(description order by (relation = 'DEFINE') desc, event_id))[1] as description, string_agg(description, '|' order by event_id) as candidates from e group by 1")
 def _(t):
-    e = t.events.where("user_id < 20").select("user_id", "event_id", F.when(F.col("event_type") == "purchase", "DEFINE").otherwise("USE").alias("relation"), F.concat("event_type", "event_id").alias("description"))
+    e = t.events.select("user_id", "event_id", F.when(F.col("event_type") == "purchase", "DEFINE").otherwise("USE").alias("relation"), F.concat("event_type", "event_id").alias("description"))
     return op.consolidate(e, "user_id", "event_id")
 
 

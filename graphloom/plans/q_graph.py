@@ -111,7 +111,7 @@ def _(t):
 @query("o_g15_rounds")
 def _(t):
     e = t.tree.union(t.spark.createDataFrame([(13, 4), (2, 2)], "src long, dst long"))  # a cycle and a loop
-    return op.rounds(t.embeddings.where("vec_id < 200").select(F.col("vec_id").alias("id")), e)
+    return op.rounds(t.embeddings.select(F.col("vec_id").alias("id")), e)
 
 
 _HOPS = """with e as (select distinct src, dst from ({edges}) where src <> dst), b as (select src, dst, 'successor' as relation from e union all select dst, src, 'predecessor' from e),
@@ -124,9 +124,9 @@ def _(t):
     return op.hops(t.ring, t.embeddings.where("label = 2").select(F.col("vec_id").alias("id")), 1)
 
 
-@query("o_g16_hop2", _HOPS.format(edges=RING, more="and vec_id < 60", filt="c as (select * from b),") + ", two as (select one.hit, c.dst as id, min((relation, c.src)) as m from one join c on c.src = one.id where c.dst <> one.hit and (one.hit, c.dst) not in (select (hit, id) from one) group by 1, 2) select hit, id, 1 as level, m[2] as parent, m[1] as relation from one union all select hit, id, 2, m[2], m[1] from two")
+@query("o_g16_hop2", _HOPS.format(edges=RING, more="", filt="c as (select * from b),") + ", two as (select one.hit, c.dst as id, min((relation, c.src)) as m from one join c on c.src = one.id where c.dst <> one.hit and (one.hit, c.dst) not in (select (hit, id) from one) group by 1, 2) select hit, id, 1 as level, m[2] as parent, m[1] as relation from one union all select hit, id, 2, m[2], m[1] from two")
 def _(t):
-    return op.hops(t.ring, t.embeddings.where("label = 2 and vec_id < 60").select(F.col("vec_id").alias("id")), 2)
+    return op.hops(t.ring, t.embeddings.where("label = 2").select(F.col("vec_id").alias("id")), 2)
 
 
 @query("o_g17_hop_inside", _HOPS.format(edges=RING, more="", filt="c as (select * from b where dst in (select id from h)),") + " select hit, id, 1 as level, m[2] as parent, m[1] as relation from one")
@@ -141,10 +141,10 @@ def _(t):
     return t.orders.join(c, "o_custkey").select(F.col("o_orderkey").alias("id"), F.lit(3).alias("depth"))
 
 
-@query("o_g19_type_quota", "with c as (select vec_id as id, label as type from embeddings where vec_id < 30), h as (select type, count(*) as have from c group by 1), m as (select e.vec_id as id, e.label as type, row_number() over (partition by e.label order by e.vec_id) as rn, coalesce(have, 0) as have from embeddings e left join h on h.type = e.label where vec_id >= 30) select id, type from c union all select id, type from m where rn <= 8 - have")
+@query("o_g19_type_quota", "with c as (select vec_id as id, label as type from embeddings where vec_id % 16 = 0), h as (select type, count(*) as have from c group by 1), m as (select e.vec_id as id, e.label as type, row_number() over (partition by e.label order by e.vec_id) as rn, coalesce(have, 0) as have from embeddings e left join h on h.type = e.label where vec_id % 16 <> 0) select id, type from c union all select id, type from m where rn <= 8 - have")
 def _(t):
     e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("type"))
-    return op.per_type_quota(e.where("id < 30"), e.withColumn("depth", F.lit(1)), 8)
+    return op.per_type_quota(e.where("id % 16 = 0"), e.withColumn("depth", F.lit(1)), 8)
 
 
 @query("o_g20_code_graph", "select 'file:' || p_brand as src, 'func:' || p_brand || ':' || p_partkey::varchar as dst, 'contains_function' as type from part where p_size <= 25 union all select 'file:' || p_brand, 'var:' || p_brand || ':' || p_partkey::varchar, 'contains_variable' from part where p_size > 25")
@@ -202,7 +202,7 @@ def _(t):
 
 @query("o_g29_tree_lines")
 def _(t):
-    return op.tree_lines(t.tree.where("dst < 60"), t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label")), 5)
+    return op.tree_lines(t.tree, t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label")), 20)
 
 
 @query("o_g30_task_tree", "select vec_id as id, vec_id // 3 as parent, (select count(*) from embeddings c where c.vec_id > 0 and c.vec_id // 3 = e.vec_id) as children from embeddings e where vec_id > 0")
@@ -226,4 +226,4 @@ def _(t):
 
 @query("o_g34_outline")
 def _(t):
-    return op.tree_lines(t.tree.where("dst < 40"), t.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("symbol"), "vec_id").alias("label")), 4)
+    return op.tree_lines(t.tree, t.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("symbol"), "vec_id").alias("label")), 20)

@@ -28,10 +28,10 @@ def _(t):
     return op.with_last_body(t.customer.select("c_custkey", "c_name"), b, "c_custkey", "o_orderkey")
 
 
-@query("o_j3_calls_by_symbol", f"select distinct c_custkey as src, f.id as dst from (select c_custkey, case c_mktsegment when 'BUILDING' then 'red' when 'MACHINERY' then 'small' else 'none' end as symbol from customer where c_custkey < 40) c join ({FUNCS}) f using (symbol)")
+@query("o_j3_calls_by_symbol", f"select distinct c_custkey as src, f.id as dst from (select c_custkey, case c_mktsegment when 'BUILDING' then 'red widget' when 'MACHINERY' then 'small ring' else 'none' end as body from customer) c join ({FUNCS}) f using (body)")
 def _(t):
-    c = t.customer.where("c_custkey < 40").select(F.col("c_custkey").alias("src"), F.when(F.col("c_mktsegment") == "BUILDING", "red").when(F.col("c_mktsegment") == "MACHINERY", "small").otherwise("none").alias("symbol"))
-    return op.calls_by_symbol(c, funcs(t))
+    c = t.customer.select(F.col("c_custkey").alias("src"), F.when(F.col("c_mktsegment") == "BUILDING", "red widget").when(F.col("c_mktsegment") == "MACHINERY", "small ring").otherwise("none").alias("symbol"))
+    return op.calls_by_symbol(c, funcs(t).select("id", F.col("body").alias("symbol")))
 
 
 @query("o_j4_members", "select distinct l_orderkey as owner, l_partkey as member from lineitem where l_partkey in (select p_partkey from part where p_size < 20)")
@@ -89,23 +89,23 @@ def _(t):
 _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double))"
 
 
-@query("o_j12_similar_pairs", f"with p as (select a.vec_id as src, b.vec_id as dst, round({_DOT}, 6) as score from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id < 200 and b.vec_id < 200 and {_DOT} >= 0.3) select * from p union all select dst, src, score from p")
+@query("o_j12_similar_pairs", f"with p as (select a.vec_id as src, b.vec_id as dst, round({_DOT}, 6) as score from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where true and {_DOT} >= 0.3) select * from p union all select dst, src, score from p")
 def _(t):
-    return op.similar_pairs(t.embeddings.where("vec_id < 200"), 0.3, "label", "vec_id", "embedding").withColumn("score", F.round("score", 6))
+    return op.similar_pairs(t.embeddings, 0.3, "label", "vec_id", "embedding").withColumn("score", F.round("score", 6))
 
 
-@query("o_j15_ranked_targets", "with e as (select l_orderkey as src, l_suppkey as dst, l_linenumber as rank from lineitem), i as (select o_orderkey as id, row_number() over (order by o_orderkey desc) as pos from orders where o_orderstatus = 'P' and o_orderkey < 400), h as (select dst, min((pos, rank)) as place from i join e on e.src = i.id where rank <= 3 group by dst) select dst from h order by place, dst limit 25")
+@query("o_j15_ranked_targets", "with e as (select l_orderkey as src, l_suppkey as dst, l_linenumber as rank from lineitem), i as (select o_orderkey as id, row_number() over (order by o_orderkey desc) as pos from orders where o_orderstatus = 'P'), h as (select dst, min((pos, rank)) as place from i join e on e.src = i.id where rank <= 3 group by dst) select dst from h order by place, dst limit 25")
 def _(t):
     from pyspark.sql import Window as W
 
-    ids = t.orders.where("o_orderstatus = 'P' and o_orderkey < 400").select(F.col("o_orderkey").alias("id"), F.row_number().over(W.orderBy(F.desc("o_orderkey"))).cast("long").alias("pos"))
+    ids = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.row_number().over(W.orderBy(F.desc("o_orderkey"))).cast("long").alias("pos"))
     return op.ranked_targets(ids, t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_linenumber").alias("rank")), 3, 25)
 
 
-@query("o_j16_definers", f"select src, min(dst) as seen_at from ({CALLS}) where type = 'A' and dst < 10 group by src")
+@query("o_j16_definers", f"select src, min(dst) as seen_at from ({CALLS}) where type = 'A' and dst in (select s_suppkey from supplier where s_nationkey = 3) group by src")
 def _(t):
     e = t.calls.withColumn("type", F.when(F.col("type") == "A", "DEFINE").otherwise("USE"))
-    return op.definers(t.spark.range(10).select("id", F.col("id").alias("pos")), e)
+    return op.definers(t.supplier.where("s_nationkey = 3").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("pos")), e)
 
 
 @query("o_j17_combine_scores", "select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.score, 0) as score_a, coalesce(b.score, 0) as score_b from (select user_id, round(sum(value), 6) as score from events where event_type = 'error' group by 1) a full join (select user_id, round(sum(value), 6) as score from events where event_type = 'purchase' group by 1) b on a.user_id = b.user_id")

@@ -49,28 +49,28 @@ def _(t):
     return t.spark.read.parquet(out)
 
 
-@query("o_x2_log_stream", "select event_type, count(*) as n from events where user_id < 9 group by 1")
+@query("o_x2_log_stream", "select event_type, count(*) as n from events group by 1")
 def _(t):
     log, out, ck = (folder(t, x) for x in ("log", "copy", "ck"))
-    t.events.where("user_id < 9").select("event_id", "event_type").write.json(log)
+    t.events.select("event_id", "event_type").write.json(log)
     q = st.read_log(t.spark, log, "event_id long, event_type string").writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
     return t.spark.read.schema("event_id long, event_type string").parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("o_x3_sample_loop", "select user_id, count(*)::bigint as used from events where user_id < 12 group by 1")
+@query("o_x3_sample_loop", "select user_id, count(*)::bigint as used from events group by 1")
 def _(t):
     out, ck, log = (folder(t, x) for x in ("buffer", "ck", "log"))
-    t.events.where("user_id < 12").select("event_id", "user_id").write.json(log)
+    t.events.select("event_id", "user_id").write.json(log)
     st.process_new(st.read_log(t.spark, log, "event_id long, user_id long"), out, ck, ["event_id"], lambda d: d)
     return t.spark.read.parquet(out).groupBy("user_id").agg(F.count("*").alias("used"))
 
 
-@query("o_x4_bounded_buffer", "select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id desc) as rn from events where user_id < 30) where rn <= 3")
+@query("o_x4_bounded_buffer", "select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id desc) as rn from events) where rn <= 3")
 def _(t):
     log, out, ck = (folder(t, x) for x in ("log", "ring", "ck"))
     for k in range(2):
-        t.events.where(f"user_id < 30 and event_id % 2 = {k}").select("user_id", "event_id").write.mode("append").json(log)
+        t.events.where(f"event_id % 2 = {k}").select("user_id", "event_id").write.mode("append").json(log)
         st.bounded_buffer(st.read_log(t.spark, log, "user_id long, event_id long"), "user_id", "event_id", 3, out, ck)
     return t.spark.read.parquet(f"{out}/1")
 
@@ -79,7 +79,7 @@ def _(t):
 def _(t):
     from graphloom.functions.training import adaptive_coefficient
 
-    s = t.events.where("user_id < 20").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
+    s = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
     return s.select("user_id", F.round(adaptive_coefficient(0.2, F.col("s.value"), 20.0, 10_000, 4), 6).alias("coefficient"))
 
 
@@ -91,9 +91,9 @@ def _(t):
     return st.fill_batch(tasks, t.orders.select(F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("trajectory_id")), 64)
 
 
-@query("o_x7_barrier", "select event_id // 100 as batch, string_agg(event_id::varchar, '|' order by event_id) as requests from events where event_id < 1000 group by 1")
+@query("o_x7_barrier", "select event_id // 100 as batch, string_agg(event_id::varchar, '|' order by event_id) as requests from events group by 1")
 def _(t):
-    return t.events.where("event_id < 1000").groupBy(F.floor(F.col("event_id") / 100).alias("batch")).agg(F.array_join(F.array_sort(F.collect_list("event_id")), "|").alias("requests"))
+    return t.events.groupBy(F.floor(F.col("event_id") / 100).alias("batch")).agg(F.array_join(F.array_sort(F.collect_list("event_id")), "|").alias("requests"))
 
 
 @query("o_x8_resume_offset", "select event_id from events where event_id >= 500")
@@ -103,19 +103,19 @@ def _(t):
     return strided_shard(t.events.select("event_id"), "event_id", 0, 1, 500).select("event_id")
 
 
-@query("o_x9_token_accounting", "select user_id, event_id, sum(json_extract(props, '$.k')::bigint) over (partition by user_id order by event_id)::bigint as used from events where user_id < 25")
+@query("o_x9_token_accounting", "select user_id, event_id, sum(json_extract(props, '$.k')::bigint) over (partition by user_id order by event_id)::bigint as used from events")
 def _(t):
     from pyspark.sql import Window as W
 
     k = F.get_json_object("props", "$.k").cast("long")
-    return t.events.where("user_id < 25").select("user_id", "event_id", F.sum(k).over(W.partitionBy("user_id").orderBy("event_id")).alias("used"))
+    return t.events.select("user_id", "event_id", F.sum(k).over(W.partitionBy("user_id").orderBy("event_id")).alias("used"))
 
 
 def samples(t):
-    return t.events.where("user_id < 40").select(F.concat(F.lit("u"), "user_id").alias("input"), F.col("event_type").alias("output"), F.col("value").alias("reward"), F.col("event_id").alias("seq"))
+    return t.events.select(F.concat(F.lit("u"), "user_id").alias("input"), F.col("event_type").alias("output"), F.col("value").alias("reward"), F.col("event_id").alias("seq"))
 
 
-@query("o_p1_steps", "select 'u' || user_id::varchar as input, max(value) as reward from events where user_id < 40 and value > 1.5 group by 1")
+@query("o_p1_steps", "select 'u' || user_id::varchar as input, max(value) as reward from events where value > 1.5 group by 1")
 def _(t):
     steps = pl.Steps()
     steps.register("keep")(lambda d, least, **_: d.where(F.col("reward") > least))
@@ -123,27 +123,27 @@ def _(t):
     return steps.run([{"name": "keep", "input": "rows", "output": "kept", "least": 1.5}, {"name": "best", "input": "kept", "output": "out"}], {"rows": samples(t)}, {"least": 0.0})["out"]
 
 
-@query("o_p2_processor_rs", "select 'u' || user_id::varchar as input, max(value) as reward from events where user_id < 40 group by 1")
+@query("o_p2_processor_rs", "select 'u' || user_id::varchar as input, max(value) as reward from events group by 1")
 def _(t):
     return pl.PROCESSORS["rs"](samples(t)).select("input", "reward")
 
 
-@query("o_p2_processor_csft", "select 'u' || user_id::varchar || ' <reward>' || printf('%.2f', value) as input, event_id as seq from events where user_id < 40")
+@query("o_p2_processor_csft", "select 'u' || user_id::varchar || ' <reward>' || printf('%.2f', value) as input, event_id as seq from events")
 def _(t):
     return pl.PROCESSORS["csft"](samples(t)).select("input", "seq")
 
 
-@query("o_p2_processor_iter_dpo", "select 'u' || user_id::varchar as input, max(value) as chosen_reward, min(value) as rejected_reward from events where user_id < 40 group by 1")
+@query("o_p2_processor_iter_dpo", "select 'u' || user_id::varchar as input, max(value) as chosen_reward, min(value) as rejected_reward from events group by 1")
 def _(t):
     return pl.PROCESSORS["iter_dpo"](samples(t)).select("input", "chosen_reward", "rejected_reward")
 
 
-@query("o_p3_scorer", "select event_id as seq, length(event_type)::double as reward from events where user_id < 40")
+@query("o_p3_scorer", "select event_id as seq, length(event_type)::double as reward from events")
 def _(t):
     return samples(t).select("seq", pl.scorer(lambda p, c: [float(len(x)) for x in c], F.col("input"), F.col("output")).alias("reward"))
 
 
-@query("o_p4_weighted_scorers", "select event_id as seq, round(0.5 * value + 2 * length(event_type), 6) as reward from events where user_id < 40")
+@query("o_p4_weighted_scorers", "select event_id as seq, round(0.5 * value + 2 * length(event_type), 6) as reward from events")
 def _(t):
     return samples(t).select("seq", F.round(pl.weighted_scores([(F.col("reward"), 0.5), (F.length("output").cast("double"), 2.0)]), 6).alias("reward"))
 

@@ -47,11 +47,11 @@ def _(t):
     return t.documents.where(~F.col("text").endswith(");")).select("text", "lang").distinct().select(F.md5(F.concat("text", "lang")).alias("id"), "text", "lang")
 
 
-@query("o_u7_merge_graphs", "select coalesce(s.s_suppkey, p.p_partkey, c.c_custkey) as id, coalesce(c.c_name, s.s_name) as name, p.p_type as type from supplier s full join (select * from part where p_partkey < 150) p on p.p_partkey = s.s_suppkey full join (select * from customer where c_custkey < 30) c on c.c_custkey = coalesce(s.s_suppkey, p.p_partkey)")
+@query("o_u7_merge_graphs", "select coalesce(s.s_suppkey, p.p_partkey, c.c_custkey) as id, coalesce(c.c_name, s.s_name) as name, p.p_type as type from supplier s full join part p on p.p_partkey = s.s_suppkey full join customer c on c.c_custkey = coalesce(s.s_suppkey, p.p_partkey)")
 def _(t):
     s = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    p = t.part.where("p_partkey < 150").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"))
-    return op.merge_graphs([s, p, t.customer.where("c_custkey < 30").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))])
+    p = t.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"))
+    return op.merge_graphs([s, p, t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))])
 
 
 @query("o_u8_last_wins", "select user_id, arg_max(value, event_id) as value from events group by user_id")
@@ -88,9 +88,9 @@ def _(t):
     return op.remove_position(t.benchmark.select("item_id"), "item_id", 3)
 
 
-@query("o_u14_induced", f"select * from ({CALLS}) where src < 20 and dst < 20")
+@query("o_u14_induced", f"select * from ({CALLS}) where src in (select s_suppkey from supplier where s_acctbal > 0) and dst in (select s_suppkey from supplier where s_acctbal > 0)")
 def _(t):
-    return op.induced(t.calls, t.spark.range(20))
+    return op.induced(t.calls, t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("id")))
 
 
 @query("o_u15_update_non_null", "select d.doc_id, coalesce(l.quality, length(d.lang)) as quality from documents d left join labels l on l.doc_id = d.doc_id")

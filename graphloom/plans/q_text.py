@@ -98,10 +98,10 @@ def _(t):
     return t.part.select("p_partkey", F.inline(tx.outline(o)))
 
 
-@query("o_s16_kinds", "select p_brand, string_agg(p_name, '|' order by p_name) filter (where p_size > 20) as functions, string_agg(p_name, '|' order by p_name) filter (where p_size <= 20) as variables from part where p_partkey < 400 group by 1")
+@query("o_s16_kinds", "select p_brand, string_agg(p_name, '|' order by p_name) filter (where p_size > 20) as functions, string_agg(p_name, '|' order by p_name) filter (where p_size <= 20) as variables from part group by 1")
 def _(t):
     pick = lambda w, n: F.nullif(J(F.array_sort(F.collect_list(F.when(w, c("p_name"))))), F.lit("")).alias(n)
-    return t.part.where("p_partkey < 400").groupBy("p_brand").agg(pick(c("p_size") > 20, "functions"), pick(c("p_size") <= 20, "variables"))
+    return t.part.groupBy("p_brand").agg(pick(c("p_size") > 20, "functions"), pick(c("p_size") <= 20, "variables"))
 
 
 @query("o_s17_clean", "select p_partkey, 'a & <' || p_name || '>' as text from part")
@@ -139,12 +139,12 @@ def _(t):
 
 @query("o_s23_repair_json")
 def _(t):
-    return t.events.where("event_id < 500").select("event_id", tx.repair_json_udf(F.replace("props", F.lit('"'), F.lit("'"))).alias("json"))
+    return t.events.select("event_id", tx.repair_json_udf(F.replace("props", F.lit('"'), F.lit("'"))).alias("json"))
 
 
 @query("o_s24_literal_blocks")
 def _(t):
-    return t.part.where("p_partkey < 200").select("p_partkey", tx.literal_blocks_udf(F.concat(F.lit("code: |\n```cpp\nint "), "p_name", F.lit(";\n```\nnext: 1"))).alias("yaml"))
+    return t.part.select("p_partkey", tx.literal_blocks_udf(F.concat(F.lit("code: |\n```cpp\nint "), "p_name", F.lit(";\n```\nnext: 1"))).alias("yaml"))
 
 
 @query("o_s25_thoughts", "select p_partkey, p_name as content, case when p_size > 20 then p_type else '' end as reasoning from part")
@@ -197,9 +197,9 @@ def _(t):
     return t.documents.select("doc_id", F.md5(F.concat_ws("\n", "source", F.concat_ws("/", F.map_values(m)), "text")).alias("text"))
 
 
-@query("o_s33_numbered", "select p_brand, string_agg('<' || n::varchar || '>' || p_name || '</' || n::varchar || '>', '' order by n) as context from (select p_brand, p_name, row_number() over (partition by p_brand order by p_name, p_partkey) as n from part where p_partkey < 300) group by 1")
+@query("o_s33_numbered", "select p_brand, string_agg('<' || n::varchar || '>' || p_name || '</' || n::varchar || '>', '' order by n) as context from (select p_brand, p_name, row_number() over (partition by p_brand order by p_name, p_partkey) as n from part) group by 1")
 def _(t):
-    return t.part.where("p_partkey < 300").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_name")).alias("x")).select("p_brand", tx.numbered(c("x")).alias("context"))
+    return t.part.groupBy("p_brand").agg(F.array_sort(F.collect_list("p_name")).alias("x")).select("p_brand", tx.numbered(c("x")).alias("context"))
 
 
 @query("o_s34_chat_text", "select conv_id, md5(string_agg('<|' || role || '|>' || chr(10) || coalesce(text, '') || chr(10), '' order by turn)) as text from conversations group by 1")
@@ -229,7 +229,7 @@ CODE = "int f(int a) { // note\n  return a + 1 > 2 ? a : \"//\"; /* x */ }\n"
 @query("o_s38_halstead")
 def _(t):
     h = tx.halstead_udf(F.concat(F.lit(CODE), "p_name"))
-    return t.part.where("p_partkey < 200").select("p_partkey", h.alias("h")).select("p_partkey", r6("h.volume", "volume"), r6("h.difficulty", "difficulty"), r6("h.effort", "effort"))
+    return t.part.select("p_partkey", h.alias("h")).select("p_partkey", r6("h.volume", "volume"), r6("h.difficulty", "difficulty"), r6("h.effort", "effort"))
 
 
 @query("o_s39_halstead_tokens", """with v as (select p_partkey, p_size * 10 as n, floor(pow(p_size * 10.0::double, 0.7::double)) as v from part), w as (select *, floor(v * 0.4::double) as n1, greatest(v - floor(v * 0.4::double), 1) as n2, case when v > 1 then n * log2(greatest(v, 2)) else 0 end as volume from v)
@@ -247,7 +247,7 @@ def _(t):
 
 @query("o_s41_strip_strings")
 def _(t):
-    return t.part.where("p_partkey < 200").select("p_partkey", tx.strip_strings_udf(F.concat(F.lit(CODE), "p_name")).alias("code"))
+    return t.part.select("p_partkey", tx.strip_strings_udf(F.concat(F.lit(CODE), "p_name")).alias("code"))
 
 
 @query("o_s42_complexity", "select p_partkey, case when p_size > 20 then 4 else 1 end as n from part")

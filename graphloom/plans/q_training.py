@@ -31,9 +31,9 @@ for _k, _sql in (("k1", "z[1] - z[2]"), ("k2", "(z[1] - z[2]) * (z[1] - z[2]) /
     )
 
 
-@query("o_s45_adaptive_coefficient", "with recursive s as (select user_id, value, row_number() over (partition by user_id order by event_id) as k from events where user_id < 20 qualify k <= 20), f as (select distinct user_id, 0::bigint as k, 0.1::double as v from s union all select f.user_id, s.k, f.v * (1 + greatest(least(s.value / 10.0 - 1, 0.2), -0.2) * 8 / 1000.0::double) from f join s on s.user_id = f.user_id and s.k = f.k + 1) select user_id, round(arg_max(v, k), 6) as coefficient from f group by 1")
+@query("o_s45_adaptive_coefficient", "with recursive s as (select user_id, value, row_number() over (partition by user_id order by event_id) as k from events), f as (select distinct user_id, 0::bigint as k, 0.1::double as v from s union all select f.user_id, s.k, f.v * (1 + greatest(least(s.value / 10.0 - 1, 0.2), -0.2) * 8 / 1000.0::double) from f join s on s.user_id = f.user_id and s.k = f.k + 1) select user_id, round(arg_max(v, k), 6) as coefficient from f group by 1")
 def _(t):
-    k = t.events.where("user_id < 20").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("event_id", "value"))), 1, 20).alias("s"))
+    k = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
     return k.select("user_id", F.round(tr.adaptive_coefficient(0.1, c("s.value"), 10.0, 1000, 8), 6).alias("coefficient"))
 
 

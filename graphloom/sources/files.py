@@ -89,11 +89,16 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, x("edge", f"_source string, _target string, {data}").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), "data")
 
 
-def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Node and edge elements, escaped, one a row; a caller puts the head and the tail of the document around."""
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, parts: int = 4) -> None:
+    """GraphML in so many documents, each well-formed: path/part=k holds one file of head, elements and tail."""
+    spark = nodes.sparkSession
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    n = nodes.select(F.concat(F.lit('<node id="'), esc("id"), F.lit('"/>')).alias("value"))
-    return n.union(edges.select(F.concat(F.lit('<edge source="'), esc("src"), F.lit('" target="'), esc("dst"), F.lit('"/>'))))
+    lines = nodes.select(F.lit(1).alias("at"), F.concat(F.lit('<node id="'), esc("id"), F.lit('"/>')).alias("value"))
+    lines = lines.union(edges.select(F.lit(2), F.concat(F.lit('<edge source="'), esc("src"), F.lit('" target="'), esc("dst"), F.lit('"/>'))))
+    lines = lines.select(F.pmod(F.xxhash64("value"), F.lit(parts)).cast("long").alias("part"), "at", "value")
+    frame = spark.range(parts).select("id", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit("<graphml><graph>").alias("value")), F.struct(F.lit(3), F.lit("</graph></graphml>")))).alias("x"))
+    whole = lines.union(frame.select("id", "x.at", "x.value")).repartition(parts, "part").sortWithinPartitions("part", "at", "value")
+    whole.select("part", "value").write.partitionBy("part").text(path)
 
 
 def write_vectors(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
