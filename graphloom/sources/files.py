@@ -96,7 +96,7 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, parts: int = 4)
     lines = nodes.select(F.lit(1).alias("at"), F.concat(F.lit('<node id="'), esc("id"), F.lit('"/>')).alias("value"))
     lines = lines.union(edges.select(F.lit(2), F.concat(F.lit('<edge source="'), esc("src"), F.lit('" target="'), esc("dst"), F.lit('"/>'))))
     lines = lines.select(F.pmod(F.xxhash64("value"), F.lit(parts)).cast("long").alias("part"), "at", "value")
-    frame = spark.range(parts).select("id", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit("<graphml><graph>").alias("value")), F.struct(F.lit(3), F.lit("</graph></graphml>")))).alias("x"))
+    frame = spark.range(parts).select("id", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit("<graphml><graph>").alias("value")), F.struct(F.lit(3).alias("at"), F.lit("</graph></graphml>").alias("value")))).alias("x"))
     whole = lines.union(frame.select("id", "x.at", "x.value")).repartition(parts, "part").sortWithinPartitions("part", "at", "value")
     whole.select("part", "value").write.partitionBy("part").text(path)
 
