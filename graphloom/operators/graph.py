@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.operators.numbering import numbered
+
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed and checkpointed."""
@@ -223,7 +225,7 @@ def tree_lines(tree: DataFrame, labels: DataFrame, max_depth: int) -> DataFrame:
         now = cut(now.join(tree, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.concat("path", F.array(F.format_string("%020d", F.col("dst")))).alias("path")))
         out = out.union(now)
     lined = out.join(labels, "id").select(F.array_join("path", "/").alias("key"), F.concat(F.repeat(F.lit("  "), F.size("path") - 1), "label").alias("line"))
-    return lined.select(F.row_number().over(W.orderBy("key")).alias("seq"), "line")
+    return numbered(lined, ["key"], "seq").select("seq", "line")
 
 
 def resolve(files: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -261,3 +263,23 @@ def order_of_visits(tree: DataFrame, start, post: bool = False) -> DataFrame:
         return pd.DataFrame({"id": out, "seq": range(len(out))})
 
     return tree.select(F.lit(start).cast("long").alias("start"), "src", "dst").groupBy("start").applyInPandas(visit, "id long, seq long")
+
+
+def in_order(visits: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """(seq, value): what a callback would see of each visited node (id, seq), in the order of the visits."""
+    return visits.join(rows, "id").select("seq", F.col(column).alias("value")).orderBy("seq")
+
+
+def sweeps(nodes: DataFrame, validate, most: int) -> DataFrame:
+    """(id, sweep): nodes are offered to validate (a function of a DataFrame with id and of the sweep's number, which
+    gives the accepted ones) again and again until all are accepted; null after most sweeps."""
+    left = cut(nodes.select("id").distinct())
+    out = None
+    for k in range(1, most + 1):
+        done = cut(validate(left, k).select("id").withColumn("sweep", F.lit(k)))
+        out = done if out is None else out.union(done)
+        left = cut(left.join(done, "id", "left_anti"))
+        if left.isEmpty():
+            return out
+    rest = left.withColumn("sweep", F.lit(None).cast("int"))
+    return rest if out is None else out.union(rest)

@@ -70,3 +70,9 @@ def retrieve(rows: DataFrame, edges: DataFrame, query: list[float], per_graph: i
         frontier = cut(reached.join(seen, ["graph", "id"], "left_anti").withColumn("depth", F.lit(d)))
         seen = cut(seen.union(frontier.select("graph", "id", "depth")))
     return round_robin(seen, "graph", [F.col("depth"), F.col("id")], "graph").where(F.col("seq") <= limit)
+
+
+def choose_repository(repositories: DataFrame, response: str) -> DataFrame:
+    """(name): of repositories (name, seq), the first whose name a response holds, else the first of all."""
+    hit = F.contains(F.lit(response), F.col("name")) & (F.col("name") != "")
+    return repositories.orderBy(F.desc(hit), "seq").limit(1).select("name")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.joins import first_per, last_per
+from graphloom.operators.numbering import numbered
 
 
 def dedupe_edges(edges: DataFrame, seq: str = "seq") -> DataFrame:
@@ -61,14 +61,12 @@ def interleave(sources: dict[str, DataFrame], weights: dict[str, int], order: st
     """Rows of several sources in rounds of weights[source] rows each, until one source is exhausted."""
     out, ends = None, None
     for k, (name, df) in enumerate(sources.items()):
-        rn = F.row_number().over(W.orderBy(order)) - 1
-        rows = df.withColumn("source", F.lit(name)).withColumn("__rn", rn)
+        rows = numbered(df.withColumn("source", F.lit(name)), [order], "__rn").withColumn("__rn", F.col("__rn") - 1)
         rows = rows.withColumn("round", F.floor(F.col("__rn") / weights[name])).withColumn("__k", F.lit(k))
         end = rows.groupBy("source").agg(F.floor(F.count("*") / weights[name]).alias("rounds"))
         out, ends = (rows, end) if out is None else (out.unionByName(rows), ends.union(end))
-    last = ends.agg(F.min("rounds").alias("rounds"))
-    kept = out.join(F.broadcast(last), F.col("round") < F.col("rounds"))  # one row
-    return kept.withColumn("seq", F.row_number().over(W.orderBy("round", "__k", "__rn"))).drop("__rn", "__k", "rounds", "round")
+    rounds = ends.agg(F.min("rounds")).first()[0]  # one number
+    return numbered(out.where(F.col("round") < F.lit(rounds)), ["round", "__k", "__rn"], "seq").drop("__rn", "__k", "round")
 
 
 def first_rows(rows: DataFrame, n: int, order: str) -> DataFrame:
@@ -77,7 +75,7 @@ def first_rows(rows: DataFrame, n: int, order: str) -> DataFrame:
 
 def remove_position(rows: DataFrame, order: str, position: int) -> DataFrame:
     """Without the row at a place (from 0) in the order."""
-    return rows.withColumn("__rn", F.row_number().over(W.orderBy(order))).where(F.col("__rn") != position + 1).drop("__rn")
+    return numbered(rows, [order], "__rn").where(F.col("__rn") != position + 1).drop("__rn")
 
 
 def append_and_count(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.operators.numbering import numbered
+
 
 def rank_desc(rows: DataFrame, group: list[str], score: str, tie: str) -> DataFrame:
     """rank 1..k by score, then by tie, both descending."""
@@ -82,7 +84,7 @@ def unpack(values: Column, lengths: Column) -> Column:
 def round_robin(rows: DataFrame, group: str, order: list[Column], group_order: str) -> DataFrame:
     """seq: the groups' first rows, then their second ones, and so on."""
     rn = rows.withColumn("__rn", F.row_number().over(W.partitionBy(group).orderBy(*order)))
-    return rn.withColumn("seq", F.row_number().over(W.orderBy("__rn", group_order))).drop("__rn")
+    return numbered(rn, ["__rn", group_order], "seq").drop("__rn")
 
 
 def repeat_rows(rows: DataFrame, n: int) -> DataFrame:
@@ -91,8 +93,7 @@ def repeat_rows(rows: DataFrame, n: int) -> DataFrame:
 
 
 def cursor_slice(rows: DataFrame, order: str, i: int, size: int) -> DataFrame:
-    rn = F.row_number().over(W.orderBy(order)) - 1
-    return rows.withColumn("__rn", rn).where((F.col("__rn") >= i * size) & (F.col("__rn") < (i + 1) * size)).drop("__rn")
+    return numbered(rows, [order], "__rn").where((F.col("__rn") > i * size) & (F.col("__rn") <= (i + 1) * size)).drop("__rn")
 
 
 def newest(rows: DataFrame, order: str, limit: int) -> DataFrame:
@@ -102,7 +103,7 @@ def newest(rows: DataFrame, order: str, limit: int) -> DataFrame:
 
 def strided_shard(rows: DataFrame, order: str, rank: int, n: int, consumed: int = 0) -> DataFrame:
     """Row indexes rank, rank + n, ... after the consumed ones, wrapped around so that all shards are equally long."""
-    indexed = rows.withColumn("idx", F.row_number().over(W.orderBy(order)) - 1)
+    indexed = numbered(rows, [order], "idx").withColumn("idx", F.col("idx") - 1)
     total = rows.count()
     head = indexed.where(F.col("idx") < -total % n).withColumn("idx", F.col("idx") + total)
     return indexed.unionByName(head).where((F.pmod("idx", F.lit(n)) == rank) & (F.col("idx") >= consumed))

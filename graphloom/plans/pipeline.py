@@ -98,3 +98,26 @@ def explode_extracted(rows: DataFrame, f: Callable[[str], list[dict]], schema: s
         return s.map(lambda x: f(x or ""))
 
     return rows.withColumn("__made", run(text)).select("*", F.inline("__made")).drop("__made")
+
+
+class Tools:
+    """Named DataFrame functions with argument specifications: (type, required) by argument."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[Callable[..., DataFrame], dict[str, tuple[type, bool]]]] = {}
+
+    def register(self, name: str, **spec: tuple[type, bool]):
+        def add(f: Callable[..., DataFrame]):
+            self.known[name] = (f, spec)
+            return f
+
+        return add
+
+    def call(self, name: str, rows: DataFrame, **arguments) -> DataFrame:
+        """Run a tool; KeyError for unknown names, TypeError for arguments that don't fit its specification."""
+        f, spec = self.known[name]
+        missing = [k for k, (_, required) in spec.items() if required and k not in arguments]
+        wrong = [k for k, v in arguments.items() if k not in spec or not isinstance(v, spec[k][0])]
+        if missing or wrong:
+            raise TypeError(f"{name}: missing {missing}, wrong {wrong}")
+        return f(rows, **arguments)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import filters as op
+from graphloom.operators.numbering import numbered
 from graphloom.plans.base import CALLS, NODES, Registry
 
 query = Registry()
@@ -182,9 +183,7 @@ def _(t):
 
 @query("o_f25_rows_in_order", "select pos, l.vec_id, e.label from (select row_number() over (order by vec_id desc) as pos, vec_id from embeddings where label = 3) l join embeddings e on e.vec_id = l.vec_id")
 def _(t):
-    from pyspark.sql import Window as W
-
-    ids = t.embeddings.where("label = 3").select(F.row_number().over(W.orderBy(F.desc("vec_id"))).cast("long").alias("pos"), "vec_id")
+    ids = numbered(t.embeddings.where("label = 3").select("vec_id"), [F.desc("vec_id")], "pos")
     return op.rows_in_order(ids, t.embeddings.select("vec_id", "label"), "vec_id")
 
 

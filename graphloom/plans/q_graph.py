@@ -227,3 +227,14 @@ def _(t):
 @query("o_g34_outline")
 def _(t):
     return op.tree_lines(t.tree, t.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("symbol"), "vec_id").alias("label")), 20)
+
+
+@query("o_g32_sweeps", "select vec_id as id, (case when vec_id % 4 = 3 then null else vec_id % 4 + 1 end)::int as sweep from embeddings")
+def _(t):
+    return op.sweeps(t.embeddings.select(F.col("vec_id").alias("id")), lambda d, k: d.where(f"id % 4 < {k}"), 3)
+
+
+@query("o_p6_visits", f"with recursive f as (select 0::bigint as id, 0 as level union all select e.dst, level + 1 from f join ({TREE}) e on e.src = f.id) select label as value, count(*) as n from f join embeddings on vec_id = id group by 1")
+def _(t):
+    seen = op.in_order(op.order_of_visits(t.tree, 0), t.embeddings.select(F.col("vec_id").alias("id"), "label"), "label")
+    return seen.groupBy("value").agg(F.count("*").alias("n"))

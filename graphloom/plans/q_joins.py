@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import joins as op
+from graphloom.operators.numbering import numbered
 from graphloom.plans.base import CALLS, Registry
 
 query = Registry()
@@ -96,9 +97,8 @@ def _(t):
 
 @query("o_j15_ranked_targets", "with e as (select l_orderkey as src, l_suppkey as dst, l_linenumber as rank from lineitem), i as (select o_orderkey as id, row_number() over (order by o_orderkey desc) as pos from orders where o_orderstatus = 'P'), h as (select dst, min((pos, rank)) as place from i join e on e.src = i.id where rank <= 3 group by dst) select dst from h order by place, dst limit 25")
 def _(t):
-    from pyspark.sql import Window as W
-
-    ids = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.row_number().over(W.orderBy(F.desc("o_orderkey"))).cast("long").alias("pos"))
+    ids = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"))
+    ids = numbered(ids, [F.desc("id")], "pos")
     return op.ranked_targets(ids, t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_linenumber").alias("rank")), 3, 25)
 
 

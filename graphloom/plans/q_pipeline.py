@@ -162,3 +162,10 @@ def _(t):
 @query("o_p9_one_to_many", "select p_partkey, unnest(string_split(p_name, ' ')) as word from part")
 def _(t):
     return pl.explode_extracted(t.part.select("p_partkey", "p_name"), lambda x: [{"word": w} for w in x.split(" ")], "word: string", "p_name").select("p_partkey", "word")
+
+
+@query("o_p5_tools", "select p_partkey as id, p_name as name from part where p_type = 'ECONOMY'")
+def _(t):
+    tools = pl.Tools()
+    tools.register("by_type", type=(str, True))(lambda d, type: d.where(F.col("type") == type).select("id", "name"))
+    return tools.call("by_type", t.nodes, type="ECONOMY")

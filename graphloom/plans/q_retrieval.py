@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import retrieval as op
+from graphloom.operators.numbering import numbered
 from graphloom.plans.base import RING, Registry
 
 query = Registry()
@@ -54,12 +55,10 @@ def _(t):
     return rounded(op.top_k(scored(t).where("graph = 4"), 10))
 
 
-@query("o_k6_merged_sort", f"select id, graph, round(score, 6) as score, row_number() over (order by score desc, id)::int as seq from (select *, row_number() over (partition by graph order by score desc, id) as rn from ({SCORED})) where rn <= 5")
+@query("o_k6_merged_sort", f"select id, graph, round(score, 6) as score, row_number() over (order by score desc, id) as seq from (select *, row_number() over (partition by graph order by score desc, id) as rn from ({SCORED})) where rn <= 5")
 def _(t):
-    from pyspark.sql import Window as W
-
     m = op.top_k_per(scored(t), ["graph"], 5).drop("rank")
-    return rounded(m.withColumn("seq", F.row_number().over(W.orderBy(F.desc("score"), "id"))))
+    return rounded(numbered(m, [F.desc("score"), F.col("id")], "seq"))
 
 
 @query("o_k9_ready_or_fewest", "select min(l_suppkey) as id from (select l_suppkey, count(*) as n from lineitem group by 1 qualify n = min(n) over ())")
@@ -111,7 +110,7 @@ def _(t):
 RETRIEVE = f"""with recursive s as ({SCORED}), e as ({RING}), h as (select graph, id from (select *, row_number() over (partition by graph order by score desc, id) as rn from s) where rn <= 5 and score > 0.0),
   f as (select graph, id, 0 as depth from h union select f.graph, e.dst, f.depth + 1 from f join e on e.src = f.id where f.depth < 2),
   g as (select graph, id, min(depth) as depth from f group by 1, 2), r as (select *, row_number() over (partition by graph order by depth, id) as rn from g)
-  select seq::int as seq, graph, id, depth from (select *, row_number() over (order by rn, graph) as seq from r) where seq <= 100"""
+  select seq, graph, id, depth from (select *, row_number() over (order by rn, graph) as seq from r) where seq <= 100"""
 
 
 @query("retrieve_flagship", RETRIEVE)
@@ -140,9 +139,7 @@ def _(t):
 
 @query("o_t9_select_indices", "select pos, id from (select row_number() over (order by vec_id) as pos, vec_id as id from embeddings where label = 5) where pos in (1, 3, 4)")
 def _(t):
-    from pyspark.sql import Window as W
-
-    units = t.embeddings.where("label = 5").select(F.row_number().over(W.orderBy("vec_id")).cast("long").alias("pos"), F.col("vec_id").alias("id"))
+    units = numbered(t.embeddings.where("label = 5").select(F.col("vec_id").alias("id")), ["id"], "pos")
     picked = t.spark.createDataFrame([(1,), (3,), (4,), (10**9,)], "pos long")  # what a selector named
     return units.join(F.broadcast(picked), "pos")
 
@@ -155,3 +152,8 @@ def _(t):
 @query("o_t13_memory", f"{R} ({SCORED}) order by score desc, id limit 3")
 def _(t):
     return rounded(op.top_k(scored(t), 3))
+
+
+@query("o_t10_repository", "select source as name from (select source, min(doc_id) as seq from documents group by 1) order by contains('take src7 please', source) desc, seq limit 1")
+def _(t):
+    return op.choose_repository(t.documents.groupBy(F.col("source").alias("name")).agg(F.min("doc_id").alias("seq")), "take src7 please")

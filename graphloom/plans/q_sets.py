@@ -68,7 +68,7 @@ def _(t):
   b as (select c_custkey as id, 'b' as source, row_number() over (order by c_custkey) - 1 as rn, 3 as w, 1 as k from customer),
   r as (select *, rn // w as round from a union all select *, rn // w from b),
   l as (select least((select count(*) from a) // 2, (select count(*) from b) // 3) as rounds)
-  select id, source, row_number() over (order by round, k, rn)::int as seq from r, l where round < rounds""")
+  select id, source, row_number() over (order by round, k, rn) as seq from r, l where round < rounds""")
 def _(t):
     return op.interleave({"a": t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id")), "b": t.customer.select(F.col("c_custkey").alias("id"))}, {"a": 2, "b": 3}, "id").select("id", "source", "seq")
 

@@ -119,6 +119,22 @@ def _(t):
     return io.read_graphml(t.spark, at)[1].select("src", "dst")
 
 
+@query("o_i14_gexf", f"select distinct src::varchar as src, dst::varchar as dst from ({CALLS})")
+def _(t):
+    at = folder(t, "gexf")
+    io.write_gexf(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")), t.calls.select("src", "dst").distinct(), at)
+    return io.read_graphml(t.spark, at)[1].select("src", "dst")
+
+
+@query("o_i18_paged", "select i as id, 'issue ' || i::varchar as title from (select unnest(range(250)) as i) where i % 7 <> 0")
+def _(t):
+    def fetch(page, size):
+        part = range(250)[(page - 1) * size : page * size]
+        return [{"id": i, "title": f"issue {i}"} | ({"pull_request": {}} if i % 7 == 0 else {}) for i in part]
+
+    return io.read_issues(t.spark, fetch, 100)
+
+
 @query("o_i15_vector_overwrite", "select vec_id as id, label as graph from embeddings where label <> 3")
 def _(t):
     at = folder(t, "vectors")

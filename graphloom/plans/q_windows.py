@@ -83,7 +83,7 @@ def _(t):
     return t.embeddings.select("vec_id", r6(total(0), "a"), r6(total(1), "b"))
 
 
-@query("o_w13_round_robin", "select label, vec_id, row_number() over (order by rn, label)::int as seq from (select label, vec_id, row_number() over (partition by label order by vec_id) as rn from embeddings)")
+@query("o_w13_round_robin", "select label, vec_id, row_number() over (order by rn, label) as seq from (select label, vec_id, row_number() over (partition by label order by vec_id) as rn from embeddings)")
 def _(t):
     return op.round_robin(t.embeddings.select("label", "vec_id"), "label", [F.col("vec_id")], "label")
 
@@ -103,9 +103,9 @@ def _(t):
     return op.newest(t.events.select("event_id"), "event_id", 64)
 
 
-@query("o_w17_shard", "with i as (select item_id, row_number() over (order by item_id) - 1 as idx from benchmark), n as (select count(*) as n from benchmark), p as (select * from i union all select item_id, idx + n from i, n where idx < (7 - n % 7) % 7) select item_id, idx::int as idx from p where idx % 7 = 3 and idx >= 10")
+@query("o_w17_shard", "with i as (select item_id, row_number() over (order by item_id) - 1 as idx from benchmark), n as (select count(*) as n from benchmark), p as (select * from i union all select item_id, idx + n from i, n where idx < (7 - n % 7) % 7) select item_id, idx from p where idx % 7 = 3 and idx >= 10")
 def _(t):
-    return op.strided_shard(t.benchmark.select("item_id"), "item_id", 3, 7, 10).select("item_id", F.col("idx").cast("int").alias("idx"))
+    return op.strided_shard(t.benchmark.select("item_id"), "item_id", 3, 7, 10).select("item_id", "idx")
 
 
 @query("o_w18_first_seen", "select user_id, min(event_id) as event_id from events group by 1")

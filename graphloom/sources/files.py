@@ -89,16 +89,35 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, x("edge", f"_source string, _target string, {data}").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), "data")
 
 
+def _escaped(column: str) -> Column:
+    out = F.col(column).cast("string")
+    for c, x in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(c), F.lit(x))
+    return out
+
+
+def _write_xml(elements: list[tuple[int, DataFrame]], frame: list[tuple[int, str]], path: str, parts: int) -> None:
+    """Elements (DataFrames with value) between fixed lines, by place, in so many well-formed documents: path/part=k holds one file."""
+    spark = elements[0][1].sparkSession
+    lines = None
+    for at, df in elements:
+        rows = df.select(F.pmod(F.xxhash64("value"), F.lit(parts)).cast("long").alias("part"), F.lit(at).alias("at"), "value")
+        lines = rows if lines is None else lines.union(rows)
+    fixed = F.explode(F.array(*(F.struct(F.lit(at).alias("at"), F.lit(x).alias("value")) for at, x in frame)))
+    whole = lines.union(spark.range(parts).select("id", fixed.alias("x")).select("id", "x.at", "x.value")).repartition(parts, "part")
+    whole.sortWithinPartitions("part", "at", "value").select("part", "value").write.partitionBy("part").text(path)
+
+
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, parts: int = 4) -> None:
-    """GraphML in so many documents, each well-formed: path/part=k holds one file of head, elements and tail."""
-    spark = nodes.sparkSession
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    lines = nodes.select(F.lit(1).alias("at"), F.concat(F.lit('<node id="'), esc("id"), F.lit('"/>')).alias("value"))
-    lines = lines.union(edges.select(F.lit(2), F.concat(F.lit('<edge source="'), esc("src"), F.lit('" target="'), esc("dst"), F.lit('"/>'))))
-    lines = lines.select(F.pmod(F.xxhash64("value"), F.lit(parts)).cast("long").alias("part"), "at", "value")
-    frame = spark.range(parts).select("id", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit("<graphml><graph>").alias("value")), F.struct(F.lit(3).alias("at"), F.lit("</graph></graphml>").alias("value")))).alias("x"))
-    whole = lines.union(frame.select("id", "x.at", "x.value")).repartition(parts, "part").sortWithinPartitions("part", "at", "value")
-    whole.select("part", "value").write.partitionBy("part").text(path)
+    n = nodes.select(F.concat(F.lit('<node id="'), _escaped("id"), F.lit('"/>')).alias("value"))
+    e = edges.select(F.concat(F.lit('<edge source="'), _escaped("src"), F.lit('" target="'), _escaped("dst"), F.lit('"/>')).alias("value"))
+    _write_xml([(1, n), (2, e)], [(0, "<graphml><graph>"), (3, "</graph></graphml>")], path, parts)
+
+
+def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, parts: int = 4) -> None:
+    n = nodes.select(F.concat(F.lit('<node id="'), _escaped("id"), F.lit('" label="'), _escaped("label"), F.lit('"/>')).alias("value"))
+    e = edges.select(F.concat(F.lit('<edge id="'), F.md5(F.concat_ws(":", F.col("src").cast("string"), F.col("dst").cast("string"))), F.lit('" source="'), _escaped("src"), F.lit('" target="'), _escaped("dst"), F.lit('"/>')).alias("value"))
+    _write_xml([(1, n), (3, e)], [(0, '<gexf version="1.3"><graph defaultedgetype="directed"><nodes>'), (2, "</nodes><edges>"), (4, "</edges></graph></gexf>")], path, parts)
 
 
 def write_vectors(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -198,3 +217,46 @@ def parse_cases(text: str) -> list[dict[str, str]]:
         for k, v in case.items():
             case[k] = v.rstrip("\n")
     return cases
+
+
+class PagedSource(DataSource):
+    """A paginated interface, page by page until one is short. fetch (a pickled function of page and size, in hex) is injected."""
+
+    @classmethod
+    def name(cls):
+        return "paged"
+
+    def schema(self):
+        return "id long, title string, keys array<string>"
+
+    def reader(self, schema):
+        return PagedReader(self.options)
+
+
+class PagedReader(DataSourceReader):
+    def __init__(self, options):
+        self.fetch, self.size = bytes.fromhex(options["fetch"]), int(options.get("size", "100"))
+
+    def partitions(self):
+        return [InputPartition(0)]  # how many pages there are shows only on the way
+
+    def read(self, partition):
+        import pickle
+
+        fetch, page = pickle.loads(self.fetch), 1  # noqa: S301  the caller's own function
+        while True:
+            rows = fetch(page, self.size)
+            for r in rows:
+                yield r.get("id"), r.get("title"), sorted(r)
+            if len(rows) < self.size:
+                return
+            page += 1
+
+
+def read_issues(spark: SparkSession, fetch, size: int = 100) -> DataFrame:
+    """(id, title) of all issues that fetch(page, size) gives, without pull requests."""
+    from pyspark import cloudpickle
+
+    spark.dataSource.register(PagedSource)
+    d = spark.read.format("paged").option("fetch", cloudpickle.dumps(fetch).hex()).option("size", str(size)).load()
+    return d.where(~F.array_contains("keys", "pull_request")).select("id", "title")

@@ -266,6 +266,20 @@ def test_steps(spark):
         steps.run([{"name": "none", "input": "x", "output": "y"}], {"x": spark.range(1)})
 
 
+def test_tools(spark):
+    tools = pl.Tools()
+    tools.register("take", n=(int, True))(lambda d, n: d.limit(n))
+    assert tools.call("take", spark.range(5), n=2).count() == 2
+    for bad in ({}, {"n": "2"}, {"n": 1, "m": 2}):
+        with pytest.raises(TypeError):
+            tools.call("take", spark.range(5), **bad)
+
+
+def test_pages_end_with_a_short_one(spark):
+    calls = lambda page, size: [{"id": i, "title": "t"} for i in range(4)][(page - 1) * size : page * size]
+    assert io.read_issues(spark, calls, 2).count() == 4 and io.read_issues(spark, calls, 3).count() == 4
+
+
 def test_cached_map_works_on_misses_only(spark):
     seen = spark.sparkContext.accumulator(0)
     d = spark.createDataFrame([("a",), ("b",), ("b",)], "t string")
