@@ -109,7 +109,41 @@ regexp_replace(regexp_replace({0},
   '\\[(\\\\*(?:INST\\]|/INST\\]))', '[\\\\\\1', 'g')
 """
 
+
+
+def _url_filter_sql(order: int = 4, folds: int = 5, alphabet: int = 128) -> str:
+    """The rules and the Markov models of url_filter.py in SQL."""
+    ranked = sorted(URL_RULES, key=lambda x: (-len(x[1]), x[0] != "block", x[1]))
+    fits = [(v, r, "(host = '{0}' or ends_with(host, '.{0}')) and starts_with(path, '/{1}')".format(*r.split("/", 1))) for v, r in ranked]
+    rule = "case " + " ".join(f"when {f} then '{r}'" for _, r, f in fits) + " end"
+    by_rule = "case " + " ".join(f"when {f} then '{v}'" for v, _, f in fits) + " end"
+    gram = f"select url, by_rule, held, substr(repeat(chr(2), {order}) || url, pos, {order + 1}) as gram from (select *, unnest(range(1, length(url) + 1)) as pos from urls)"
+    levels = f"p_0 as (select distinct gram, {1 / alphabet}::double as a, {1 / alphabet}::double as r from judged)"
+    for k in range(order + 1):
+        p = lambda c: f"case when coalesce(h.n_{c}, 0) > 0 then (coalesce(s.{c}, 0) + h.t_{c} * p.{c}) / (h.n_{c} + h.t_{c}) else p.{c} end as {c}"
+        levels += f""",
+  s_{k} as (select right(gram, {k + 1}) as g, sum(a)::double as a, sum(r)::double as r from counts group by 1),
+  h_{k} as (select left(g, length(g) - 1) as h, sum(a) as n_a, sum(r) as n_r, count(*) filter (where a > 0) as t_a, count(*) filter (where r > 0) as t_r from s_{k} group by 1),
+  p_{k + 1} as (select p.gram, {p("a")}, {p("r")} from p_{k} p left join s_{k} s on s.g = right(p.gram, {k + 1}) left join h_{k} h on h.h = left(right(p.gram, {k + 1}), {k}))"""
+    return f"""
+with split as (select page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+  ruled as (select *, {rule} as rule, {by_rule} as by_rule from split),
+  urls as (select distinct url, by_rule, ('0x' || substr(md5(url), 1, 8))::bigint % {folds} = 0 as held from ruled where contains(url, '://')),
+  grams as materialized ({gram}),
+  counts as (select gram, count(*) filter (where by_rule = 'allow') as a, count(*) filter (where by_rule = 'block') as r from grams where by_rule is not null and not held group by 1),
+  judged as (select * from grams where by_rule is null or held),
+  {levels},
+  scores as (select url, any_value(by_rule) as by_rule, avg(ln(p.a) - ln(p.r)) as score from judged join p_{order + 1} p using (gram) group by 1),
+  spread as (select avg(score) filter (where by_rule = 'allow') as ma, avg(score) filter (where by_rule = 'block') as mr, coalesce(stddev_pop(score) filter (where by_rule = 'allow'), 0) + 1e-6 as sa,
+    coalesce(stddev_pop(score) filter (where by_rule = 'block'), 0) + 1e-6 as sr from scores)
+select page_id, host, path, rule, coalesce(r.by_rule, case when s.score < (select (ma * sr + mr * sa) / (sa + sr) from spread) then 'block' else 'allow' end) as verdict
+from ruled r left join scores s on s.url = r.url and r.by_rule is null
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op9_url_filter": _url_filter_sql(),
     "op6_chat": f"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
