@@ -303,3 +303,18 @@ def test_without_llm():
             for node in ast.walk(ast.parse(p.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any("llm" in n for n in names), p
+
+
+def test_property_graph(spark):
+    from graphloom.model import SCHEMAS, PropertyGraph, with_defaults
+
+    for ddl in SCHEMAS.values():
+        assert spark.createDataFrame([], ddl).columns
+    v = spark.createDataFrame([(1, "file"), (2, "function"), (3, "odd")], "id long, type string")
+    e = spark.createDataFrame([(1, 2, "contains_function", 1), (1, 2, "function_incoming", 2), (2, 9, "nonsense", 3)], "src long, dst long, type string, seq long")
+    g = PropertyGraph(v, e)
+    assert rows(g.last_wins("seq").edges.select("src", "dst", "type")) == [(1, 2, "function_incoming"), (2, 9, "nonsense")]
+    assert rows(g.invalid()) == [("edge type", "nonsense"), ("missing vertex", "9"), ("node type", "odd")]
+    assert rows(g.components()) == [(1, 1), (2, 1), (3, 3)]
+    assert g.subgraph(spark.range(3)).edges.count() == 2
+    assert rows(with_defaults(v.withColumn("label", F.lit(None).cast("string")), {"label": "", "body": "-"}).select("label", "body").distinct()) == [("", "-")]
