@@ -205,7 +205,7 @@ class Encoder:
         begins = np.cumsum([0, *map(len, raw)])
         follows = np.empty(len(buf), bool)
         follows[:-1] = SEEN[buf[1:]]
-        follows[-1] = False
+        follows[begins[1:] - 1] = False  # what follows a text's end is another text
         cut = (buf == 0x20) & follows
         feeds = np.nonzero((buf == 0x0A) & follows)[0]
         feeds = feeds[feeds > 0]

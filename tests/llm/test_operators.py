@@ -90,6 +90,14 @@ def test_encoder_forgets_exactly(library):
         assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [ids_of(library, t) for t in texts]
 
 
+def test_encoder_keeps_texts_apart(library):
+    from graphloom.llm.encoder import Encoder
+
+    enc = Encoder(Q.tokenizer_file())
+    texts = [x for k in range(1, 40) for x in ("a" + " " * k, "b", "c" + "\n" * k, "d", "e\n" + " " * k, "\nf", " " * k, "g")]
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [ids_of(library, t) for t in texts]
+
+
 def test_token_counts(docs, rows, empty, library):
     from graphloom.llm.token_counts import token_counts
 
@@ -358,6 +366,23 @@ def test_url_filter(spark):
     assert {r.verdict for r in filter_urls(pages, []).collect()} == {"allow"}
 
 
+def test_url_filter_is_native(spark):
+    from graphloom.llm.url_filter import filter_urls
+
+    plan = filter_urls(spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string"), Q.URL_RULES)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)
+
+
+def test_signatures_of_copies_agree_and_spread():
+    from graphloom.llm.packing import signature
+
+    rng = np.random.default_rng(4)
+    long, short = ([signature(rng.integers(0, 50_000, n).astype(np.uint16)) for _ in range(400)] for n in (5000, 50))
+    assert abs(sum(x < 0 for x in long) - 200) < 60 and abs(sum(x < 0 for x in short) - 200) < 60
+    doc = rng.integers(0, 50_000, 3000).astype(np.uint16)
+    assert signature(doc) == signature(doc.copy())
+
+
 def test_url_model_on_held_out(spark):
     """Hosts of rejected words in open top-level domains are told from others."""
     from graphloom.llm.url_filter import filter_urls
