@@ -11,11 +11,11 @@ from graphloom.plans.base import CALLS, Registry
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
-FUNCS = "select p_partkey as id, p_name as body, split_part(p_name, ' ', 1) as symbol, p_brand as file from part"
+FUNCS = "select p_partkey as id, p_name as body, split_part(p_name, ' ', 1) as symbol, p_brand as file, p_size as size from part"
 
 
 def funcs(t):
-    return t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("body"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("symbol"), F.col("p_brand").alias("file"))
+    return t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("body"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("symbol"), F.col("p_brand").alias("file"), F.col("p_size").alias("size"))
 
 
 @query("o_j1_edges_with_bodies", f"select e.*, a.body as src_body, b.body as dst_body from ({CALLS}) e join ({FUNCS}) a on a.id = e.src join ({FUNCS}) b on b.id = e.dst")
@@ -41,9 +41,9 @@ def _(t):
     return op.explode_members(owners, t.part.where("p_size < 20").select(F.col("p_partkey").alias("member")), "owner", "members", "member")
 
 
-@query("o_j5_canonical", f"select w.id, (select c.id from ({FUNCS}) c where c.symbol = w.symbol and c.id % 3 = 0 order by (c.file = w.file) desc, c.id limit 1) as cid from ({FUNCS}) w where w.symbol in (select symbol from ({FUNCS}) where id % 3 = 0)")
+@query("o_j5_canonical", f"select w.id, (select c.id from ({FUNCS}) c where c.symbol = w.symbol and c.size < 20 order by (c.file = w.file) desc, c.id limit 1) as cid from ({FUNCS}) w where w.symbol in (select symbol from ({FUNCS}) where size < 20)")
 def _(t):
-    c = funcs(t).where("id % 3 = 0").select(F.col("id").alias("cid"), "symbol", "file", F.col("id").alias("seq"))
+    c = funcs(t).where("size < 20").select(F.col("id").alias("cid"), "symbol", "file", F.col("id").alias("seq"))
     return op.canonical(funcs(t).select("id", "symbol", "file"), c)
 
 
@@ -77,9 +77,9 @@ def _(t):
     return op.module_dependencies(t.calls.select("src", "dst"), m, t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").alias("module"))).withColumn("dependencies", F.array_join("dependencies", "|"))
 
 
-@query("o_j10_fan_out", f"select src, string_agg(dst::varchar, '|' order by dst) as dsts from (select distinct src, dst from ({CALLS}) where src % 2 = 0 and dst % 2 = 0) group by src")
+@query("o_j10_fan_out", f"select src, string_agg(dst::varchar, '|' order by dst) as dsts from (select distinct src, dst from ({CALLS}) where src in (select s_suppkey from supplier where s_acctbal > 0) and dst in (select s_suppkey from supplier where s_acctbal > 0)) group by src")
 def _(t):
-    return op.fan_out(t.calls, t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id")).union(t.spark.range(97).where("id % 2 = 0")).distinct()).withColumn("dsts", F.array_join("dsts", "|"))
+    return op.fan_out(t.calls, t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))).withColumn("dsts", F.array_join("dsts", "|"))
 
 
 @query("o_j11_reference_nodes", f"select distinct e.src, f.body from ({CALLS}) e join ({FUNCS}) f on f.id = e.dst where f.file like 'Brand#1%'")
@@ -142,10 +142,10 @@ def _(t):
     return t.customer.select("c_custkey").join(first, "c_custkey")
 
 
-@query("o_j23_header_lookup", f"select w.id, (select c.id from ({FUNCS}) c where c.id % 2 = 0 and c.symbol = w.symbol order by (c.file = w.file) desc, c.id limit 1) as cid from ({FUNCS}) w where w.id % 2 = 1")
+@query("o_j23_header_lookup", f"select w.id, (select c.id from ({FUNCS}) c where c.size < 20 and c.symbol = w.symbol order by (c.file = w.file) desc, c.id limit 1) as cid from ({FUNCS}) w where w.size >= 20")
 def _(t):
-    w = funcs(t).where("id % 2 = 1").select("id", "symbol", "file")
-    c = funcs(t).where("id % 2 = 0").select(F.col("id").alias("cid"), "symbol", "file", F.col("id").alias("seq"))
+    w = funcs(t).where("size >= 20").select("id", "symbol", "file")
+    c = funcs(t).where("size < 20").select(F.col("id").alias("cid"), "symbol", "file", F.col("id").alias("seq"))
     return w.select("id").join(op.canonical(w, c), "id", "left")
 
 
@@ -154,10 +154,10 @@ def _(t):
     return op.cyclic_shift(t.events.select("event_id", "user_id"), "user_id", "event_id", "event_id").select("event_id", "other")
 
 
-@query("o_j25_uses_name", r"with w as (select distinct doc_id as id, source, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as name from documents), n as (select distinct source, regexp_extract(text, '[A-Za-z0-9_]+') as name from documents where doc_id % 7 = 0) select w.source, w.id, w.name from w join n using (source, name)")
+@query("o_j25_uses_name", r"with w as (select distinct doc_id as id, source, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as name from documents), n as (select distinct source, regexp_extract(text, '[A-Za-z0-9_]+') as name from documents) select w.source, w.id, w.name from w join n using (source, name)")
 def _(t):
     b = t.documents.select("source", F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    n = t.documents.where("doc_id % 7 = 0").select("source", F.regexp_extract("text", "[A-Za-z0-9_]+", 0).alias("name")).distinct()
+    n = t.documents.select("source", F.regexp_extract("text", "[A-Za-z0-9_]+", 0).alias("name")).distinct()
     return op.uses_name(b, n, ["source"])
 
 

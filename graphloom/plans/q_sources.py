@@ -20,12 +20,13 @@ def folder(t, name):
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("o_i1_markdown", "select doc_id, md5(text) as digest from documents where doc_id % 50 = 0")
+@query("o_i1_markdown", "select source, doc_id, md5(text) as digest from documents")
 def _(t):
-    at = folder(t, "md")
-    t.documents.where("doc_id % 50 = 0").select("doc_id", F.regexp_replace("text", "\n", "\x02").alias("value")).repartition(4).write.partitionBy("doc_id").option("lineSep", "\x03").text(at)
-    d = t.spark.read.text(at, wholetext=True)  # one file a document, as a tree of folders
-    return d.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.regexp_replace(F.regexp_replace("value", "\x03$", ""), "\x02", "\n")).alias("digest"))
+    at = folder(t, "md")  # a folder a source, in which documents are parted by a control character
+    rows = t.documents.select("source", F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text").alias("value"))
+    rows.repartition("source").write.partitionBy("source").option("lineSep", "\x03").text(at)
+    d = io.read_markdown(t.spark, at, "*.txt").select(F.replace("source", F.lit("source="), F.lit("")).alias("source"), F.explode(F.split("content", "\x03")).alias("doc")).where("doc <> ''")
+    return d.select("source", F.regexp_extract("doc", "^(\\d+):", 1).cast("long").alias("doc_id"), F.md5(F.regexp_replace("doc", "^\\d+:", "")).alias("digest"))
 
 
 @query("o_i2_scan_files")

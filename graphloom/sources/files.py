@@ -29,9 +29,9 @@ def within_depth(files: DataFrame, root: str, most: int) -> DataFrame:
     return files.withColumn("folder", F.regexp_replace(relative, "/?[^/]*$", "")).withColumn("depth", F.size(F.split(relative, "/")) - 1).where(F.col("depth") <= most)
 
 
-def read_markdown(spark: SparkSession, root: str) -> DataFrame:
+def read_markdown(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     """(id, path, source, content) of .md files, those in or named dot-something left out; source is the first folder below root."""
-    d = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    d = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     relative = F.regexp_replace("path", "^.*?" + root.rstrip("/").split("://")[-1] + "/", "")
     d = d.withColumn("relative", relative).where(~F.exists(F.split("relative", "/"), lambda x: x.startswith(".")))
     return d.select(F.md5("relative").alias("id"), "path", F.split_part("relative", F.lit("/"), F.lit(1)).alias("source"), "content")
