@@ -29,12 +29,15 @@ K1, B = 1.2, 0.75
 
 
 def signature(ids: np.ndarray) -> int:
-    """Least hash of neighbouring id pairs (of the single id where there's one), as a signed 64-bit number."""
+    """Least hash of neighbouring id pairs (of the single id where there's one), hashed again: least hashes of long
+    documents are small, which would gather those in the first ranges. A signed 64-bit number."""
     x = ids.astype(np.uint64)
     pairs = (x[:-1] << np.uint64(32) | x[1:]) if len(x) > 1 else x
     h = (pairs ^ (pairs >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return int((h ^ (h >> np.uint64(32))).min().view(np.int64)) if len(x) else 0
+    least = (h ^ (h >> np.uint64(32))).min(keepdims=True)
+    least = (least ^ (least >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return int((least ^ (least >> np.uint64(27))).view(np.int64)[0])
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
