@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.operators import code_graph as cg
 from graphloom.operators import graph as op
 from graphloom.plans.base import CALLS, NODES, RING, TREE, Registry
 
@@ -149,13 +150,17 @@ def _(t):
 
 @query("o_g20_code_graph", "select 'file:' || p_brand as src, 'func:' || p_brand || ':' || p_partkey::varchar as dst, 'contains_function' as type from part where p_size <= 25 union all select 'file:' || p_brand, 'var:' || p_brand || ':' || p_partkey::varchar, 'contains_variable' from part where p_size > 25")
 def _(t):
-    kind = F.when(F.col("p_size") <= 25, "func").otherwise("var")
-    return t.part.select(F.concat(F.lit("file:"), "p_brand").alias("src"), F.concat_ws(":", kind, "p_brand", F.col("p_partkey").cast("string")).alias("dst"), F.when(F.col("p_size") <= 25, "contains_function").otherwise("contains_variable").alias("type"))
+    name, path, function = F.col("p_partkey").cast("string"), F.col("p_brand"), F.col("p_size") <= 25
+    known = F.create_map(name, F.struct(F.struct(path.alias("file_path")).alias("definition"), F.lit(None).cast("array<struct<file_path: string>>").alias("references")))
+    made = {"file_path": path, "functions": F.when(function, F.array(name)), "global_variables": F.when(~function, F.array(name)), "global_var_analysis": known}
+    shape = t.spark.createDataFrame([], cg.FILE_ANALYSIS).schema
+    return cg.code_graph(t.part.select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape))).edges
 
 
 @query("o_g21_folder_graph", "select distinct regexp_replace(url, '/[^/]*$', '') as src, url as dst from pages")
 def _(t):
-    return t.pages.select(F.regexp_replace("url", "/[^/]*$", "").alias("src"), F.col("url").alias("dst")).distinct()
+    folders = t.pages.select(F.regexp_replace("url", "/[^/]*$", "").alias("folder_path"), F.array("url").alias("files_analyzed"), F.lit(None).cast("array<string>").alias("referenced_folders"))
+    return cg.folder_graph(folders).edges.select(F.regexp_replace("src", "^folder:", "").alias("src"), F.regexp_replace("dst", "^file:", "").alias("dst")).distinct()
 
 
 @query("o_g22_call_graph", "select distinct l_suppkey as src, p_partkey as dst from lineitem join part on p_partkey = l_partkey where l_returnflag = 'A'")
@@ -220,8 +225,9 @@ def _(t):
 
 @query("o_g33_enclosing_symbols", "select a.doc_id as id, b.item_id as symbol from documents a join benchmark b on a.doc_id between b.item_id * 10 and b.item_id * 10 + 9 where regexp_matches(a.text, '(^|[^a-zA-Z0-9_])the($|[^a-zA-Z0-9_])')")
 def _(t):
-    d = t.documents.where(F.col("text").rlike("(^|[^a-zA-Z0-9_])the($|[^a-zA-Z0-9_])")).select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 10).alias("item_id"))
-    return d.join(t.benchmark.select("item_id"), "item_id").select("id", F.col("item_id").alias("symbol"))
+    d = t.documents.where(cg.mentions(F.col("text"), F.lit("the"))).select(F.lit("f").alias("file"), F.col("doc_id").alias("id"), F.col("doc_id").alias("start_line"), F.col("doc_id").alias("end_line"))
+    b = t.benchmark.select(F.lit("f").alias("file"), F.col("item_id").alias("symbol"), (F.col("item_id") * 10).alias("first_line"), (F.col("item_id") * 10 + 9).alias("last_line"))
+    return cg.enclosing(b, d).select("id", "symbol")
 
 
 @query("o_g34_outline")
