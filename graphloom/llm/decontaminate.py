@@ -1,16 +1,17 @@
 """Operator 8: benchmark decontamination by spaced-seed hashing.
 
 Words are runs of \\w, lowered. A mask keeps some positions of a window and ignores the others; the hash of
-the kept words, with the mask's number, is joined between benchmark and training texts. The four MASKS
-together hit every aligned stretch of 13 words with up to 2 substitutions, of 16 with up to 3 and of 20 with
-up to 4, wherever these are. Around a hit, benchmark item and document are aligned word by word, and the
+the kept words, with the mask's number, is joined between benchmark and training texts. The MASKS together
+hit every aligned stretch of 13 words with up to 2 substitutions, of 15 with up to 3 and of 20 with up to 4,
+wherever these are, and so all that is accepted: a longer stretch without five equal words at its beginning is
+accepted without these five, too. Items of fewer than MIN_WORDS words are found by the SHORT masks. Around a hit, benchmark item and document are aligned word by word, and the
 longest stretch of which at least 80 % of the words are equal is the overlap. It counts from MIN_WORDS words
 on (for shorter items: the whole item).
 
 The benchmark is the stated query set: it's taken in blocks of about BLOCK_WORDS words, each sent to the
 workers and held against all documents. Documents stay where they are; nothing is shuffled or paired.
 
-Null text: no words. Items of fewer than 5 words are not looked for. Null ids are carried along. Repeated
+Null text: no words, and items of no words are not looked for. Null ids are carried along. Repeated
 rows: reported each. Empty tables: no overlap. All words of a text are hashed, whatever its length.
 """
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import small_batches, texts_of, trim
 
 #: Kept positions of the spaced seeds (fixed values, found by search; see above for what they guarantee).
-MASKS = ("11111", "110101101", "1001110101", "1101100011")
+MASKS = ("11111", "110101101", "1001110101", "1101100011", "1110111")
+#: For items of one word, of two, and (both) of three words or more.
+SHORT = ("1", "11", "111", "11011")
 MIN_WORDS, SIMILARITY = 13, 0.8
 BLOCK_WORDS = 1 << 20
 WORD = re.compile(r"\w+")
@@ -38,9 +41,15 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.array([*map(xxhash.xxh64_intdigest, WORD.findall((text or "").lower()))], np.uint64)
 
 
+def masks_for(n: int) -> list[int]:
+    """Numbers of the masks, SHORT after MASKS, for an item of n words."""
+    first = len(MASKS)
+    return [*range(first)] if n >= MIN_WORDS else [first + n - 1] if n < 3 else [first + 2, first + 3]
+
+
 def seeds(words: np.ndarray, number: int) -> np.ndarray:
     """Hash of each window's kept words, for one mask."""
-    mask = MASKS[number]
+    mask = (*MASKS, *SHORT)[number]
     n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -58,14 +67,15 @@ class Index:
     BITS = 22
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.items = [(i, w) for i, w in ((i, word_hashes(t)) for i, t in items) if len(w) >= len(MASKS[0])]
+        self.items = [(i, w) for i, w in ((i, word_hashes(t)) for i, t in items) if len(w)]
         hashes, item, place = [], [], []
         for k, (_, words) in enumerate(self.items):
-            for m in range(len(MASKS)):
+            for m in masks_for(len(words)):
                 h = seeds(words, m)
                 hashes.append(h)
                 item.append(np.full(len(h), k, np.int32))
                 place.append(np.arange(len(h), dtype=np.int32))
+        self.masks = sorted({m for _, words in self.items for m in masks_for(len(words))})
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         hashes, item, place = cat(hashes, np.uint64), cat(item, np.int32), cat(place, np.int32)
         order = np.argsort(hashes, kind="stable")
@@ -80,7 +90,7 @@ class Index:
         """(item_id, first word in the document, in the item, words, equal words): the longest of each item."""
         found: dict[int, tuple[int, int, int, int]] = {}
         tried: set[tuple[int, int]] = set()
-        for m in range(len(MASKS)):
+        for m in self.masks:
             h = seeds(words, m)
             at = np.nonzero(self.map[self._slot(h)])[0]
             left, right = (np.searchsorted(self.hashes, h[at], side=s) for s in ("left", "right"))
