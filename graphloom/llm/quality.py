@@ -3,17 +3,22 @@
 Base rules, from whole texts: words are [^\\x20\\x09-\\x0D]+; fewer than 50 words fail, as do texts of which
 more than half of the words lie in 3-word windows that occur twice or more.
 
-Perplexity: characters fold to 64 symbols (letters without case, digits, kinds of punctuation, other
-letters by code point), so a 4-gram is a 24-bit hash and a language's model has at most 2^24 entries, however
-large the corpus. Tasks count 4-grams of all documents, Spark adds the counts up, and a modified
-Kneser-Ney model (three discounts an order, continuation counts below the highest order) is fitted for each
-language. It's stored as sorted hash arrays, one pair of arrays an order; an index of begins and bit sets
-over the contexts makes a look-up a rank. Workers read the models they need from the shared folder.
-
-A document's perplexity is over its characters. For each language, the band is the median of the
-log-perplexity of documents that pass the base rules, more or less BAND times the (scaled) median absolute
-deviation and a fixed BELOW or ABOVE, wide enough for documents that mix languages or quote lists; outside
-of it, as runs of one character or random characters are, documents are rejected.
+Perplexity: a modified Kneser-Ney model of order 5 over code points, none folded, one for each language. Tasks
+count 5-grams of all documents, Spark adds the counts up and makes the model: continuation counts below the
+highest order (plain counts where a gram begins a text), three discounts an order from the counts of counts,
+back-off weights, interpolation down to a uniform distribution over code points. It's stored as sorted arrays
+of 64-bit hashes in shards by range of the hash, which grow in number with the corpus. A worker holds at most
+SHARDS_HELD of them at once and reads others again when it needs them, so its memory is bounded at any size.
+
+A document must not speak for itself: a gram or context of which the corpus has no more occurrences than the
+document is unknown to the document's score, and the next lower order is asked. So a gram seen once needs no
+place in the arrays (its only reader is the document that has it), and there's none.
+
+Bands: a document's log-perplexity (over its characters) is compared with the median of its language's
+documents that pass the base rules. The usual deviation of a document of n characters is
+sqrt(mad^2 + noise^2 / n), both terms measured: mad is the scaled median absolute deviation of long documents,
+noise that of short ones times the square root of their length. Documents of more than BAND_BELOW such deviations
+below, or BAND_ABOVE of them above, are rejected.
 
 Null text: no words, so the base rules fail. Null lang: a language of its own. Repeated rows: judged each,
 and counted each in the model. Languages with no document that passes the base rules have no band and no
@@ -28,187 +33,345 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import WHITE_STR, materialize, open_fs, scratch, trim
-
-ORDER, BITS = 4, 6
-BAND, BELOW, ABOVE = 8.0, 0.5, 1.0
-PAD = "\U0010ffff"
+from graphloom.llm.common import WHITE_STR, materialize, open_fs, scratch, small_batches, trim
+
+ORDER = 5
+#: Bits of a code point; three fit a signed long.
+POINT = 21
+#: Stands before a text's first character: a code point that is no character.
+PAD = 0x10FFFF
+CODE_POINTS = 0x110000
+BAND_BELOW, BAND_ABOVE = 3.0, 4.0
+#: Documents of at least LONG_DOC characters show the spread of styles, shorter ones that of chance.
+LONG_DOC = 2000
+SHARD_ROWS, SHARDS_HELD = 1 << 21, 16
 SYMBOLS = "#*$%&|<>"
 NO_LANG = "\x00none"
 LONG_WORDS = 100_000
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-KINDS = {".": 29, ",": 30} | dict.fromkeys(";:!?", 31) | dict.fromkeys("'\"`", 32) | dict.fromkeys("-()[]{}/_", 33)
-
-
-@functools.cache
-def folding() -> np.ndarray:
-    """Symbol (0 to 63; 0: before the text) of every code point."""
-    out = (36 + np.arange(0x110000) % 28).astype(np.uint8)
-    for c in range(128):
-        ch = chr(c).lower()
-        out[c] = ord(ch) - 96 if "a" <= ch <= "z" else 27 if ch.isdigit() else 28 if ch in WHITE_STR else KINDS.get(ch, 34 if c >= 32 else 35)
-    for c in range(128, 0x3000):
-        low = chr(c).lower()
-        if len(low) == 1:
-            out[c] = 36 + ord(low) % 28 if ord(low) >= 128 else out[ord(low)]
-    out[0x10FFFF] = 0
-    return out
 
 
-def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """4-gram of every character of the texts, and where each text's begin and end."""
-    pad = PAD * (ORDER - 1)
-    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le"), np.uint32)
-    s = folding()[points].astype(np.uint32)
-    keys = np.zeros(len(s), np.uint32)
-    for k in range(ORDER):
-        keys[ORDER - 1 :] |= s[k : len(s) - ORDER + 1 + k] << np.uint32(BITS * (ORDER - 1 - k))
-    lengths = np.array([len(t) for t in texts], np.int64)
-    begins = np.cumsum(lengths + ORDER - 1) - lengths
-    return keys, begins, begins + lengths
+# --- grams: the last three code points in lo, those before in hi, right-aligned
 
 
-def by_language(langs: list, texts: list, ids: range | list):
+def points_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts, each behind ORDER - 1 PADs, and where each text's begin and end."""
+    pad = chr(PAD) * (ORDER - 1)
+    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(lengths + ORDER - 1) - lengths
+    return points, begins, begins + lengths
+
+
+def inside(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Places of the texts' characters, without the PADs before them."""
+    real = np.ones(len(points), bool)
+    real[(begins[:, None] - np.arange(1, ORDER)).ravel()] = False
+    return np.nonzero(real)[0]
+
+
+def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hi, lo) of the ORDER code points that end at each place from ORDER - 1 on."""
+    n, shift = len(points) - ORDER + 1, np.uint64(POINT)
+    lo = points[ORDER - 3 : ORDER - 3 + n] << shift
+    lo |= points[ORDER - 2 : ORDER - 2 + n]
+    lo <<= shift
+    lo |= points[ORDER - 1 :]
+    hi = points[:n] << shift
+    hi |= points[1 : 1 + n]
+    return hi, lo
+
+
+def gram_of(points: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hi, lo) of the grams of this order that end at the places at."""
+    hi = lo = np.zeros(len(at), np.uint64)
+    for back in range(order - 1, -1, -1):
+        p = points[at - back]
+        if back < 3:
+            lo = lo << np.uint64(POINT) | p
+        else:
+            hi = hi << np.uint64(POINT) | p
+    return hi, lo
+
+
+def hash_of(hi: np.ndarray, lo: np.ndarray, order: int | np.ndarray) -> np.ndarray:
+    salt = order * np.uint64(0xC2B2AE3D27D4EB4F) if isinstance(order, np.ndarray) else np.uint64(order * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
+    h = lo * np.uint64(0x9E3779B97F4A7C15) ^ (hi + salt) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def by_language(langs: list, ids: range | list) -> dict[str, list[int]]:
     groups: dict[str, list[int]] = {}
     for i in ids:
         groups.setdefault(NO_LANG if langs[i] is None else langs[i], []).append(i)
     return groups
 
 
+def merged(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal grams added up, by one sort of hash and place in a 64-bit number. Grams whose hashes agree in
+    the upper bits may stay in two rows; Spark adds those up."""
+    size = max(1, len(lo) - 1).bit_length()
+    packed = hash_of(hi, lo, 0) >> np.uint64(size) << np.uint64(size) | np.arange(len(lo), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << size) - 1)).astype(np.int64)
+    hi, lo = hi[order], lo[order]
+    first = np.nonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))[0]
+    return hi[first], lo[first], np.add.reduceat(n[order], first)
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over all documents (lang, text)."""
+    """lang, hi, lo, n: the 5-grams of all documents (lang, text)."""
 
     def run(batches):
         from graphloom.llm.encoder import slices
 
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[str, list[tuple]] = {}
+        fresh: dict[str, int] = {}
 
-        def merge(lang):
-            keys, counts = (np.concatenate(x) for x in zip(*held[lang]))
-            u, at = np.unique(keys, return_inverse=True)
-            held[lang] = [(u, np.bincount(at, weights=counts, minlength=len(u)).astype(np.int64))]
+        def close(lang):
+            held[lang] = [merged(*(np.concatenate(x) for x in zip(*held[lang])))]
+            fresh[lang] = 0
 
         for batch in batches:
             langs, texts = (c.to_pylist() for c in batch.columns)
             for a, b in slices(texts):
-                for lang, at in by_language(langs, texts, range(a, b)).items():
-                    keys, begins, ends = keys_of([texts[i] or "" for i in at])
-                    real = np.zeros(len(keys) + 1, np.int8)
-                    np.add.at(real, begins, 1)
-                    np.add.at(real, ends, -1)
-                    held.setdefault(lang, []).append(np.unique(keys[np.cumsum(real[:-1]) > 0], return_counts=True))
-                    if len(held[lang]) > 8:
-                        merge(lang)
+                for lang, at in by_language(langs, range(a, b)).items():
+                    points, begins, _ = points_of([texts[i] or "" for i in at])
+                    ends = inside(points, begins) - (ORDER - 1)
+                    if not len(ends):
+                        continue
+                    held.setdefault(lang, []).append(merged(*(x[ends] for x in grams(points)), np.ones(len(ends), np.int64)))
+                    fresh[lang] = fresh.get(lang, 0) + len(held[lang][-1][0])
+                    if fresh[lang] > max(1 << 20, len(held[lang][0][0])):
+                        close(lang)
             trim()
         for lang in held:
-            merge(lang)
-            keys, counts = held[lang][0]
-            for i in range(0, len(keys), 1 << 16):
-                k, n = keys[i : i + (1 << 16)], counts[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(n)], ["lang", "gram", "n"])
-
-    return docs.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from the counts of counts.
-
-    What was seen once is discounted wholly: documents are judged by a model that has seen them, and grams
-    that nothing else has must not speak for them.
-    """
-    n1, n2, n3, n4 = (max(1, int((counts == k).sum())) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    return np.clip([1.0, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [1.0, 0.1, 0.15], [1.0, 2.0, 3.0])
-
-
-def fit(grams: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """The model of one language: for each order, sorted hashes and log-probabilities, contexts and log back-off."""
-    order = np.argsort(grams)
-    table, model = (grams[order].astype(np.int64), counts[order].astype(np.int64)), {}
-    levels = [table]
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different symbols come before
-        levels.append(np.unique(levels[-1][0] & ((1 << BITS * k) - 1), return_counts=True))
-    below_keys, below = np.zeros(1, np.int64), np.array([1.0 / (1 << BITS)])
-    for k, (keys, c) in enumerate(reversed(levels), 1):
-        d = discounts(c)[np.clip(c, 1, 3) - 1]
-        contexts, at = np.unique(keys >> BITS, return_inverse=True)
-        total = np.bincount(at, weights=c)
-        gamma = np.bincount(at, weights=d) / total
-        suffix = keys & ((1 << BITS * (k - 1)) - 1)
-        lower = below[np.searchsorted(below_keys, suffix)]
-        p = (c - d) / total[at] + gamma[at] * lower
-        p = np.maximum(p, 1e-12)
-        model |= {f"k{k}": keys.astype(np.uint32), f"p{k}": np.log(p).astype(np.float32), f"c{k}": contexts.astype(np.uint32), f"g{k}": np.log(gamma).astype(np.float32)}
-        below_keys, below = keys, p
-    return model
+            close(lang)
+            hi, lo, n = held[lang][0]
+            for i in range(0, len(n), 1 << 16):
+                cut = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[cut]), pa.string()), *(pa.array(c[cut].astype(np.int64)) for c in (hi, lo, n))], ["lang", "hi", "lo", "n"])
 
+    return docs.mapInArrow(run, "lang string, hi long, lo long, n long").groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"))
 
-class Model:
-    """Look-ups in the sorted arrays of one language."""
 
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.a = arrays
-        top = arrays[f"k{ORDER}"]
-        self.begin = np.searchsorted(top, np.arange((1 << BITS * (ORDER - 1)) + 1, dtype=np.int64) << BITS).astype(np.int32)
-        self.bits = np.zeros(1 << BITS * (ORDER - 1), np.uint64)
-        np.bitwise_or.at(self.bits, top >> np.uint32(BITS), np.uint64(1) << (top & np.uint32(63)).astype(np.uint64))
-
-    def log_p(self, keys: np.ndarray) -> np.ndarray:
-        head, bit = keys >> np.uint32(BITS), np.uint64(1) << (keys & np.uint32(63)).astype(np.uint64)
-        own = self.bits[head]
-        found = (own & bit) != 0
-        rank = self.begin[head] + np.bitwise_count(own & (bit - np.uint64(1)))
-        out = np.empty(len(keys), np.float32)
-        out[found] = self.a[f"p{ORDER}"][rank[found]]
-        lost = np.nonzero(~found)[0]
-        if len(lost):
-            out[lost] = self.back_off(keys[lost], ORDER)
-        return out
+# --- the model, by Spark
 
-    def back_off(self, keys: np.ndarray, k: int) -> np.ndarray:
-        """Of grams that order k doesn't have: the context's back-off weight and the order below."""
-        contexts = keys >> np.uint32(BITS)
-        i = np.minimum(np.searchsorted(self.a[f"c{k}"], contexts), len(self.a[f"c{k}"]) - 1)
-        out = np.where(self.a[f"c{k}"][i] == contexts, self.a[f"g{k}"][i], np.float32(0))
-        if k == 1:
-            return out - np.float32(np.log(1 << BITS))
-        keys = keys & np.uint32((1 << BITS * (k - 1)) - 1)
-        own = self.a[f"k{k - 1}"]
-        i = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-        found = own[i] == keys
-        out[found] += self.a[f"p{k - 1}"][i[found]]
-        if not found.all():
-            out[~found] += self.back_off(keys[~found], k - 1)
-        return out
+
+def suffix_of(order: Column, k: int) -> Column:
+    """order, hi, lo of the last k code points."""
+    keep = lambda c, points: F.col(c).bitwiseAND(F.lit((1 << POINT * points) - 1)) if points < 3 else F.col(c)
+    hi = keep("hi", k - 3) if k > 3 else F.lit(0).cast("long")
+    return F.struct(order.alias("order"), hi.alias("hi"), (keep("lo", k) if k else F.lit(0).cast("long")).alias("lo"))
+
+
+def by_order(column) -> Column:
+    """column(k) for rows of order k."""
+    out = F.when(F.col("order") == 1, column(1))
+    for k in range(2, ORDER + 1):
+        out = out.when(F.col("order") == k, column(k))
+    return out
 
 
-def fit_models(counts: DataFrame, path: str) -> str:
-    """One row of arrays a language, written to path. A language's counts are at most 2^24 rows, by the hash."""
+def of_language(rows: DataFrame, table: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """rows joined with table (a row a language and order): sent to the workers while these are few, else by salted keys."""
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), ["lang", "order"])
+    salts = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("hi", "lo"), F.lit(16)).cast("int")).join(salts, ["lang", "order", "salt"]).drop("salt")
+
+
+def levels_of(counts: DataFrame) -> DataFrame:
+    """lang, order, hi, lo, c (the count that the order goes by), n (occurrences): grams of all orders."""
+    gram = ["lang", "order", "hi", "lo"]
+    longer = counts.select("lang", "n", F.explode(F.array(*(suffix_of(F.lit(k), k + 1) for k in range(1, ORDER)))).alias("g"))
+    longer = longer.select("lang", "g.*", "n").groupBy(*gram).agg(F.sum("n").alias("n"))  # each distinct gram of order + 1
+    own = by_order(lambda k: suffix_of(F.col("order"), k)).alias("g")
+    lower = longer.select("lang", own, "n").select("lang", "g.*", "n").groupBy(*gram).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    first = by_order(lambda k: F.shiftrightunsigned("hi", POINT * (k - 4)) if k > 3 else F.shiftrightunsigned("lo", POINT * (k - 1)))
+    lower = lower.withColumn("c", F.when(first == PAD, F.col("n")).otherwise(F.col("c")))
+    return counts.select("lang", F.lit(ORDER).alias("order"), "hi", "lo", F.col("n").alias("c"), "n").unionByName(lower)
+
+
+def discounts(levels: DataFrame) -> DataFrame:
+    """lang, order, d1, d2, d3: the three discounts of each order, from the counts of counts."""
+    n = [F.greatest(F.count(F.when(F.col("c") == k, 1)), F.lit(1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    d = [k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}") for k in (1, 2, 3)]
+    clipped = [F.least(F.greatest(x, F.lit(0.05 * k)), F.lit(0.95 * k)).alias(f"d{k}") for k, x in enumerate(d, 1)]
+    return levels.groupBy("lang", "order").agg(*n).select("lang", "order", *clipped)
+
+
+def fit(counts: DataFrame, path: str) -> DataFrame:
+    """lang, order, hi, lo, p, n (occurrences), gamma (back-off weight as a context), m (occurrences as a context)."""
+    save = lambda df, what: materialize(df, what, posixpath.join(path, what))
+    levels = save(levels_of(counts), "levels")
+    rows = of_language(levels, save(discounts(levels), "discounts"))
+    rows = rows.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+    carried = F.shiftleft(F.col("hi").bitwiseAND(F.lit((1 << POINT) - 1)), 2 * POINT)
+    rows = rows.select("lang", "order", "hi", "lo", "c", "n", "d", F.shiftright("hi", POINT).alias("chi"), F.shiftright("lo", POINT).bitwiseOR(carried).alias("clo"))
+    context = ["lang", "order", "chi", "clo"]
+    contexts = rows.groupBy(*context).agg(F.sum("c").alias("total"), F.sum("d").alias("given"), F.sum("n").alias("m"))
+    parts = rows.join(contexts, context).select(*context, "hi", "lo", "n", "m", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"), (F.col("given") / F.col("total")).alias("gamma"))
+    parts = save(parts, "parts")
+    lower, entries = None, parts.select("lang", (F.col("order") - 1).alias("order"), F.col("chi").alias("hi"), F.col("clo").alias("lo"), F.lit(None).cast("double").alias("p"), F.lit(0).cast("long").alias("n"), "gamma", "m").where("m > 1")
+    for k in range(1, ORDER + 1):
+        now = parts.where(F.col("order") == k)
+        below = F.lit(1.0 / CODE_POINTS)
+        if lower is not None:
+            now = now.withColumn("s", suffix_of(F.lit(k - 1), k - 1)).select("*", F.col("s.hi").alias("shi"), F.col("s.lo").alias("slo"))
+            now = now.join(lower.select("lang", F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p").alias("below")), ["lang", "shi", "slo"])
+            below = F.col("below")
+        lower = now.select("lang", "order", "hi", "lo", (F.col("own") + F.col("gamma") * below).alias("p"), "n")
+        entries = entries.unionByName(lower.where("n > 1").withColumns({"gamma": F.lit(None).cast("double"), "m": F.lit(0).cast("long")}))
+    return entries.groupBy("lang", "order", "hi", "lo").agg(F.max("p").alias("p"), F.max("n").alias("n"), F.max("gamma").alias("gamma"), F.max("m").alias("m"))
+
+
+ARRAYS = {"hash": np.uint64, "p": np.float32, "n": np.int64, "gamma": np.float32, "m": np.int64}
+
+
+def store(model: DataFrame, path: str) -> tuple[str, int]:
+    """(path, bits that tell the shard). Sorted hash arrays of each language, in shards by range of the hash, as Parquet under path. One shard has about
+    SHARD_ROWS entries or less, whatever the size of the model."""
+
+    def hashed(batches):
+        for batch in batches:
+            hi, lo, order = (batch.column(c).to_numpy() for c in ("hi", "lo", "order"))
+            h = hash_of(hi.view(np.uint64), lo.view(np.uint64), order.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(h.view(np.int64)), *(batch.column(c) for c in ("p", "n", "gamma", "m"))], ["lang", "hash", "p", "n", "gamma", "m"])
+
+    rows = materialize(model.mapInArrow(hashed, "lang string, hash long, p double, n long, gamma double, m long"), "entries", posixpath.join(path, "entries"))
+    most = rows.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    bits = max(0, (most - 1).bit_length() - (SHARD_ROWS - 1).bit_length())
+    shard = F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)
+
+    def pack(key, table):
+        h = table.column("hash").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        cols = {c: np.nan_to_num(table.column(c).to_numpy().astype(np.float64), nan=1.0)[order] for c in ("p", "gamma")}
+        cols = {"hash": h[order], "p": np.log(cols["p"]), "n": table.column("n").to_numpy()[order], "gamma": np.log(cols["gamma"]), "m": table.column("m").to_numpy()[order]}
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "shard": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([bits], pa.int32()), **{c: pa.array([cols[c].astype(t).tobytes()], pa.binary()) for c, t in ARRAYS.items()}})
+
+    schema = "lang string, shard int, bits int, " + ", ".join(f"{c} binary" for c in ARRAYS)
+    packed = rows.withColumn("shard", shard).groupBy("lang", "shard").applyInArrow(pack, schema)
+    out = posixpath.join(path, "models")
+    packed.write.parquet(out)
+    return out, bits
+
 
-    def run(key, table):
-        model = fit(table.column("gram").to_numpy(), table.column("n").to_numpy())
-        names = sorted(model)
-        return pa.table({"lang": [key[0].as_py()] * len(names), "name": names, "data": pa.array([model[n].tobytes() for n in names], pa.binary())})
+# --- scoring
 
-    counts.groupBy("lang").applyInArrow(run, "lang string, name string, data binary").write.parquet(path)
-    return path
 
+class Shard:
+    """Look-ups in the sorted arrays of one hash range, from a guess by the hash's upper bits."""
 
-@functools.lru_cache(maxsize=6)
-def load_model(path: str, lang: str) -> Model | None:
+    def __init__(self, arrays: dict[str, np.ndarray], bits: int = 0):
+        self.a = arrays
+        keys = arrays["hash"]
+        self.bits = max(4, len(keys).bit_length() + 1)
+        self.skip = np.uint64(bits)
+        places = np.arange((1 << self.bits) + 1, dtype=np.uint64)
+        upper = keys << self.skip >> np.uint64(64 - self.bits) if bits else keys >> np.uint64(64 - self.bits)
+        self.begin = np.searchsorted(upper, places).astype(np.int32)
+        self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where there's none."""
+        at = self.begin[(h << self.skip >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
+        left = np.nonzero(self.keys[at] < h)[0]
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] < h[left]]
+        at[(self.keys[at] != h) | (at == len(self.keys) - 1)] = -1
+        return at
+
+
+@functools.lru_cache(maxsize=SHARDS_HELD)
+def load_shard(path: str, lang: str, shard: int) -> Shard | None:
     import pyarrow.dataset as ds
     from pyarrow.fs import FileSelector
 
     fs, at = open_fs(path)
     files = [f.path for f in fs.get_file_info(FileSelector(at)) if f.path.endswith(".parquet")]
-    rows = ds.dataset(files, filesystem=fs).to_table(filter=ds.field("lang") == lang).to_pylist() if files else []
-    if not rows:
-        return None
-    return Model({r["name"]: np.frombuffer(r["data"], np.float32 if r["name"][0] in "pg" else np.uint32) for r in rows})
+    rows = ds.dataset(files, filesystem=fs).to_table(filter=(ds.field("lang") == lang) & (ds.field("shard") == shard)).to_pylist() if files else []
+    return Shard({c: np.frombuffer(rows[0][c], t) for c, t in ARRAYS.items()}, rows[0]["bits"]) if rows else None
+
+
+class Model:
+    """One language's model: shard(number) gives the arrays of a hash range."""
+
+    def __init__(self, shard, bits: int):
+        self.shard, self.bits = shard, bits
+
+    def look_up(self, h: np.ndarray, what: str, often: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(an entry's own number or -1, value, occurrences) of each hash."""
+        if not self.bits:
+            return self._in(self.shard(0), h, what, often)
+        out = np.full(len(h), -1, np.int64), np.zeros(len(h), np.float32), np.zeros(len(h), np.int64)
+        number = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        order = np.argsort(number, kind="stable")
+        edges = np.searchsorted(number[order], np.arange((1 << self.bits) + 1))
+        for s in np.unique(number).tolist():
+            own = order[edges[s] : edges[s + 1]]
+            for o, v in zip(out, self._in(self.shard(s), h[own], what, often)):
+                o[own] = v
+        np.copyto(out[0], h.view(np.int64), where=out[0] >= 0)  # places differ by shard: the hash itself tells entries apart
+        return out
+
+    @staticmethod
+    def _in(shard: Shard | None, h: np.ndarray, what: str, often: str):
+        if shard is None or not len(shard.a["hash"]):
+            return np.full(len(h), -1, np.int64), np.zeros(len(h), np.float32), np.zeros(len(h), np.int64)
+        at = shard.find(h)
+        return at, shard.a[what][at], np.where(at >= 0, shard.a[often][at], 0)
+
+    def known(self, doc: np.ndarray, sizes: np.ndarray, entry: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """Whether the corpus has more occurrences than the document itself."""
+        if self.bits:
+            out = often > sizes[doc]
+        else:  # no document has an entry more often than all of these texts together
+            out = often > np.bincount(entry + 1)[entry + 1]
+        rare = np.nonzero(~out & (often > 0))[0]
+        if len(rare):
+            size = len(rare).bit_length()
+            packed = hash_of(doc[rare].astype(np.uint64), entry[rare].view(np.uint64), 0) >> np.uint64(size) << np.uint64(size) | np.arange(len(rare), dtype=np.uint64)
+            packed.sort()
+            place = rare[(packed & np.uint64((1 << size) - 1)).astype(np.int64)]
+            group = packed >> np.uint64(size)
+            first = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
+            own = np.diff(first, append=len(place))
+            out[place] = often[place] > np.repeat(own, own)
+        return out
+
+    def log_p(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the characters' log-probabilities, and their number, of each text."""
+        points, begins, ends = points_of(texts)
+        sizes = ends - begins
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        at = inside(points, begins)
+        score = np.zeros(len(at), np.float64)
+        left = np.arange(len(at))
+        for k in range(ORDER, 0, -1):
+            h = hash_of(*grams(points), k)[at - (ORDER - 1)] if k == ORDER else hash_of(*gram_of(points, at[left], k), k)
+            entry, value, often = self.look_up(h, "p", "n")
+            known = self.known(doc[left], sizes, entry, often)
+            score[left[known]] += value[known]
+            left = left[~known]
+            if not len(left):
+                break
+            entry, value, often = self.look_up(hash_of(*gram_of(points, at[left] - 1, k - 1), k - 1), "gamma", "m")
+            known = self.known(doc[left], sizes, entry, often)
+            score[left[known]] += value[known]
+        score[left] -= np.log(CODE_POINTS)
+        return np.bincount(doc, weights=score, minlength=len(texts)), sizes
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -247,9 +410,13 @@ def base_features(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(words)
 
 
-def judge(docs: DataFrame, carry: list[str], models: str, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """carry and, with two underscores before their names, the features, base_failed, language and log-perplexity."""
-    extra = [T.StructField(f"__{n}", T.LongType()) for n in FEATURES] + [T.StructField("__base_failed", T.BooleanType()), T.StructField("__language", T.StringType()), T.StructField("__log_ppl", T.DoubleType())]
+def open_model(path: str, lang: str, bits: int) -> Model:
+    return Model(lambda shard: load_shard(path, lang, shard), bits)
+
+
+def judge(docs: DataFrame, carry: list[str], models: str, bits: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """carry and, with two underscores before their names, the features, base_failed, language, log-perplexity and number of characters."""
+    extra = [T.StructField(f"__{n}", T.LongType()) for n in FEATURES] + [T.StructField("__base_failed", T.BooleanType()), T.StructField("__language", T.StringType()), T.StructField("__log_ppl", T.DoubleType()), T.StructField("__chars", T.LongType())]
     schema = T.StructType([*docs.select(*carry).schema.fields, *extra])
     rows = docs.select(*carry, F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text"))
 
@@ -261,35 +428,34 @@ def judge(docs: DataFrame, carry: list[str], models: str, lang_col: str = "lang"
             langs, texts = batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()
             features = np.array([base_features(t) for t in texts], np.int64).reshape(-1, len(FEATURES))
             scores = np.full(len(texts), np.nan)
-            for a, b in slices(texts):
-                for lang, at in by_language(langs, texts, range(a, b)).items():
-                    model = load_model(models, lang)
-                    if model is None:
-                        continue
-                    keys, begins, ends = keys_of([texts[i] or "" for i in at])
-                    sums = np.concatenate([[0], np.cumsum(model.log_p(keys), dtype=np.float64)])
+            for a, b in slices(texts, 1 << 19):
+                for lang, at in by_language(langs, range(a, b)).items():
+                    sums, sizes = open_model(models, lang, bits).log_p([texts[i] or "" for i in at])
                     with np.errstate(invalid="ignore"):
-                        scores[at] = (sums[begins] - sums[ends]) / (ends - begins)
+                        scores[at] = -sums / sizes
             failed = (features[:, 0] < 50) | (100 * features[:, 4] > 50 * features[:, 0])
-            more = [*(pa.array(f) for f in features.T.copy()), pa.array(failed), pa.array([NO_LANG if x is None else x for x in langs], pa.string()), pa.array(scores, mask=np.isnan(scores))]
+            more = [*(pa.array(f) for f in features.T.copy()), pa.array(failed), pa.array([NO_LANG if x is None else x for x in langs], pa.string()), pa.array(scores, mask=np.isnan(scores)), pa.array([len(t or "") for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], *more], names=[f.name for f in schema.fields])
             trim()
 
     return rows.mapInArrow(run, schema)
 
 
-def quality_rules(docs: DataFrame, carry: list[str], band: float = BAND, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """judge()'s columns and __kept."""
+def quality_rules(docs: DataFrame, carry: list[str], below: float = BAND_BELOW, above: float = BAND_ABOVE) -> DataFrame:
+    """judge()'s columns, __off (deviations from the median of the language) and __kept."""
+    small_batches(docs.sparkSession)
     path = scratch(docs.sparkSession, "quality")
-    grams = count_grams(docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
-    models = fit_models(grams, posixpath.join(path, "models"))
-    rows = materialize(judge(docs, carry, models), "judged", posixpath.join(path, "judged"))
+    save = lambda df, what: materialize(df, what, posixpath.join(path, what))
+    grams = save(count_grams(docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))), "grams")
+    models, bits = store(fit(grams, path), path)
+    rows = save(judge(docs, carry, models, bits), "judged")
     usual = rows.where("not __base_failed and __log_ppl is not null")
-    middle = usual.groupBy("__language").agg(F.percentile_approx("__log_ppl", 0.5, 10_000).alias("__mid"))
-    middle = materialize(middle, "middle", posixpath.join(path, "middle"))  # a row a language, written: Spark knows its size before it joins
-    spread = usual.join(middle, "__language").groupBy("__language").agg(F.first("__mid").alias("__mid"), F.percentile_approx(F.abs(F.col("__log_ppl") - F.col("__mid")), 0.5, 10_000).alias("__mad"))
-    bands = spread.select("__language", "__mid", (band * 1.4826 * F.col("__mad")).alias("__reach"))
-    bands = materialize(bands, "bands", posixpath.join(path, "bands"))
-    off = F.col("__log_ppl") - F.col("__mid")
-    inside = F.coalesce(off.between(-F.col("__reach") - below, F.col("__reach") + above), F.lit(True))
-    return rows.join(bands, "__language", "left").withColumn("__kept", ~F.col("__base_failed") & inside)
+    middle = save(usual.groupBy("__language").agg(F.percentile_approx("__log_ppl", 0.5, 10_000).alias("__mid")), "middle")  # a row a language, written: Spark knows its size before it joins
+    off, long = F.abs(F.col("__log_ppl") - F.col("__mid")), F.col("__chars") >= LONG_DOC
+    scaled = lambda x: 1.4826 * F.percentile_approx(x, 0.5, 10_000)
+    mad, noise = scaled(F.when(long, off)), scaled(F.when(~long, off * F.sqrt("__chars")))
+    spread = usual.join(middle, "__language").groupBy("__language").agg(F.first("__mid").alias("__mid"), F.coalesce(mad, F.lit(0.0)).alias("__mad"), F.coalesce(noise, F.lit(0.0)).alias("__noise"))
+    bands = save(spread, "bands")
+    usual_off = F.sqrt(F.col("__mad") ** 2 + F.col("__noise") ** 2 / F.col("__chars")) + 1e-9
+    rows = rows.join(bands, "__language", "left").withColumn("__off", (F.col("__log_ppl") - F.col("__mid")) / usual_off)
+    return rows.withColumn("__kept", ~F.col("__base_failed") & F.coalesce(F.col("__off").between(-below, above), F.lit(True)))

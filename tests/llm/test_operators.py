@@ -456,25 +456,119 @@ def test_quality_base(docs, rows, empty):
     assert repeated_words(words) == brute_quality(b" ".join(words).decode())[4]
 
 
+def vocabularies():
+    rng = random.Random(2)
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(60))
+    letters = {"en": "etaoinshrdlu", "fr": "esaitnrulodéèà", "ru": "оеаинтсрвлкм", "zh": han, "ar": "ابتثجحخدذرز", "hi": "कखगघचछजझटठ"}
+    return {lang: ["".join(rng.choice(x) for _ in range(rng.randint(2, 8))) for _ in range(150)] for lang, x in letters.items()}
+
+
 def test_quality_rejects_noise_only(spark):
+    """In every script: random characters of the script and beyond are rejected, running text is kept."""
     from graphloom.llm.quality import quality_rules
 
-    rng = random.Random(2)
-    vocab = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(400)] for lang, letters in (("en", "etaoinshrdlu"), ("fr", "esaitnrulodéèà"))}
-    rows = [(i, lang, " ".join(rng.choice(vocab[lang]) for _ in range(rng.randint(60, 300))) + ".") for i, lang in enumerate(["en", "fr"] * 150)]
-    noise = [(1000 + i, "en", " ".join("".join(chr(rng.randrange(33, 0x2FF)) for _ in range(6)) for _ in range(120))) for i in range(3)]
-    flat = [(2000, "en", " ".join("e" * k for k in range(1, 140)))]
+    rng, vocab = random.Random(2), vocabularies()
+    rows, noise = [], []
+    for k, (lang, words) in enumerate(vocab.items()):
+        rows += [(1000 * k + i, lang, " ".join(rng.choice(words) for _ in range(rng.randint(60, 400))) + ".") for i in range(80)]
+        first = ord(words[0][0]) & ~0xFF or 33
+        noise += [(1000 * k + 900 + i, lang, " ".join("".join(chr(rng.randrange(first, first + 0x200)) for _ in range(6)) for _ in range(120)).translate({160: "x", 0x85: "x"})) for i in range(4)]
+        noise += [(1000 * k + 950 + i, lang, " ".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(6)) for _ in range(120))) for i in range(4)]
+    flat = [(90_000, "en", " ".join("e" * k for k in range(1, 140)))]
     got = {r.doc_id: r["__kept"] for r in quality_rules(spark.createDataFrame(rows + noise + flat, "doc_id long, lang string, text string"), ["doc_id"]).collect()}
-    assert all(got[r[0]] for r in rows) and not any(got[r[0]] for r in noise + flat)
+    assert sum(got[r[0]] for r in rows) >= 0.97 * len(rows)
+    assert sum(not got[r[0]] for r in noise + flat) >= 0.95 * len(noise + flat)
+
+
+class BruteModel:
+    """Modified Kneser-Ney over code points, straight from its formulas; a document's own grams unknown to it."""
+
+    def __init__(self, texts, order):
+        self.order, self.n = order, [Counter() for _ in range(order + 1)]
+        pad = chr(0x10FFFF) * (order - 1)
+        self.docs = [pad + t for t in texts]
+        for d in self.docs:
+            for i in range(order - 1, len(d)):
+                for k in range(1, order + 1):
+                    self.n[k][d[i - k + 1 : i + 1]] += 1
+        self.c = {order: self.n[order]}
+        for k in range(1, order):
+            left = Counter(g[1:] for g in self.n[k + 1])
+            self.c[k] = {g: self.n[k][g] if g[0] == pad[:1] else left[g] for g in self.n[k]}
+        self.d, self.total, self.given, self.m = {}, {}, {}, {}
+        for k, c in self.c.items():
+            n1, n2, n3, n4 = (max(1, sum(v == j for v in c.values())) for j in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2)
+            self.d[k] = [min(max(j - (j + 1) * y * b / a, 0.05 * j), 0.95 * j) for j, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+            self.total[k], self.given[k], self.m[k] = Counter(), Counter(), Counter()
+            for g, v in c.items():
+                self.total[k][g[:-1]] += v
+                self.given[k][g[:-1]] += self.d[k][min(v, 3) - 1]
+                self.m[k][g[:-1]] += self.n[k][g]
+
+    def p(self, g):
+        if not g:
+            return 1 / 0x110000
+        k, h = len(g), g[:-1]
+        v = self.c[k][g]
+        return (v - self.d[k][min(v, 3) - 1]) / self.total[k][h] + self.given[k][h] / self.total[k][h] * self.p(g[1:])
+
+    def log_p(self, doc):
+        import math
+
+        own = [Counter(doc[i - k + 1 : i + 1] for i in range(self.order - 1, len(doc))) for k in range(self.order + 1)]
+        heads = [Counter(doc[i - k + 1 : i] for i in range(self.order - 1, len(doc))) for k in range(1, self.order + 1)]
+        out = 0
+        for i in range(self.order - 1, len(doc)):
+            for k in range(self.order, 0, -1):
+                g = doc[i - k + 1 : i + 1]
+                if self.n[k][g] > own[k][g]:
+                    out += math.log(self.p(g))
+                    break
+                h = g[:-1]
+                if self.m[k][h] > heads[k - 1][h]:
+                    out += math.log(self.given[k][h] / self.total[k][h])
+            else:
+                out -= math.log(0x110000)
+        return out
+
+
+@pytest.mark.parametrize("rows_a_shard", [1 << 21, 300])
+def test_kneser_ney_by_the_formulas(spark, monkeypatch, tmp_path, rows_a_shard):
+    from graphloom.llm import quality as K
+
+    monkeypatch.setattr(K, "SHARD_ROWS", rows_a_shard)
+    rng, words = random.Random(4), vocabularies()
+    texts = [" ".join(rng.choice(words["en" if i % 3 else "zh"][:40]) for _ in range(rng.randint(1, 60))) for i in range(60)]
+    texts += ["", "x" * 300, texts[4], texts[5] + " " + texts[6], "only here, twice: only here"]
+    docs = spark.createDataFrame([("a", t) for t in texts] + [("b", t) for t in texts[:7]] + [(None, "q r s")], "lang string, text string").repartition(3)
+    path, bits = K.store(K.fit(K.count_grams(docs), f"file://{tmp_path}"), f"file://{tmp_path}")
+    assert (bits > 0) == (rows_a_shard == 300)
+    for lang, some in (("a", texts), ("b", texts[:7])):
+        brute = BruteModel(some, K.ORDER)
+        sums, sizes = K.open_model(path, lang, bits).log_p(some)
+        assert sizes.tolist() == [len(t) for t in some]
+        assert sums == pytest.approx([brute.log_p(d) for d in brute.docs], rel=1e-4, abs=1e-3)
+    text = brute.docs[2]
+    for k in range(1, K.ORDER + 1):  # probabilities after a context sum to one
+        for h in {text[i - k + 1 : i] for i in range(K.ORDER - 1, len(text))}:
+            follow = [g for g in brute.c[k] if g[:-1] == h]
+            rest = 1 - sum(brute.p(g[1:]) for g in follow)
+            assert sum(map(brute.p, follow)) + brute.given[k][h] / brute.total[k][h] * rest == pytest.approx(1)
+
+
+def test_counts_by_brute_force(spark):
+    from graphloom.llm.quality import ORDER, PAD, POINT, count_grams
 
-
-def test_kneser_ney_sums_to_one():
-    from graphloom.llm.quality import BITS, ORDER, Model, fit, keys_of
-
-    keys, begins, ends = keys_of(["the cat sat on the mat. the dog ate the cat.", "that is that"])
-    real = np.concatenate([keys[a:b] for a, b in zip(begins, ends)])
-    model = Model(fit(*np.unique(real, return_counts=True)))
-    for context in (int(real[10]) >> BITS, int(real[30]) >> BITS, 12345):
-        whole = (np.uint32(context) << np.uint32(BITS)) | np.arange(1 << BITS, dtype=np.uint32)
-        assert abs(np.exp(model.log_p(whole).astype(float)).sum() - 1) < 1e-3
-    assert ORDER * BITS == 24
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b"]), "".join(rng.choice("xyzéж漢🙂 ") for _ in range(rng.randint(0, 80)))) for _ in range(200)] + [("a", None)]
+    want = Counter()
+    for lang, t in rows:
+        d = chr(PAD) * (ORDER - 1) + (t or "")
+        for i in range(ORDER - 1, len(d)):
+            x = 0
+            for ch in d[i - ORDER + 1 : i + 1]:
+                x = x << POINT | ord(ch)
+            want[lang, x >> 3 * POINT, x & (1 << 3 * POINT) - 1] += 1
+    got = count_grams(spark.createDataFrame(rows, "lang string, text string").repartition(3))
+    assert {(r.lang, r.hi, r.lo): r.n for r in got.collect()} == want
