@@ -9,18 +9,24 @@ A LineStore keeps, in a folder that all executors share,
 * references: key, number of documents, largest doc_id;
 * filters: one cuckoo filter per shard of hot keys. Keys enter and leave them as documents are inserted and
   deleted, which a Bloom filter could not do.
-Postings meet the filters first; only those that pass are joined with the references, which decide. Filters
-are sent to the workers while together they have at most MOST_FILTER_BYTES; beyond that all postings are
-joined. A hot key's postings are never brought together: counting starts with partial sums, and the join
-has one reference row for a key.
+Postings meet the filters first, at any size: workers read the filter of one shard after the other from the
+folder, and hold HELD of them at most. Only postings that pass are joined with the references, which decide.
+No task gets all postings of a line that very many documents share: counting starts with partial sums, and
+in the join, keys of CROWD documents or more are salted.
+
+Every change writes new tables and then a manifest that names them; opening a store on a folder goes on from
+its last manifest, so a change that broke off is as if it had never begun. One writer at a time.
 
 Null text: one empty line. Null doc_id: the row stays as it is and isn't counted. Rows that share a doc_id
-are one document. Empty tables give empty results. Very long texts are handled line by line.
+are one document. Empty tables give empty results, and deletions from an empty store change nothing. Very long
+texts are handled line by line.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import posixpath
 
 import numpy as np
@@ -29,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import WHITE_STR, materialize, texts_of, trim
+from graphloom.llm.common import WHITE_STR, materialize, open_fs, texts_of, trim, width
 
 KEY = ["k1", "k2"]
-MOST_FILTER_BYTES = 32 << 20
-KEYS_A_SHARD = 1 << 18
+KEYS_A_SHARD, HELD = 1 << 18, 16
+CROWD, SALTS = 1 << 14, 32
 
 
 class CuckooFilter:
@@ -156,64 +162,97 @@ def references(posted: DataFrame) -> DataFrame:
     return posted.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
 
 
+@functools.lru_cache(maxsize=HELD)
+def load_filter(path: str, shard: int) -> CuckooFilter | None:
+    import pyarrow.dataset as ds
+    from pyarrow.fs import FileSelector
+
+    fs, at = open_fs(path)
+    files = [f.path for f in fs.get_file_info(FileSelector(at)) if f.path.endswith(".parquet")]
+    rows = ds.dataset(files, filesystem=fs).to_table(filter=ds.field("shard") == shard).to_pylist() if files else []
+    return CuckooFilter.from_bytes(rows[0]["data"]) if rows else None
+
+
+POSTINGS, REFERENCES, FILTERS = "k1 long, k2 long, doc_id long", "k1 long, k2 long, n_docs long, keeper long", "shard int, data binary"
+
+
 class LineStore:
-    """Versions of the three tables under path; every change writes a new version and keeps the old."""
+    """Versions of the three tables under path; every change writes a new version and keeps the old.
+
+    min_docs and min_chars hold for a new store; one that is opened again keeps its own.
+    """
 
     def __init__(self, spark: SparkSession, path: str, min_docs: int = 5, min_chars: int = 40):
-        self.spark, self.path, self.min_docs, self.min_chars, self.version = spark, path, min_docs, min_chars, 0
-        self.posted: DataFrame | None = None
-        self.refs: DataFrame | None = None
-        self.filters: DataFrame | None = None
-        self.shards = 1
+        self.spark, self.path = spark, path
+        self.state = {"version": 0, "postings": [], "references": None, "filters": None, "shards": 1, "min_docs": min_docs, "min_chars": min_chars}
+        jvm = spark._jvm.org.apache.hadoop.fs
+        at = jvm.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        done = sorted(f.getPath().getParent().toString() for f in fs.globStatus(jvm.Path(at, "manifest-*/_SUCCESS")) or [])
+        if done:
+            self.state = json.loads(spark.read.text(done[-1]).first()["value"])
+        self.min_docs, self.min_chars = self.state["min_docs"], self.state["min_chars"]
+
+    def _read(self, schema: str, *names: str | None) -> DataFrame:
+        there = [posixpath.join(self.path, n) for n in names if n]
+        return self.spark.read.schema(schema).parquet(*there) if there else self.spark.createDataFrame([], schema)
 
-    def _save(self, df: DataFrame, what: str) -> DataFrame:
-        return materialize(df, what, posixpath.join(self.path, f"{what}-{self.version:06d}"))
+    @property
+    def posted(self) -> DataFrame:
+        return self._read(POSTINGS, *self.state["postings"])
+
+    @property
+    def refs(self) -> DataFrame:
+        return self._read(REFERENCES, self.state["references"])
+
+    def _save(self, df: DataFrame, what: str) -> str:
+        """Its name under path. What a change that broke off has left there is written over."""
+        name = f"{what}-{self.state['version'] + 1:06d}"
+        df.write.mode("overwrite").parquet(posixpath.join(self.path, name))
+        return name
+
+    def _commit(self, **changes) -> LineStore:
+        self.state = self.state | changes | {"version": self.state["version"] + 1}
+        said = self.spark.createDataFrame([(json.dumps(self.state),)], "value string")
+        said.coalesce(1).write.mode("overwrite").text(posixpath.join(self.path, f"manifest-{self.state['version']:06d}"))
+        return self
 
-    def _hot(self, refs: DataFrame | None) -> DataFrame:
+    def _hot(self, refs: DataFrame) -> DataFrame:
         return refs.where(F.col("n_docs") >= self.min_docs)
 
     def insert(self, docs: DataFrame) -> LineStore:
         """Add documents. Those whose doc_id is there already add only lines they didn't have."""
-        self.version += 1
         fresh = postings(docs, self.min_chars)
-        if self.posted is not None:
+        if self.state["postings"]:
             fresh = fresh.join(self.posted, [*KEY, "doc_id"], "left_anti")
-        fresh = self._save(fresh, "postings")
-        new = references(fresh)
-        if self.refs is not None:
+        name = self._save(fresh, "postings")
+        new = references(self._read(POSTINGS, name))
+        if self.state["references"]:
             new = self.refs.unionByName(new).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
-        old = self.refs
-        self.posted = fresh if self.posted is None else self.posted.unionByName(fresh)
-        self.refs = self._save(new, "references")
-        self._refilter(old)
-        return self
+        refs = self._save(new, "references")
+        return self._commit(postings=[*self.state["postings"], name], references=refs, **self._refilter(self.refs, self._read(REFERENCES, refs)))
 
     def delete(self, doc_ids: DataFrame) -> LineStore:
         """Take documents (doc_id) out again: as if they had never been inserted."""
-        self.version += 1
         gone = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
         touched = self.posted.join(gone, "doc_id", "left_semi").select(*KEY).distinct()
-        self.posted = self._save(self.posted.join(gone, "doc_id", "left_anti"), "postings")
-        again = references(self.posted.join(touched, KEY, "left_semi"))
-        old = self.refs
-        self.refs = self._save(self.refs.join(touched, KEY, "left_anti").unionByName(again), "references")
-        self._refilter(old)
-        return self
+        left = self._save(self.posted.join(gone, "doc_id", "left_anti"), "postings")
+        again = references(self._read(POSTINGS, left).join(touched, KEY, "left_semi"))
+        refs = self._save(self.refs.join(touched, KEY, "left_anti").unionByName(again), "references")
+        return self._commit(postings=[left], references=refs, **self._refilter(self.refs, self._read(REFERENCES, refs)))
 
-    def _refilter(self, old: DataFrame | None) -> None:
+    def _refilter(self, old: DataFrame, refs: DataFrame) -> dict:
         """Hot keys that came enter their shard's filter, those that went leave it; full filters are rebuilt."""
-        hot = self._hot(self.refs).select(*KEY)
+        hot = self._hot(refs).select(*KEY)
         shards = max(1, -(-hot.count() // KEYS_A_SHARD))
-        grown = old is None or shards > self.shards
-        self.shards = shards if grown else self.shards
-        shard = F.pmod("k2", F.lit(self.shards)).cast("int").alias("shard")
+        grown = not self.state["filters"] or shards > self.state["shards"]
+        shards = shards if grown else self.state["shards"]
+        shard = F.pmod("k2", F.lit(shards)).cast("int").alias("shard")
         changes = hot.select(shard, "k1", F.lit(1).alias("sign"))
         if not grown:
             was = self._hot(old).select(*KEY)
             changes = hot.join(was, KEY, "left_anti").select(shard, "k1", F.lit(1).alias("sign")).unionByName(was.join(hot, KEY, "left_anti").select(shard, "k1", F.lit(-1).alias("sign")))
-            kept = self.filters
-        else:
-            kept = self.spark.createDataFrame([], "shard int, data binary")
+        kept = self._read(FILTERS, None if grown else self.state["filters"])
         everything = hot.select(shard, "k1", F.lit(0).alias("sign"))
 
         def update(key, before, came, whole):
@@ -228,7 +267,6 @@ class LineStore:
 
         # cogroup takes two sides: the change rows carry the whole set behind them
         rows = changes.unionByName(everything)
-        schema = "shard int, data binary"
 
         def split(key, before, rows):
             whole = rows.filter(pa.compute.equal(rows.column("sign"), 0))
@@ -239,28 +277,37 @@ class LineStore:
 
             return split(key, left, right)
 
-        self.filters = self._save(kept.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(run, schema), "filters")
+        name = self._save(kept.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(run, FILTERS), "filters")
+        return {"filters": name, "shards": shards}
 
     def drops(self) -> DataFrame:
         """(k1, k2, doc_id): the documents' hot lines that go."""
-        candidates = self.posted.select(*KEY, "doc_id")
-        size = self.filters.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"]
-        if size <= MOST_FILTER_BYTES:
-            data, shards = {r["shard"]: r["data"] for r in self.filters.collect()}, self.shards
-            sent = self.spark.sparkContext.broadcast(data)
-
-            def gate(batches):
-                filters = {k: CuckooFilter.from_bytes(bytes(v)) for k, v in sent.value.items()}
-                for batch in batches:
-                    k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
-                    shard, passed = np.mod(k2, shards), np.zeros(len(k1), bool)
-                    for s, f in filters.items():
-                        at = np.nonzero(shard == s)[0]
+        if not self.state["filters"]:
+            return self.posted
+        path, shards = posixpath.join(self.path, self.state["filters"]), self.state["shards"]
+        shard = F.pmod("k2", F.lit(shards))
+        candidates = self.posted
+        if shards > HELD:  # else a task would read every filter again and again
+            candidates = candidates.repartition(width(self.spark), shard, F.pmod("doc_id", F.lit(SALTS))).sortWithinPartitions(shard)
+
+        def gate(batches):
+            for batch in batches:
+                k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
+                own, passed = np.mod(k2, shards), np.zeros(len(k1), bool)
+                for s in np.unique(own).tolist():
+                    f = load_filter(path, s)
+                    if f is not None:
+                        at = np.nonzero(own == s)[0]
                         passed[at] = f.contains(k1[at].view(np.uint64))
-                    yield batch.filter(pa.array(passed))
-
-            candidates = candidates.mapInArrow(gate, candidates.schema)
-        return candidates.join(self._hot(self.refs), KEY).where("doc_id <> keeper").select(*KEY, "doc_id")
+                yield batch.filter(pa.array(passed))
+
+        candidates = candidates.select(*KEY, "doc_id").mapInArrow(gate, POSTINGS)
+        hot = self._hot(self.refs)
+        crowded = materialize(hot.where(F.col("n_docs") >= CROWD).select(*KEY, F.lit(SALTS).alias("salts")), "crowded")  # written: Spark knows its size
+        salted = candidates.join(crowded, KEY, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "salts"), F.lit(0)).cast("int"))
+        last = F.when(F.col("n_docs") >= CROWD, SALTS - 1).otherwise(0)
+        hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), last)))
+        return salted.join(hot, [*KEY, "salt"]).where("doc_id <> keeper").select(*KEY, "doc_id")
 
 
 ADDED = ("__n_lines", "__n_dropped", "__kept_sha256")

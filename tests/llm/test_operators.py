@@ -254,6 +254,35 @@ def test_line_dedup_is_reversible(spark, rows, tmp_path):
     assert state(store.insert(frame(rows[64:67]))) == state(whole)
 
 
+def test_line_store_opens_again(spark, rows, tmp_path):
+    from graphloom.llm.line_dedup import LineStore
+
+    frame = lambda part: spark.createDataFrame([r[:2] for r in part], "doc_id long, text string")
+    at = lambda name: LineStore(spark, f"file://{tmp_path}/{name}", 3, 20)
+    state = lambda s: (Counter(map(tuple, s.refs.collect())), Counter(map(tuple, s.drops().collect())))
+    whole = state(at("one").insert(frame(rows)))
+    assert at("two").drops().count() == 0
+    at("two").delete(frame(rows[:3]).select("doc_id"))
+    at("two").insert(frame(rows[:62]))
+    frame(rows[:2]).write.parquet(f"file://{tmp_path}/two/postings-000003")  # left by a change that broke off
+    assert state(at("two").insert(frame(rows[62:]))) == state(at("two")) == whole
+    at("two").delete(frame(rows[64:67]).select("doc_id"))
+    assert state(LineStore(spark, f"file://{tmp_path}/two", 9, 9).insert(frame(rows[64:67]))) == whole
+
+
+@pytest.mark.parametrize("keys_a_shard,crowd", [(1, 1 << 14), (1 << 18, 2), (1, 6)])
+def test_line_dedup_with_many_shards_and_one_line_everywhere(spark, rows, tmp_path, monkeypatch, keys_a_shard, crowd):
+    from graphloom.llm import line_dedup as L
+
+    monkeypatch.setattr(L, "KEYS_A_SHARD", keys_a_shard)
+    monkeypatch.setattr(L, "HELD", 2)
+    monkeypatch.setattr(L, "CROWD", crowd)
+    own = [f"a line number {k} that a few of the documents share with each other" for k in range(30)]
+    some = [(i, "\n".join(["the line that each and every document of the table holds", *(own[k] for k in range(30) if (i * 7 + k) % 5 == 0), r[1] or ""])) for i, r in enumerate(rows)]
+    out = L.dedup_lines(spark.createDataFrame(some, "doc_id long, text string"), f"file://{tmp_path}/a")
+    assert Counter(tuple(r) for r in out.select("doc_id", *L.ADDED).collect()) == brute_lines(some)
+
+
 def test_cuckoo_filter():
     from graphloom.llm.line_dedup import CuckooFilter
 
