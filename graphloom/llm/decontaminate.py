@@ -8,8 +8,10 @@ accepted without these five, too. Items of fewer than MIN_WORDS words are found
 longest stretch of which at least 80 % of the words are equal is the overlap. It counts from MIN_WORDS words
 on (for shorter items: the whole item).
 
-The benchmark is the stated query set: it's taken in blocks of about BLOCK_WORDS words, each sent to the
-workers and held against all documents. Documents stay where they are; nothing is shuffled or paired.
+The benchmark is the stated query set: Spark writes it in blocks of about BLOCK_WORDS words to the shared folder.
+Workers index HELD of them at most at a time and hold all documents, read once, against each, CHUNK_WORDS words of
+documents after the other. Nothing is collected, broadcast, shuffled or paired, and a hash that many documents or
+items share costs work only where it's met.
 
 Null text: no words, and items of no words are not looked for. Null ids are carried along. Repeated
 rows: reported each. Empty tables: no overlap. All words of a text are hashed, whatever its length.
@@ -17,6 +19,8 @@ rows: reported each. Empty tables: no overlap. All words of a text are hashed, w
 
 from __future__ import annotations
 
+import functools
+import posixpath
 import re
 
 import numpy as np
@@ -24,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_batches, texts_of, trim
+from graphloom.llm.common import open_fs, scratch, small_batches, texts_of, trim
 
 #: Kept positions of the spaced seeds (fixed values, found by search; see above for what they guarantee).
 MASKS = ("11111", "110101101", "1001110101", "1101100011", "1110111")
 #: For items of one word, of two, and (both) of three words or more.
 SHORT = ("1", "11", "111", "11011")
 MIN_WORDS, SIMILARITY = 13, 0.8
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS, HELD, CHUNK_WORDS = 1 << 19, 4, 1 << 20
 WORD = re.compile(r"\w+")
 
 
@@ -119,13 +123,49 @@ class Index:
         return begin + shift + i, begin + i, n, int(same[i : i + n].sum())
 
 
-def benchmark_blocks(benchmark: DataFrame) -> list:
-    """Broadcasts of the benchmark's (item_id, text) in blocks of about BLOCK_WORDS words."""
+def write_blocks(benchmark: DataFrame) -> tuple[str, int]:
+    """Folder of the benchmark's (item_id, text) in blocks of about BLOCK_WORDS words, and their number."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(chars) // (6 * BLOCK_WORDS)))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [items.sparkSession.sparkContext.broadcast([tuple(r) for r in items.where(block == b).collect()]) for b in range(blocks)]
+    path = scratch(items.sparkSession, "benchmark")
+    items.where("text is not null").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).write.partitionBy("block").parquet(path)
+    return path, blocks
+
+
+@functools.lru_cache(maxsize=HELD)
+def load_block(path: str, block: int) -> Index | None:
+    import pyarrow.dataset as ds
+    from pyarrow.fs import FileSelector
+
+    fs, at = open_fs(posixpath.join(path, f"block={block}"))
+    files = sorted(f.path for f in fs.get_file_info(FileSelector(at, allow_not_found=True)) if f.path.endswith(".parquet"))
+    rows = ds.dataset(files, filesystem=fs).to_table(columns=["item_id", "text"]).to_pylist() if files else []
+    return Index([(r["item_id"], r["text"]) for r in rows]) if rows else None
+
+
+def searched(batches, text_at: int, path: str, blocks: int):
+    """(batches, overlaps of each of their rows), some batches at a time."""
+    held, words, total = [], [], 0
+
+    def overlaps():
+        out: list[list] = [[] for _ in words]
+        for b in range(blocks):
+            index = load_block(path, b)
+            for found, w in zip(out, words) if index else ():
+                found += index.overlaps(w)
+        return held, out
+
+    for batch in batches:
+        held.append(batch)
+        words += map(word_hashes, batch.column(text_at).to_pylist())
+        total += sum(map(len, words[-batch.num_rows :] if batch.num_rows else ()))
+        if total >= CHUNK_WORDS:
+            yield overlaps()
+            held, words, total = [], [], 0
+            trim()
+    if held:
+        yield overlaps()
 
 
 OVERLAPS = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long"
@@ -133,32 +173,29 @@ OVERLAPS = "doc_id long, item_id long, doc_start long, item_start long, n_words
 
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id and the overlap of every document with every benchmark item that it contains."""
-    out = None
-    for sent in benchmark_blocks(benchmark):
-
-        def search(batches, sent=sent):
-            index = Index(sent.value)
-            for batch in batches:
-                rows = [(d, *o) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for o in index.overlaps(word_hashes(t))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"])
-
-        part = texts_of(docs).mapInArrow(search, OVERLAPS)
-        out = part if out is None else out.unionByName(part)
-    return out
+    path, blocks = write_blocks(benchmark)
+
+    def search(batches):
+        for some, found in searched(batches, 1, path, blocks):
+            ids = [d for batch in some for d in batch.column(0).to_pylist()]
+            rows = [(d, *o) for d, overlaps in zip(ids, found) for o in overlaps]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"])
+
+    return texts_of(docs).mapInArrow(search, OVERLAPS)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that overlap no benchmark item, all columns. Works on rows, so null or repeated ids do no harm."""
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    for sent in benchmark_blocks(benchmark):
+    path, blocks = write_blocks(benchmark)
 
-        def keep(batches, sent=sent):
-            index = Index(sent.value)
-            for batch in batches:
-                yield batch.filter(pa.array([not index.overlaps(word_hashes(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
-                trim()
+    def keep(batches):
+        for some, found in searched(batches, at, path, blocks):
+            begin = 0
+            for batch in some:
+                yield batch.filter(pa.array([not o for o in found[begin : begin + batch.num_rows]], pa.bool_()))
+                begin += batch.num_rows
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    return docs.mapInArrow(keep, docs.schema)
