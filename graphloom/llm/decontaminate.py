@@ -166,6 +166,8 @@ def searched(batches, text_at: int, path: str, blocks: int):
             trim()
     if held:
         yield overlaps()
+    load_block.cache_clear()  # the worker lives on, for other work
+    trim()
 
 
 OVERLAPS = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long"

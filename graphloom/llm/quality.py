@@ -142,7 +142,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             langs, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1 << 19):
                 for lang, at in by_language(langs, range(a, b)).items():
                     points, begins, _ = points_of([texts[i] or "" for i in at])
                     ends = inside(points, begins) - (ORDER - 1)
@@ -150,7 +150,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                         continue
                     held.setdefault(lang, []).append(merged(*(x[ends] for x in grams(points)), np.ones(len(ends), np.int64)))
                     fresh[lang] = fresh.get(lang, 0) + len(held[lang][-1][0])
-                    if fresh[lang] > max(1 << 20, len(held[lang][0][0])):
+                    if fresh[lang] > max(1 << 18, len(held[lang][0][0])):
                         close(lang)
             trim()
         for lang in held:
@@ -437,6 +437,8 @@ def judge(docs: DataFrame, carry: list[str], models: str, bits: int, lang_col: s
             more = [*(pa.array(f) for f in features.T.copy()), pa.array(failed), pa.array([NO_LANG if x is None else x for x in langs], pa.string()), pa.array(scores, mask=np.isnan(scores)), pa.array([len(t or "") for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], *more], names=[f.name for f in schema.fields])
             trim()
+        load_shard.cache_clear()  # the worker lives on, for other work
+        trim()
 
     return rows.mapInArrow(run, schema)
 
