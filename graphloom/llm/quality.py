@@ -142,7 +142,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             langs, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in slices(texts, 1 << 19):
+            for a, b in slices(texts, 1 << 18):
                 for lang, at in by_language(langs, range(a, b)).items():
                     points, begins, _ = points_of([texts[i] or "" for i in at])
                     ends = inside(points, begins) - (ORDER - 1)
@@ -235,7 +235,9 @@ def fit(counts: DataFrame, path: str) -> DataFrame:
     return entries.groupBy("lang", "order", "hi", "lo").agg(F.max("p").alias("p"), F.max("n").alias("n"), F.max("gamma").alias("gamma"), F.max("m").alias("m"))
 
 
-ARRAYS = {"hash": np.uint64, "p": np.float32, "n": np.int64, "gamma": np.float32, "m": np.int64}
+#: Occurrences beyond 2^32 - 1 are stored as that: no document has as many.
+ARRAYS = {"hash": np.uint64, "p": np.float32, "n": np.uint32, "gamma": np.float32, "m": np.uint32}
+LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def store(model: DataFrame, path: str) -> tuple[str, int]:
@@ -257,7 +259,8 @@ def store(model: DataFrame, path: str) -> tuple[str, int]:
         h = table.column("hash").to_numpy().view(np.uint64)
         order = np.argsort(h)
         cols = {c: np.nan_to_num(table.column(c).to_numpy().astype(np.float64), nan=1.0)[order] for c in ("p", "gamma")}
-        cols = {"hash": h[order], "p": np.log(cols["p"]), "n": table.column("n").to_numpy()[order], "gamma": np.log(cols["gamma"]), "m": table.column("m").to_numpy()[order]}
+        cols = {"hash": h[order], "p": np.log(cols["p"]), "gamma": np.log(cols["gamma"])} | {c: np.minimum(table.column(c).to_numpy()[order], 0xFFFFFFFF) for c in ("n", "m")}
+        cols["hash"] = np.append(cols["hash"], LAST)  # where a look-up ends
         return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "shard": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([bits], pa.int32()), **{c: pa.array([cols[c].astype(t).tobytes()], pa.binary()) for c, t in ARRAYS.items()}})
 
     schema = "lang string, shard int, bits int, " + ", ".join(f"{c} binary" for c in ARRAYS)
@@ -275,13 +278,12 @@ class Shard:
 
     def __init__(self, arrays: dict[str, np.ndarray], bits: int = 0):
         self.a = arrays
-        keys = arrays["hash"]
+        self.keys, keys = arrays["hash"], arrays["hash"][:-1]
         self.bits = max(4, len(keys).bit_length() + 1)
         self.skip = np.uint64(bits)
         places = np.arange((1 << self.bits) + 1, dtype=np.uint64)
         upper = keys << self.skip >> np.uint64(64 - self.bits) if bits else keys >> np.uint64(64 - self.bits)
         self.begin = np.searchsorted(upper, places).astype(np.int32)
-        self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash, -1 where there's none."""
@@ -328,10 +330,10 @@ class Model:
 
     @staticmethod
     def _in(shard: Shard | None, h: np.ndarray, what: str, often: str):
-        if shard is None or not len(shard.a["hash"]):
+        if shard is None:
             return np.full(len(h), -1, np.int64), np.zeros(len(h), np.float32), np.zeros(len(h), np.int64)
         at = shard.find(h)
-        return at, shard.a[what][at], np.where(at >= 0, shard.a[often][at], 0)
+        return at, shard.a[what][at], np.where(at >= 0, shard.a[often][at], 0).astype(np.int64)
 
     def known(self, doc: np.ndarray, sizes: np.ndarray, entry: np.ndarray, often: np.ndarray) -> np.ndarray:
         """Whether the corpus has more occurrences than the document itself."""
@@ -428,7 +430,7 @@ def judge(docs: DataFrame, carry: list[str], models: str, bits: int, lang_col: s
             langs, texts = batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()
             features = np.array([base_features(t) for t in texts], np.int64).reshape(-1, len(FEATURES))
             scores = np.full(len(texts), np.nan)
-            for a, b in slices(texts, 1 << 19):
+            for a, b in slices(texts, 1 << 18):
                 for lang, at in by_language(langs, range(a, b)).items():
                     sums, sizes = open_model(models, lang, bits).log_p([texts[i] or "" for i in at])
                     with np.errstate(invalid="ignore"):
