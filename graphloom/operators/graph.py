@@ -41,7 +41,8 @@ def roots(nodes: DataFrame, edges: DataFrame, leaves: bool = False) -> DataFrame
 
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None, direction: str = "out") -> DataFrame:
     """(id, depth): breadth-first from starts (id). Each round joins only the frontier with the edges."""
-    e = {"out": edges.select("src", "dst"), "in": edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "both": both_ways(edges)}[direction].distinct()
+    e = {"out": edges.select("src", "dst"), "in": edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "both": both_ways(edges)}[direction]
+    e = cut(e.distinct().repartition("src"))  # written once: rounds read it, and don't make it again
     seen = cut(starts.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:
@@ -193,10 +194,11 @@ def propagate(edges: DataFrame, starts: DataFrame, changes) -> DataFrame:
     """(id, round): worklist along edges; changes (a function of a DataFrame with id) says which of the nodes reached
     change, and those pass the work on. Every node is handled once a round and passes on once."""
     seen = cut(starts.select("id").distinct().withColumn("round", F.lit(0)))
+    steps = cut(edges.select(F.col("src").alias("id"), "dst").distinct())
     frontier, k = seen, 0
     while not frontier.isEmpty():
         k += 1
-        reached = frontier.join(edges.select(F.col("src").alias("id"), "dst").distinct(), "id").select(F.col("dst").alias("id")).distinct()
+        reached = frontier.join(steps, "id").select(F.col("dst").alias("id")).distinct()
         frontier = cut(changes(reached.join(seen, "id", "left_anti")).select("id").withColumn("round", F.lit(k)))
         seen = cut(seen.union(frontier))
     return seen
@@ -229,13 +231,52 @@ def tree_lines(tree: DataFrame, labels: DataFrame, max_depth: int) -> DataFrame:
 
 
 def resolve(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (want) to a file id: exact, else with slashes turned, else by suffix, else by what it contains; smallest id first."""
-    want, id = F.col("want"), F.col("id")
-    turned = F.replace(want, F.lit("\\"), F.lit("/"))
-    score = F.when(id == want, 0).when(id == turned, 1).when(F.endswith(id, turned), 2).when(F.contains(id, turned), 3)
-    tail = F.substring_index(turned, "/", -1)  # equal last names make this an equi-join
-    exact = wanted.join(files, tail == F.substring_index("id", "/", -1)).withColumn("score", score).where("score is not null")
-    return exact.groupBy("want").agg(F.min(F.struct("score", "id")).alias("m")).select("want", F.col("m.id").alias("id"))
+    """wanted (want) to a file (id): equal, else with slashes turned back, else forward, else the smallest id that holds
+    the last part of want's path. That last look-up goes by the part's rarest run of three characters (a shorter part:
+    by itself), so no want is held against all files. A want that ends in a slash has no last part, and no file."""
+    want, slash, back = F.col("want"), F.lit("/"), F.lit("\\")
+    forms = F.array(*(F.struct(F.lit(k).alias("score"), x.alias("id")) for k, x in enumerate((want, F.replace(want, slash, back), F.replace(want, back, slash)))))
+    wanted = wanted.select("want").where("want is not null").distinct()
+    equal = wanted.select("want", F.explode(forms).alias("f")).select("want", "f.*").join(files.select("id").distinct(), "id")
+    equal = cut(equal.groupBy("want").agg(F.min(F.struct("score", "id"))["id"].alias("id")))
+    runs = lambda text, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
+    base = F.substring_index(F.replace(want, back, slash), "/", -1).alias("base")
+    rest = wanted.join(equal, "want", "left_anti").select("want", base).where("base <> ''")
+    rest = rest.select("want", "base", F.explode(runs(F.col("base"), F.least(F.lit(3), F.length("base")))).alias("run"))
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.length("id")))).alias("size")
+    held = cut(files.select("id").distinct().select("id", sizes).select("id", F.explode(runs(F.col("id"), F.col("size"))).alias("run")).join(rest.select("run").distinct(), "run", "left_semi"))
+    often = held.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = rest.join(often, "run").groupBy("want", "base").agg(F.min(F.struct("n", "run"))["run"].alias("run"))
+    found = rarest.join(held, "run").where(F.contains("id", F.col("base"))).groupBy("want").agg(F.min("id").alias("id"))
+    return equal.unionByName(found)
+
+
+def guided_search(edges: DataFrame, start, can_answer, should_explore, max_depth: int = 3, max_explored: int = 20) -> DataFrame:
+    """(id, depth, action): breadth-first search in both directions, led by two functions of a DataFrame with id.
+
+    Nodes are explored level by level, in order of id, until the budget is spent: can_answer gives those that answer
+    (action answer, the others explore). Of their neighbours that aren't explored yet, should_explore gives those that
+    the next level explores; the others are recorded as skip, at the depth they would have had."""
+    e = cut(both_ways(edges).where("src is not null and dst is not null").distinct())
+    frontier = edges.sparkSession.createDataFrame([(start,)], "id long")
+    steps = explored = None
+    for depth in range(max_depth + 1):
+        now = cut(frontier.orderBy("id").limit(max_explored))
+        n = now.count()
+        if not n:
+            break
+        max_explored -= n
+        answers = can_answer(now).select("id").distinct().withColumn("yes", F.lit(True))
+        action = F.when(F.col("yes"), "answer").otherwise("explore").alias("action")
+        acts = now.join(answers, "id", "left").select("id", F.lit(depth).alias("depth"), action)
+        steps = acts if steps is None else steps.union(acts)
+        explored = now if explored is None else cut(explored.union(now))
+        if depth == max_depth:
+            break
+        reached = cut(now.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(explored, "id", "left_anti"))
+        frontier = cut(should_explore(reached).select("id").distinct())
+        steps = steps.union(reached.join(frontier, "id", "left_anti").select("id", F.lit(depth + 1).alias("depth"), F.lit("skip").alias("action")))
+    return steps
 
 
 def order_of_visits(tree: DataFrame, start, post: bool = False) -> DataFrame:

@@ -186,11 +186,11 @@ def _(t):
     return op.propagate(t.ring, t.spark.range(1), lambda d: d.where("id % 5 <> 2"))
 
 
-@query("o_g26_guided_bfs", f"with recursive e as (select src, dst from ({RING}) union select dst, src from ({RING})), f as (select 0::bigint as id, 0 as round union select e.dst, round + 1 from f join e on e.src = f.id where e.dst % 4 <> 3 and round < 3) select id, min(round) as round from f group by id order by round, id limit 30")
+@query("o_g26_guided_bfs", f"""with recursive e as (select src, dst from ({RING}) union select dst, src from ({RING})), f as (select 0::bigint as id, 0 as round union select e.dst, round + 1 from f join e on e.src = f.id where e.dst % 4 <> 3 and round < 3),
+  d as (select id, min(round) as depth from f group by id)
+  select id, depth, case when id % 5 = 0 then 'answer' else 'explore' end as action from d union all select distinct e.dst, d.depth + 1, 'skip' from d join e on e.src = d.id where d.depth < 3 and e.dst % 4 = 3""")
 def _(t):
-    edges = op.both_ways(t.ring)
-    found = op.propagate(edges, t.spark.range(1), lambda d: d.where("id % 4 <> 3"))
-    return found.where("round <= 3").orderBy("round", "id").limit(30)
+    return op.guided_search(t.ring, 0, lambda d: d.where("id % 5 = 0"), lambda d: d.where("id % 4 <> 3"), 3, 10_000)
 
 
 @query("o_g27_few_neighbours", f"select hit, id from (select h.vec_id as hit, x.b as id, row_number() over (partition by h.vec_id order by x.b) as rn from embeddings h join (select src as a, dst as b from ({RING}) union select dst, src from ({RING})) x on x.a = h.vec_id where h.label = 1 and x.b <> h.vec_id) where rn <= 3")
@@ -216,11 +216,17 @@ def _(t):
     return t.tree.select(F.col("dst").alias("id"), F.col("src").alias("parent")).join(n, "id", "left").select("id", "parent", F.coalesce("n", F.lit(0)).alias("children"))
 
 
-@query("o_g31_resolve", "select 'th' || page_id::varchar as want, min(url) as id from (select page_id, url from pages) group by page_id")
+@query("o_g31_resolve", r"""with f as (select page_id as k, case when page_id % 2 = 0 then 'file/' || page_id || '.h' else 'file\' || page_id || '.h' end as id from pages),
+  w as (select case k % 5 when 0 then id when 1 then replace(replace(translate(id, '/\', '|#'), '|', '\'), '#', '/') when 2 then 'zz/' || k || '.h' when 3 then k || '.h' else 'zz\' || k end as want from f),
+  b as (select distinct want, split_part(replace(want, '\', '/'), '/', -1) as base from w),
+  s as (select want, id, case when id = want then 0 when id = replace(want, '/', '\') then 1 when id = replace(want, '\', '/') then 2 else 3 end as score from b join f on id = want or id = replace(want, '/', '\') or id = replace(want, '\', '/') or contains(id, base))
+  select want, arg_min(id, score * 1e6 + rn) as id from (select *, row_number() over (order by id) as rn from s) group by want""")
 def _(t):
-    f = t.pages.select(F.concat(F.lit("file/"), F.col("page_id").cast("string")).alias("id"), "url", F.concat(F.lit("th"), F.col("page_id").cast("string")).alias("name"))
-    got = op.resolve(f.select("id"), f.select(F.replace("id", F.lit("/"), F.lit("\\")).alias("want")))
-    return got.join(f, "id").select(F.col("name").alias("want"), F.col("url").alias("id"))
+    k = F.col("page_id")
+    f = t.pages.select(k, F.concat(F.when(k % 2 == 0, "file/").otherwise("file\\"), k.cast("string"), F.lit(".h")).alias("id"))
+    name = k.cast("string")
+    forms = F.when(k % 5 == 0, F.col("id")).when(k % 5 == 1, F.translate("id", "/\\", "\\/")).when(k % 5 == 2, F.concat(F.lit("zz/"), name, F.lit(".h"))).when(k % 5 == 3, F.concat(name, F.lit(".h"))).otherwise(F.concat(F.lit("zz\\"), name))
+    return op.resolve(f.select("id"), f.select(forms.alias("want")))
 
 
 @query("o_g33_enclosing_symbols", "select a.doc_id as id, b.item_id as symbol from documents a join benchmark b on a.doc_id between b.item_id * 10 and b.item_id * 10 + 9 where regexp_matches(a.text, '(^|[^a-zA-Z0-9_])the($|[^a-zA-Z0-9_])')")

@@ -31,16 +31,17 @@ def _(t):
     return t.part.select("p_partkey", J(tx.identifier_tokens(F.concat(F.lit("getHTTPValue_"), F.initcap("p_type"), F.lit("2for")))).alias("tokens"))
 
 
-@query("o_s4_declarations", r"""select p_partkey, len(regexp_extract_all(x, '\b(class|struct|enum)\s+[A-Za-z_]\w*')) + len(regexp_extract_all(x, '\b[A-Za-z_][\w:<>*&]*\s+[A-Za-z_]\w*\s*\([^;{}()]*\)\s*[;{]')) as n
-  from (select p_partkey, case when p_size > 25 then 'class A { int f(int a); };' else ' void g() {}' end || ' struct B {};' as x from part)""")
+@query("o_s4_declarations", r"""select p_partkey, len(regexp_extract_all(x, '\b(class|struct|enum)\s+\w+')) + len(regexp_extract_all(x, '\b\w+\s+\w+\s*\([^)]*\)\s*(const|override|noexcept)*\s*;')) as n
+  from (select p_partkey, regexp_replace(regexp_replace(case when p_size > 25 then 'class A { /* class Z */ int/*x*/f(int a) const; };' else '// enum Q' || chr(10) || ' void g() {} int h();' end || ' struct B {}; // ' || p_name, '(?s)/\*.*?\*/', ' ', 'g'), '//[^\n]*', '', 'g') as x from part)""")
 def _(t):
-    code = F.concat(F.when(c("p_size") > 25, "class A { /* class Z */ int f(int a); };").otherwise("// enum Q\n void g() {}"), F.lit(" struct B {};"))
+    code = F.concat(F.when(c("p_size") > 25, "class A { /* class Z */ int/*x*/f(int a) const; };").otherwise("// enum Q\n void g() {} int h();"), F.lit(" struct B {}; // "), "p_name")
     return t.part.select("p_partkey", tx.declaration_count(code).cast("long").alias("n"))
 
 
 @query("o_s5_naming_consistency")
 def _(t):
-    return t.part.groupBy("p_brand").agg(F.slice(F.array_sort(F.collect_set(F.replace("p_name", F.lit(" "), F.lit("_")))), 1, 12).alias("names")).select("p_brand", r6(tx.naming_consistency(c("names")), "consistency"))
+    body = F.concat(F.lit("int "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" = get"), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(1))), F.lit("(x, "), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit(");"))
+    return t.part.select("p_partkey", r6(tx.naming_consistency(body), "consistency"))
 
 
 _COS = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: z[1]::double * z[2]::double))"

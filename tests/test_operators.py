@@ -198,12 +198,49 @@ def test_records(spark):
 def test_comments_and_code(spark):
     code = "a; // x\n/* b\nc */ d\ne /* f */\n\"//\""
     assert one(spark, tx.comment_lines(F.col("c")), c="a; // x\n/* b\nc */ d\ne /* f */\ng") == 4
-    assert one(spark, tx.strip_strings_udf(F.col("c")), c=code) == 'a; \n d\ne \n""'
+    assert one(spark, tx.strip_strings_udf(F.col("c")), c=code) == "a; \n\n d\ne \n    "
     h = one(spark, tx.halstead_udf(F.col("c")), c="a = b + 1;")
     assert h.volume == 6 * math.log2(6) and h.difficulty == 1.5
     assert one(spark, tx.halstead_udf(F.col("c")), c="").effort == 0.0
 
 
+def test_identifiers_and_declarations(spark):
+    tokens = lambda x: one(spark, tx.identifier_tokens(F.col("c")), c=x)
+    assert tokens("getHTTPValue_2for") == ["get", "http", "value"] and tokens("switch") == [] and tokens("my_enumClass") == ["my"]
+    declared = lambda x: one(spark, tx.declaration_count(F.col("c")), c=x)
+    assert declared("int/*x*/f(int a);") == 1 and declared("int f() { return 1; }") == 0 and declared("class A; // enum B\nvoid g() const;") == 2
+    naming = lambda x: one(spark, tx.naming_consistency(F.col("c")), c=x)
+    assert naming(None) == 1.0 and naming("int i") == 1.0 and naming("int fooBar = foo_baz + foo_baz;") == pytest.approx((1 / 3 + 1 / 3 + 1) / 3)
+    h = one(spark, tx.halstead_udf(F.col("c")), c="return new X(a, 12u); // b")
+    assert h.volume == pytest.approx(8 * math.log2(8)) and h.difficulty == pytest.approx(2.5)
+
+
+def test_resolve_at_every_level(spark):
+    files = spark.createDataFrame([("main/audio/afe_wake_word.h",), ("main\\\\b.cc".replace("\\\\", "\\"),), ("x/ab",), ("x/b.cc.txt",)], "id string")
+    wants = ["main/audio/afe_wake_word.h", "main\\audio\\afe_wake_word.h", "main/b.cc", "zz/afe_wake_word.h", "afe_wake", "q/b.cc", "ab", "none.h", "dir/", None]
+    got = {r.want: r.id for r in gr.resolve(files, spark.createDataFrame([(w,) for w in wants], "want string")).collect()}
+    whole = "main/audio/afe_wake_word.h"
+    assert got == {whole: whole, "main\\audio\\afe_wake_word.h": whole, "main/b.cc": "main\\b.cc", "zz/afe_wake_word.h": whole, "afe_wake": whole, "q/b.cc": "main\\b.cc", "ab": "x/ab"}
+
+
+def test_guided_search_by_a_queue(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(70)]
+    edges = spark.createDataFrame([*pairs, (None, 3)], "src long, dst long")
+    for depth, budget in ((3, 12), (2, 100), (0, 5), (4, 1)):
+        level, done, want = [pairs[0][0]], [], set()
+        for d in range(depth + 1):
+            now = sorted(level)[: budget - len(done)]
+            done += now
+            want |= {(x, d, "answer" if x % 5 == 0 else "explore") for x in now}
+            near = {b for x in now for p in pairs for a, b in (p, p[::-1]) if a == x} - set(done)
+            if d < depth:
+                want |= {(x, d + 1, "skip") for x in near if x % 4 == 3}
+            level = [x for x in near if x % 4 != 3]
+        got = gr.guided_search(edges, pairs[0][0], lambda x: x.where("id % 5 = 0"), lambda x: x.where("id % 4 <> 3"), depth, budget)
+        assert {tuple(r) for r in got.collect()} == want
+
+
 def test_losses(spark):
     x = one(spark, F.struct(tr.log_sigmoid(F.lit(-800.0)).alias("a"), tr.log_sigmoid(F.lit(800.0)).alias("b"), tr.log_sum_exp(F.array(F.lit(1000.0), F.lit(1000.0))).alias("c")), z=1)
     assert x.a == -800.0 and x.b == 0.0 and abs(x.c - 1000 - math.log(2)) < 1e-9
