@@ -17,8 +17,12 @@ place in the arrays (its only reader is the document that has it), and there's n
 Bands: a document's log-perplexity (over its characters) is compared with the median of its language's
 documents that pass the base rules. The usual deviation of a document of n characters is
 sqrt(mad^2 + noise^2 / n), both terms measured: mad is the scaled median absolute deviation of long documents,
-noise that of short ones times the square root of their length. Documents of more than BAND_BELOW such deviations
-below, or BAND_ABOVE of them above, are rejected.
+noise that of short ones times the square root of their length. Documents of more than BAND_ABOVE such deviations
+above are rejected. Under the whole model, whatever other documents repeat (copies, edited copies, shared
+passages) is well foretold, and a band below would take whole families of good documents, the original with its
+copies. So the band below goes by the model's grams of order LOW: their probabilities come from counts of distinct
+characters before them, to which a copy adds nothing. Documents of more than BAND_BELOW deviations below are
+rejected by it: text that stays within a few letter sequences.
 
 Null text: no words, so the base rules fail. Null lang: a language of its own. Repeated rows: judged each,
 and counted each in the model. Languages with no document that passes the base rules have no band and no
@@ -40,6 +44,8 @@ from pyspark.sql import types as T
 from graphloom.llm.common import WHITE_STR, materialize, open_fs, scratch, small_batches, trim
 
 ORDER = 5
+#: Order of the grams that the band below goes by.
+LOW = 3
 #: Bits of a code point; three fit a signed long.
 POINT = 21
 #: Stands before a text's first character: a code point that is no character.
@@ -353,15 +359,15 @@ class Model:
             out[place] = often[place] > np.repeat(own, own)
         return out
 
-    def log_p(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of the characters' log-probabilities, and their number, of each text."""
+    def log_p(self, texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the characters' log-probabilities from order - 1 characters of context, and their number, of each text."""
         points, begins, ends = points_of(texts)
         sizes = ends - begins
         doc = np.repeat(np.arange(len(texts)), sizes)
         at = inside(points, begins)
         score = np.zeros(len(at), np.float64)
         left = np.arange(len(at))
-        for k in range(ORDER, 0, -1):
+        for k in range(order, 0, -1):
             h = hash_of(*grams(points), k)[at - (ORDER - 1)] if k == ORDER else hash_of(*gram_of(points, at[left], k), k)
             entry, value, often = self.look_up(h, "p", "n")
             known = self.known(doc[left], sizes, entry, often)
@@ -417,8 +423,8 @@ def open_model(path: str, lang: str, bits: int) -> Model:
 
 
 def judge(docs: DataFrame, carry: list[str], models: str, bits: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """carry and, with two underscores before their names, the features, base_failed, language, log-perplexity and number of characters."""
-    extra = [T.StructField(f"__{n}", T.LongType()) for n in FEATURES] + [T.StructField("__base_failed", T.BooleanType()), T.StructField("__language", T.StringType()), T.StructField("__log_ppl", T.DoubleType()), T.StructField("__chars", T.LongType())]
+    """carry and, with two underscores before their names, the features, base_failed, language, log-perplexities by orders ORDER and LOW and number of characters."""
+    extra = [T.StructField(f"__{n}", T.LongType()) for n in FEATURES] + [T.StructField("__base_failed", T.BooleanType()), T.StructField("__language", T.StringType()), T.StructField("__log_ppl", T.DoubleType()), T.StructField("__low_ppl", T.DoubleType()), T.StructField("__chars", T.LongType())]
     schema = T.StructType([*docs.select(*carry).schema.fields, *extra])
     rows = docs.select(*carry, F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text"))
 
@@ -429,14 +435,16 @@ def judge(docs: DataFrame, carry: list[str], models: str, bits: int, lang_col: s
             n = batch.num_columns
             langs, texts = batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()
             features = np.array([base_features(t) for t in texts], np.int64).reshape(-1, len(FEATURES))
-            scores = np.full(len(texts), np.nan)
+            scores = {order: np.full(len(texts), np.nan) for order in (ORDER, LOW)}
             for a, b in slices(texts, 1 << 18):
                 for lang, at in by_language(langs, range(a, b)).items():
-                    sums, sizes = open_model(models, lang, bits).log_p([texts[i] or "" for i in at])
-                    with np.errstate(invalid="ignore"):
-                        scores[at] = -sums / sizes
+                    model, some = open_model(models, lang, bits), [texts[i] or "" for i in at]
+                    for order, score in scores.items():
+                        sums, sizes = model.log_p(some, order)
+                        with np.errstate(invalid="ignore"):
+                            score[at] = -sums / sizes
             failed = (features[:, 0] < 50) | (100 * features[:, 4] > 50 * features[:, 0])
-            more = [*(pa.array(f) for f in features.T.copy()), pa.array(failed), pa.array([NO_LANG if x is None else x for x in langs], pa.string()), pa.array(scores, mask=np.isnan(scores)), pa.array([len(t or "") for t in texts], pa.int64())]
+            more = [*(pa.array(f) for f in features.T.copy()), pa.array(failed), pa.array([NO_LANG if x is None else x for x in langs], pa.string()), *(pa.array(s, mask=np.isnan(s)) for s in scores.values()), pa.array([len(t or "") for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], *more], names=[f.name for f in schema.fields])
             trim()
         load_shard.cache_clear()  # the worker lives on, for other work
@@ -446,7 +454,7 @@ def judge(docs: DataFrame, carry: list[str], models: str, bits: int, lang_col: s
 
 
 def quality_rules(docs: DataFrame, carry: list[str], below: float = BAND_BELOW, above: float = BAND_ABOVE) -> DataFrame:
-    """judge()'s columns, __off (deviations from the median of the language) and __kept."""
+    """judge()'s columns, __off and __off_low (deviations from the median of the language, by orders ORDER and LOW) and __kept."""
     small_batches(docs.sparkSession)
     path = scratch(docs.sparkSession, "quality")
     save = lambda df, what: materialize(df, what, posixpath.join(path, what))
@@ -454,12 +462,18 @@ def quality_rules(docs: DataFrame, carry: list[str], below: float = BAND_BELOW,
     models, bits = store(fit(grams, path), path)
     rows = save(judge(docs, carry, models, bits), "judged")
     usual = rows.where("not __base_failed and __log_ppl is not null")
-    middle = save(usual.groupBy("__language").agg(F.percentile_approx("__log_ppl", 0.5, 10_000).alias("__mid")), "middle")  # a row a language, written: Spark knows its size before it joins
-    off, long = F.abs(F.col("__log_ppl") - F.col("__mid")), F.col("__chars") >= LONG_DOC
-    scaled = lambda x: 1.4826 * F.percentile_approx(x, 0.5, 10_000)
-    mad, noise = scaled(F.when(long, off)), scaled(F.when(~long, off * F.sqrt("__chars")))
-    spread = usual.join(middle, "__language").groupBy("__language").agg(F.first("__mid").alias("__mid"), F.coalesce(mad, F.lit(0.0)).alias("__mad"), F.coalesce(noise, F.lit(0.0)).alias("__noise"))
-    bands = save(spread, "bands")
-    usual_off = F.sqrt(F.col("__mad") ** 2 + F.col("__noise") ** 2 / F.col("__chars")) + 1e-9
-    rows = rows.join(bands, "__language", "left").withColumn("__off", (F.col("__log_ppl") - F.col("__mid")) / usual_off)
-    return rows.withColumn("__kept", ~F.col("__base_failed") & F.coalesce(F.col("__off").between(-below, above), F.lit(True)))
+    measures = {"__log_ppl": "__off", "__low_ppl": "__off_low"}
+    middle = save(usual.groupBy("__language").agg(*(F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_mid") for c in measures)), "middle")  # a row a language, written: Spark knows its size before it joins
+    long = F.col("__chars") >= LONG_DOC
+    scaled = lambda x, name: F.coalesce(1.4826 * F.percentile_approx(x, 0.5, 10_000), F.lit(0.0)).alias(name)
+    parts = []
+    for c in measures:
+        off = F.abs(F.col(c) - F.col(f"{c}_mid"))
+        parts += [F.first(f"{c}_mid").alias(f"{c}_mid"), scaled(F.when(long, off), f"{c}_mad"), scaled(F.when(~long, off * F.sqrt("__chars")), f"{c}_noise")]
+    bands = save(usual.join(middle, "__language").groupBy("__language").agg(*parts), "bands")
+    rows = rows.join(bands, "__language", "left")
+    for c, name in measures.items():
+        usual_off = F.sqrt(F.col(f"{c}_mad") ** 2 + F.col(f"{c}_noise") ** 2 / F.col("__chars")) + 1e-9
+        rows = rows.withColumn(name, (F.col(c) - F.col(f"{c}_mid")) / usual_off)
+    usual_text = (F.col("__off") <= above) & (F.col("__off_low") >= -below)
+    return rows.withColumn("__kept", ~F.col("__base_failed") & F.coalesce(usual_text, F.lit(True)))
