@@ -17,7 +17,9 @@ place in the arrays (its only reader is the document that has it), and there's n
 Bands: a document's log-perplexity (over its characters) is compared with the median of its language's
 documents that pass the base rules. The usual deviation of a document of n characters is
 sqrt(mad^2 + noise^2 / n), both terms measured: mad is the scaled median absolute deviation of long documents,
-noise that of short ones times the square root of their length. Documents of more than BAND_ABOVE such deviations
+noise that of short ones times the square root of their length. Where a language has few documents to measure
+them by, PRIOR documents of the whole corpus's spread are added to its own, and two standard errors of such a
+measure (DEVIATION_ERROR / sqrt(documents) of it) on top. Documents of more than BAND_ABOVE such deviations
 above are rejected. Under the whole model, whatever other documents repeat (copies, edited copies, shared
 passages) is well foretold, and a band below would take whole families of good documents, the original with its
 copies. So the band below goes by the model's grams of order LOW: their probabilities come from counts of distinct
@@ -51,9 +53,11 @@ POINT = 21
 #: Stands before a text's first character: a code point that is no character.
 PAD = 0x10FFFF
 CODE_POINTS = 0x110000
-BAND_BELOW, BAND_ABOVE = 3.0, 4.0
+BAND_BELOW, BAND_ABOVE = 4.0, 4.0
 #: Documents of at least LONG_DOC characters show the spread of styles, shorter ones that of chance.
 LONG_DOC = 2000
+#: Documents' worth of the whole corpus's spread in each language's, and the relative standard error of a median absolute deviation from one document.
+PRIOR, DEVIATION_ERROR = 30, 1.17
 SHARD_ROWS, SHARDS_HELD = 1 << 21, 16
 SYMBOLS = "#*$%&|<>"
 NO_LANG = "\x00none"
@@ -466,11 +470,20 @@ def quality_rules(docs: DataFrame, carry: list[str], below: float = BAND_BELOW,
     middle = save(usual.groupBy("__language").agg(*(F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_mid") for c in measures)), "middle")  # a row a language, written: Spark knows its size before it joins
     long = F.col("__chars") >= LONG_DOC
     scaled = lambda x, name: F.coalesce(1.4826 * F.percentile_approx(x, 0.5, 10_000), F.lit(0.0)).alias(name)
-    parts = []
+    own, whole = [F.count(F.when(long, 1)).alias("__n_mad"), F.count(F.when(~long, 1)).alias("__n_noise")], []
     for c in measures:
         off = F.abs(F.col(c) - F.col(f"{c}_mid"))
-        parts += [F.first(f"{c}_mid").alias(f"{c}_mid"), scaled(F.when(long, off), f"{c}_mad"), scaled(F.when(~long, off * F.sqrt("__chars")), f"{c}_noise")]
-    bands = save(usual.join(middle, "__language").groupBy("__language").agg(*parts), "bands")
+        own.append(F.first(f"{c}_mid").alias(f"{c}_mid"))
+        for what, x in (("mad", F.when(long, off)), ("noise", F.when(~long, off * F.sqrt("__chars")))):
+            own.append(scaled(x, f"{c}_{what}"))
+            whole.append(scaled(x, f"{c}_{what}_all"))
+    usual = usual.join(middle, "__language")
+    bands = save(usual.groupBy("__language").agg(*own).crossJoin(usual.agg(*whole)), "bands")  # one row of the whole corpus
+    for c in measures:
+        for what in ("mad", "noise"):
+            n = F.col(f"__n_{what}")
+            shrunk = F.sqrt((n * F.col(f"{c}_{what}") ** 2 + PRIOR * F.col(f"{c}_{what}_all") ** 2) / (n + PRIOR))
+            bands = bands.withColumn(f"{c}_{what}", shrunk * (1 + 2 * DEVIATION_ERROR / F.sqrt(n + PRIOR)))
     rows = rows.join(bands, "__language", "left")
     for c, name in measures.items():
         usual_off = F.sqrt(F.col(f"{c}_mad") ** 2 + F.col(f"{c}_noise") ** 2 / F.col("__chars")) + 1e-9
