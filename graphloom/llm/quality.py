@@ -478,11 +478,12 @@ def quality_rules(docs: DataFrame, carry: list[str], below: float = BAND_BELOW,
             own.append(scaled(x, f"{c}_{what}"))
             whole.append(scaled(x, f"{c}_{what}_all"))
     usual = usual.join(middle, "__language")
-    bands = save(usual.groupBy("__language").agg(*own).crossJoin(usual.agg(*whole)), "bands")  # one row of the whole corpus
+    corpus = usual.agg(*whole).first().asDict()  # four numbers
+    bands = save(usual.groupBy("__language").agg(*own), "bands")
     for c in measures:
         for what in ("mad", "noise"):
             n = F.col(f"__n_{what}")
-            shrunk = F.sqrt((n * F.col(f"{c}_{what}") ** 2 + PRIOR * F.col(f"{c}_{what}_all") ** 2) / (n + PRIOR))
+            shrunk = F.sqrt((n * F.col(f"{c}_{what}") ** 2 + PRIOR * F.lit(corpus[f"{c}_{what}_all"]) ** 2) / (n + PRIOR))
             bands = bands.withColumn(f"{c}_{what}", shrunk * (1 + 2 * DEVIATION_ERROR / F.sqrt(n + PRIOR)))
     rows = rows.join(bands, "__language", "left")
     for c, name in measures.items():
