@@ -87,6 +87,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"__{c}").alias(c) for c in (*FEATURES, "base_failed", "kept")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.lexical import ranked_search
+
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.alignment import align_tokenizers
+
+    return align_tokenizers(documents(spark, sf_dir), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.mixing import mix_sources
+
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
@@ -98,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_alignment": op12_alignment,
+    "op13_mixing": op13_mixing,
 }
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -142,7 +163,25 @@ from ruled r left join scores s on s.url = r.url and r.by_rule is null
 """
 
 
+def _ranked_search_sql(k: int = 20) -> str:
+    """Every document's score for every item, from all terms."""
+    terms = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+    return f"""
+with words as (select doc_id, {terms.replace(chr(92) * 2, chr(92))} as term from documents where doc_id is not null),
+  tf as (select doc_id, term, count(*) as tf from words group by all),
+  sizes as (select doc_id, count(*) as n from words group by all),
+  stat as (select count(*)::bigint as n_docs, sum(n)::bigint as l from sizes),
+  m as (select doc_id, 75 + (25 * n * n_docs) // l as m from sizes, stat),
+  w as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w from tf, stat group by term, n_docs),
+  items as (select item_id, term, count(*) as times from (select item_id, {terms.replace(chr(92) * 2, chr(92))} as term from (select distinct item_id, text from benchmark where item_id is not null)) group by all),
+  scores as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score from items join w using (term) join tf using (term) join m using (doc_id) group by all),
+  ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= {k}
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_ranked_search": _ranked_search_sql(),
     "op9_url_filter": _url_filter_sql(),
     "op6_chat": f"""
 with rows as (
