@@ -33,9 +33,9 @@ MOST_SENT, HELD = 2_000_000, 1 << 21
 #: A pair's key is A's id times WIDTH plus B's.
 WIDTH = 1 << 31
 #: Chunks that a worker remembers B's tokens of.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of text that are aligned at once.
-RUN = 2 << 20
+RUN = 1 << 19
 
 CHUNK = re.compile(" +[^ ]*")
 _BLANK = "▁"
