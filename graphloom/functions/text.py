@@ -32,9 +32,10 @@ def name_tokens(name: Column) -> Column:
 
 
 def identifier_tokens(identifier: Column) -> Column:
-    """Parts between underscores and at changes of case, lower, without digits and keywords."""
-    parts = F.regexp_extract_all(identifier, F.lit(r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|[\d_]|[^\w]|$)|[A-Z]+"), F.lit(0))
-    words = F.filter(F.transform(parts, F.lower), lambda x: ~x.isin(*KEYWORDS))
+    """Runs of A-Z and a-z, cut where a capital follows a small letter and before the last capital of several that a
+    small letter follows; lower, without keywords."""
+    marked = F.regexp_replace(identifier, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    words = F.filter(F.transform(F.split(marked, "[^A-Za-z]+"), F.lower), lambda x: (x != "") & ~x.isin(*KEYWORDS))
     return F.when(identifier.isin(*KEYWORDS), F.array().cast("array<string>")).otherwise(words)
 
 
@@ -44,10 +45,21 @@ def strip_comments(code: Column) -> Column:
 
 
 def declaration_count(code: Column) -> Column:
-    """Classes, structs and enums, and function declarations (not definitions), outside comments."""
+    """Classes, structs and enums that are named, and function declarations (not definitions), outside comments.
+
+    A kind's word counts where a word follows and it isn't itself the name after such a word (`enum class A` is one).
+    A statement, which is what ends with a semicolon, declares a function if, but for qualifiers, it ends with a
+    closing parenthesis, and in what that one closes two words stand before an opening one.
+    """
     c = strip_comments(code)
-    function = r"\b\w+\s+\w+\s*\([^)]*\)\s*(const|override|noexcept)*\s*;"
-    return F.regexp_count(c, F.lit(r"\b(class|struct|enum)\s+\w+")) + F.regexp_count(c, F.lit(function))
+    words = F.regexp_extract_all(c, F.lit(r"\w+|[^\w\s]"), F.lit(0))
+    at = lambda i: F.coalesce(F.get(words, i), F.lit(""))
+    kind = lambda w: w.isin("class", "struct", "enum")
+    kinds = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: kind(at(i)) & at(i + 1).rlike(r"^\w") & ~kind(F.when(i > 0, at(i - 1)).otherwise("")))
+    statements = F.regexp_extract_all(c, F.lit("[^;{}]*;"), F.lit(0))
+    bare = F.transform(statements, lambda s: F.regexp_replace(s, r"(?:(?<=[\s)])(?:const|override|noexcept)|\s)*;$", ""))
+    inside = F.transform(F.filter(bare, lambda s: s.endswith(")")), lambda s: F.substring_index(F.substring(s, F.lit(1), F.length(s) - 1), ")", -1))
+    return F.size(kinds) + F.size(F.filter(inside, lambda s: s.rlike(r"\w\s+\w+\s*\(")))
 
 
 def naming_consistency(body: Column) -> Column:
@@ -286,23 +298,26 @@ OPERATORS = (
 )
 
 
-@F.udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("volume", "difficulty", "effort")]), useArrow=True)
-def halstead_udf(code: str | None):
-    """Halstead's volume, difficulty and effort. Operators are taken out longest first, wherever they stand; the
-    identifiers that are no keywords and the numbers in what is left are operands."""
-    import math
-    from collections import Counter
-
-    left, operators = _without_strings(code or ""), Counter()
-    for op in sorted(OPERATORS, key=len, reverse=True):
-        pieces = left.split(op)
-        if len(pieces) > 1:
-            operators[op], left = len(pieces) - 1, " ".join(pieces)
-    operands = Counter(x for x in re.findall(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b|\b\d+[fFlLuU]*\b", left) if x not in KEYWORDS)
-    n1, n2, used = len(operators), len(operands), operands.total()
-    volume = (operators.total() + used) * math.log2(n1 + n2) if n1 + n2 else 0.0
-    difficulty = n1 / 2 * used / n2 if n2 else 0.0
-    return {"volume": volume, "difficulty": difficulty, "effort": volume * difficulty}
+#: Names, numbers and operators, of which the longest that fits; anything else is no token.
+_CODE_TOKEN = "|".join([r"[A-Za-z_]\w*", r"\d+(?:\.\d+)?[fFlLuU]*", *(re.escape(x) for x in sorted(OPERATORS, key=len, reverse=True) if not x.isalpha())])
+
+
+_HIDDEN_JAVA = "(?s)" + _HIDDEN.pattern.replace(r"\Z", r"\z")
+
+
+def halstead(code: Column) -> Column:
+    """Struct of Halstead's volume, difficulty and effort, from one pass over the tokens outside strings and comments.
+
+    Operators are tokens of OPERATORS; names that are no keywords, and numbers, are operands.
+    """
+    tokens_ = F.regexp_extract_all(F.regexp_replace(F.coalesce(code, F.lit("")), _HIDDEN_JAVA, " "), F.lit(_CODE_TOKEN), F.lit(0))
+    operators = F.filter(tokens_, lambda x: x.isin(*OPERATORS))
+    operands = F.filter(tokens_, lambda x: x.rlike(r"^\w") & ~x.isin(*OPERATORS) & ~x.isin(*KEYWORDS))
+    n1, n2 = (F.size(F.array_distinct(x)).cast("double") for x in (operators, operands))
+    used = F.size(operands).cast("double")
+    volume = F.when(n1 + n2 > 0, (F.size(operators) + used) * F.log2(n1 + n2)).otherwise(0.0)
+    difficulty = F.when(n2 > 0, n1 / 2 * used / n2).otherwise(0.0)
+    return F.struct(volume.alias("volume"), difficulty.alias("difficulty"), (volume * difficulty).alias("effort"))
 
 
 def halstead_of_tokens(total: Column) -> list[Column]:

@@ -69,6 +69,7 @@ def hops(edges: DataFrame, hits: DataFrame, hop: int, inside: bool = False) -> D
     e = ends.select("src", "dst", F.lit("successor").alias("relation")).union(ends.select("dst", "src", F.lit("predecessor")))
     if inside:
         e = e.join(hits.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "relation")
+    e = cut(e.repartition("src"))
     found = None
     seen = cut(hits.select(F.col("id").alias("hit"), "id").distinct())
     frontier = seen
@@ -84,9 +85,15 @@ def hops(edges: DataFrame, hits: DataFrame, hop: int, inside: bool = False) -> D
 
 
 def simple_paths(edges: DataFrame, start, max_depth: int) -> DataFrame:
-    """(path, depth): simple paths from start to a node without out-edges, of at most max_depth edges."""
+    """(path, depth): simple paths from start to a node without out-edges, of at most max_depth edges.
+
+    A path grows only to nodes from which such an end is still within reach of the depth that is left; distances
+    to the nearest end are found first, backward from the ends.
+    """
     e = edges.select("src", "dst").distinct()
     leaves = roots(e.select(F.col("dst").alias("id")).distinct(), e, leaves=True)
+    far = reachable(e, leaves, max_depth, "in").select(F.col("id").alias("dst"), F.col("depth").alias("far"))
+    e = cut(e.join(far, "dst").select("src", "dst", "far").repartition("src"))
     now = cut(edges.sparkSession.range(1).select(F.array(F.lit(start).cast("long")).alias("path")))
     out = None
     for depth in range(max_depth + 1):
@@ -94,13 +101,16 @@ def simple_paths(edges: DataFrame, start, max_depth: int) -> DataFrame:
         done = now.join(leaves, last == F.col("id"), "left_semi").withColumn("depth", F.lit(depth))
         out = done if out is None else out.union(done)
         if depth < max_depth:
-            now = cut(now.join(e, last == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
+            onward = e.where(F.col("far") <= max_depth - depth - 1)
+            now = cut(now.join(onward, last == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
+            if now.isEmpty():
+                break
     return out
 
 
 def call_tree(edges: DataFrame, start, max_depth: int) -> DataFrame:
     """(path, depth, truncated): the tree of calls below start; a node already on its path ends it."""
-    e = edges.select("src", "dst").distinct()
+    e = cut(edges.select("src", "dst").distinct().repartition("src"))
     now = cut(edges.sparkSession.range(1).select(F.array(F.lit(start).cast("long")).alias("path")))
     out = now.select("path", F.lit(0).alias("depth"), F.lit(False).alias("truncated"))
     for depth in range(1, max_depth + 1):
@@ -109,31 +119,24 @@ def call_tree(edges: DataFrame, start, max_depth: int) -> DataFrame:
     return out
 
 
-def cycles(edges: DataFrame, max_length: int) -> DataFrame:
-    """(cycle): simple cycles of at most max_length edges, each once, from its smallest node."""
-    e = edges.select("src", "dst").distinct()
-    now = cut(e.where("src <= dst").select(F.array("src").alias("path"), F.col("dst").alias("next")))
-    out = None
-    for _ in range(max_length):
-        done = now.where(F.col("next") == F.col("path")[0]).select(F.col("path").alias("cycle"))
-        out = done if out is None else out.union(done)
-        on = now.where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next")))
-        now = cut(on.join(e, F.col("next") == F.col("src")).select(F.concat("path", F.array("next")).alias("path"), F.col("dst").alias("next")))
-    return out
-
-
 def shortest_path(edges: DataFrame, source, target) -> DataFrame:
-    """(path): one shortest path, the smaller parent first; no row where there's none."""
-    e = edges.select("src", "dst").distinct()
-    seen = cut(edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), F.array(F.lit(source).cast("long")).alias("path")))
-    frontier = seen
-    while seen.where(F.col("id") == F.lit(target)).isEmpty():
-        step = frontier.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct(F.col("id").alias("p"), "path")).alias("m"))
-        frontier = cut(step.join(seen, "id", "left_anti").select("id", F.concat("m.path", F.array("id")).alias("path")))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.union(frontier))
-    return seen.where(F.col("id") == F.lit(target)).select("path")
+    """(path): one shortest path, the smaller parent first; no row where there's none.
+
+    A node keeps only its parent; the path is read back from the target, one look-up in each level's table.
+    """
+    e = cut(edges.select("src", "dst").distinct().repartition("src"))
+    seen = cut(edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(None).cast("long").alias("parent")))
+    levels_ = [seen]
+    while levels_[-1].where(F.col("id") == F.lit(target)).isEmpty():
+        step = levels_[-1].join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        levels_.append(cut(step.join(seen, "id", "left_anti")))
+        if levels_[-1].isEmpty():
+            return seen.limit(0).select(F.array("id").alias("path"))
+        seen = cut(seen.union(levels_[-1]))
+    path = [target]
+    for level in reversed(levels_[1:]):
+        path.append(level.where(F.col("id") == F.lit(path[-1])).first()["parent"])
+    return edges.sparkSession.range(1).select(F.array(*(F.lit(x).cast("long") for x in reversed(path))).alias("path"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def retrieve(rows: DataFrame, edges: DataFrame, query: list[float], per_graph: i
 
     hits = top_k_per(scored(rows.select("id", "graph", "vector"), query), ["graph"], per_graph).where(F.col("score") > threshold)
     seen = cut(hits.select("graph", "id", F.lit(0).alias("depth")))
-    frontier, e = seen, edges.select("src", "dst").distinct()
+    frontier, e = seen, cut(edges.select("src", "dst").distinct().repartition("src"))
     for d in range(1, depth + 1):
         reached = frontier.join(e, F.col("id") == F.col("src")).select("graph", F.col("dst").alias("id")).distinct()
         frontier = cut(reached.join(seen, ["graph", "id"], "left_anti").withColumn("depth", F.lit(d)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import code_graph as cg
+from graphloom.operators import cycles as cyc
 from graphloom.operators import graph as op
 from graphloom.plans.base import CALLS, NODES, RING, TREE, Registry
 
@@ -89,7 +90,7 @@ def _(t):
 
 @query("o_g11_cycles", f"with recursive e as ({RING}), f as (select [src] as p, dst as nxt from e where src <= dst union all select list_append(p, nxt), e.dst from f join e on e.src = f.nxt where nxt > p[1] and not list_contains(p, nxt) and len(p) < 5) select array_to_string(p, '>') as cycle from f where nxt = p[1]")
 def _(t):
-    return op.cycles(t.ring, 5).withColumn("cycle", F.array_join("cycle", ">"))
+    return cyc.cycles(t.ring, 5).withColumn("cycle", F.array_join("cycle", ">"))
 
 
 @query("o_g12_shortest_path", f"select min(depth) + 1 as nodes from ({bfs(40)}) where id = 17")

@@ -31,8 +31,8 @@ def _(t):
     return t.part.select("p_partkey", J(tx.identifier_tokens(F.concat(F.lit("getHTTPValue_"), F.initcap("p_type"), F.lit("2for")))).alias("tokens"))
 
 
-@query("o_s4_declarations", r"""select p_partkey, len(regexp_extract_all(x, '\b(class|struct|enum)\s+\w+')) + len(regexp_extract_all(x, '\b\w+\s+\w+\s*\([^)]*\)\s*(const|override|noexcept)*\s*;')) as n
-  from (select p_partkey, regexp_replace(regexp_replace(case when p_size > 25 then 'class A { /* class Z */ int/*x*/f(int a) const; };' else '// enum Q' || chr(10) || ' void g() {} int h();' end || ' struct B {}; // ' || p_name, '(?s)/\*.*?\*/', ' ', 'g'), '//[^\n]*', '', 'g') as x from part)""")
+# Counted by hand: class A, its f and struct B; h and struct B.
+@query("o_s4_declarations", "select p_partkey, (case when p_size > 25 then 3 else 2 end)::bigint as n from part")
 def _(t):
     code = F.concat(F.when(c("p_size") > 25, "class A { /* class Z */ int/*x*/f(int a) const; };").otherwise("// enum Q\n void g() {} int h();"), F.lit(" struct B {}; // "), "p_name")
     return t.part.select("p_partkey", tx.declaration_count(code).cast("long").alias("n"))
@@ -229,7 +229,7 @@ CODE = "int f(int a) { // note\n  return a + 1 > 2 ? a : \"//\"; /* x */ }\n"
 
 @query("o_s38_halstead")
 def _(t):
-    h = tx.halstead_udf(F.concat(F.lit(CODE), "p_name"))
+    h = tx.halstead(F.concat(F.lit(CODE), "p_name"))
     return t.part.select("p_partkey", h.alias("h")).select("p_partkey", r6("h.volume", "volume"), r6("h.difficulty", "difficulty"), r6("h.effort", "effort"))
 
 

@@ -12,6 +12,7 @@ from graphloom.functions.vectors import cosine
 from graphloom.operators import aggregates as ag
 from graphloom.operators import filters as fl
 from graphloom.operators import graph as gr
+from graphloom.operators.cycles import cycles
 from graphloom.operators import joins as jn
 from graphloom.operators import segment as sg
 from graphloom.operators import sets as st
@@ -49,7 +50,7 @@ def test_paths(spark):
     e = edges(spark, CYCLIC)
     assert rows(gr.simple_paths(e, 1, 5)) == [([1, 2, 3, 4, 5], 4)]
     assert rows(gr.simple_paths(e, 1, 3)) == []
-    assert rows(gr.cycles(e, 4)) == [([1, 2, 3],), ([4],)]
+    assert rows(cycles(e, 4)) == [([1, 2, 3],), ([4],)]
     assert rows(gr.shortest_path(edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4)]), 1, 4)) == [([1, 2, 4],)]
     assert rows(gr.shortest_path(e, 5, 1)) == []
     tree = rows(gr.call_tree(e, 3, 1))
@@ -199,19 +200,23 @@ def test_comments_and_code(spark):
     code = "a; // x\n/* b\nc */ d\ne /* f */\n\"//\""
     assert one(spark, tx.comment_lines(F.col("c")), c="a; // x\n/* b\nc */ d\ne /* f */\ng") == 4
     assert one(spark, tx.strip_strings_udf(F.col("c")), c=code) == "a; \n\n d\ne \n    "
-    h = one(spark, tx.halstead_udf(F.col("c")), c="a = b + 1;")
+    h = one(spark, tx.halstead(F.col("c")), c="a = b + 1;")
     assert h.volume == 6 * math.log2(6) and h.difficulty == 1.5
-    assert one(spark, tx.halstead_udf(F.col("c")), c="").effort == 0.0
+    assert one(spark, tx.halstead(F.col("c")), c="").effort == 0.0
 
 
 def test_identifiers_and_declarations(spark):
     tokens = lambda x: one(spark, tx.identifier_tokens(F.col("c")), c=x)
     assert tokens("getHTTPValue_2for") == ["get", "http", "value"] and tokens("switch") == [] and tokens("my_enumClass") == ["my"]
     declared = lambda x: one(spark, tx.declaration_count(F.col("c")), c=x)
+    assert tokens("ABc_xY9Z") == ["a", "bc", "x", "y", "z"] and tokens("HTTPServer") == ["http", "server"]
+    assert declared("enum class Mode { A, B }; struct { int x; } s; class A : public B {};") == 2
+    assert declared("int f(int a, int b) const override; x = g(1); void h(int (*p)(int)); call(2); return k(3);") == 3
+    assert declared("") == 0 and declared("class") == 0
     assert declared("int/*x*/f(int a);") == 1 and declared("int f() { return 1; }") == 0 and declared("class A; // enum B\nvoid g() const;") == 2
     naming = lambda x: one(spark, tx.naming_consistency(F.col("c")), c=x)
     assert naming(None) == 1.0 and naming("int i") == 1.0 and naming("int fooBar = foo_baz + foo_baz;") == pytest.approx((1 / 3 + 1 / 3 + 1) / 3)
-    h = one(spark, tx.halstead_udf(F.col("c")), c="return new X(a, 12u); // b")
+    h = one(spark, tx.halstead(F.col("c")), c="return new X(a, 12u); // b")
     assert h.volume == pytest.approx(8 * math.log2(8)) and h.difficulty == pytest.approx(2.5)
 
 
