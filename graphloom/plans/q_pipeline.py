@@ -9,6 +9,8 @@ from graphloom.plans import pipeline as pl
 from graphloom.plans.base import Registry
 from graphloom.plans.q_sources import folder
 from graphloom.streaming import incremental as st
+from graphloom.streaming import stateful
+from graphloom.streaming.ledger import Ledger
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -39,14 +41,20 @@ def _(t):
     return segment.chunk(t.documents.select("doc_id", "text"))
 
 
+def in_parts(t, parts, run):
+    """run(stream) after each part is added to a log: the query starts anew each time, and goes on from its checkpoint."""
+    log = folder(t, "log")
+    for rows in parts:
+        rows.write.mode("append").json(log)
+        run(st.read_log(t.spark, log, rows.schema.simpleString()[7:-1].replace(":", " ")))
+
+
 @query("o_x1_incremental", "select o_orderkey from orders")
 def _(t):
-    log, out, ck = (folder(t, x) for x in ("log", "done", "ck"))
-    part = lambda k: t.orders.where(k).select("o_orderkey").write.mode("append").json(log)
-    for k in ("o_orderkey % 3 = 0", "o_orderkey % 2 = 0 or o_orderkey % 3 <> 0"):
-        part(k)
-        st.process_new(st.read_log(t.spark, log, "o_orderkey long"), out, ck, ["o_orderkey"], lambda d: d)
-    return t.spark.read.parquet(out)
+    out, ck = (folder(t, x) for x in ("done", "ck"))
+    keys = t.orders.select("o_orderkey")
+    in_parts(t, [keys.where("o_orderkey % 3 = 0"), keys.where("o_orderkey % 2 = 0 or o_orderkey % 3 <> 0")], lambda s: Ledger(t.spark, out, ["o_orderkey"], buckets=16).follow(s, ck, lambda d: d))
+    return Ledger(t.spark, out, ["o_orderkey"], buckets=16).rows()
 
 
 @query("o_x2_log_stream", "select event_type, count(*) as n from events group by 1")
@@ -58,29 +66,29 @@ def _(t):
     return t.spark.read.schema("event_id long, event_type string").parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("o_x3_sample_loop", "select user_id, count(*)::bigint as used from events group by 1")
+@query("o_x3_sample_loop", "select user_id, count(*)::bigint as used, round(sum(value), 4)::double as reward from events group by 1")
 def _(t):
-    out, ck, log = (folder(t, x) for x in ("buffer", "ck", "log"))
-    t.events.select("event_id", "user_id").write.json(log)
-    st.process_new(st.read_log(t.spark, log, "event_id long, user_id long"), out, ck, ["event_id"], lambda d: d)
-    return t.spark.read.parquet(out).groupBy("user_id").agg(F.count("*").alias("used"))
+    led, log = Ledger(t.spark, folder(t, "steps"), ["event_id"], buckets=8), folder(t, "updates")
+    tasks = t.events.select("event_id", "user_id", "value")
+    update = lambda buffer, step: buffer.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("r")).withColumn("step", F.lit(step)).write.mode("append").parquet(log)
+    st.train_loop(tasks, led, "event_id", -(-tasks.count() // 3), lambda rows, step: rows, update)
+    return t.spark.read.schema("user_id long, n long, r double").parquet(log).groupBy("user_id").agg(F.sum("n").alias("used"), F.round(F.sum("r"), 4).alias("reward"))
 
 
 @query("o_x4_bounded_buffer", "select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id desc) as rn from events) where rn <= 3")
 def _(t):
-    log, out, ck = (folder(t, x) for x in ("log", "ring", "ck"))
-    for k in range(2):
-        t.events.where(f"event_id % 2 = {k}").select("user_id", "event_id").write.mode("append").json(log)
-        st.bounded_buffer(st.read_log(t.spark, log, "user_id long, event_id long"), "user_id", "event_id", 3, out, ck)
-    return t.spark.read.parquet(f"{out}/1")
+    out, ck = (folder(t, x) for x in ("evicted", "ck"))
+    rows = t.events.select("user_id", "event_id")
+    in_parts(t, [rows.where(f"event_id % 2 = {k}") for k in range(2)], lambda s: stateful.run_to_end(stateful.newest_rows(s, "user_id", "event_id", 3), out, ck))
+    return stateful.state_of(t.spark, ck, "buffer").select("user_id", "event_id")
 
 
-@query("o_x5_controller_state")
+@query("o_x5_controller_state", "select user_id, round(0.2::double * exp(sum(ln(1 + greatest(-0.2::double, least(0.2::double, value / 20.0::double - 1)) * 4 / 10000.0::double))), 6) as coefficient, count(value) as updates from events group by 1")
 def _(t):
-    from graphloom.functions.training import adaptive_coefficient
-
-    s = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
-    return s.select("user_id", F.round(adaptive_coefficient(0.2, F.col("s.value"), 20.0, 10_000, 4), 6).alias("coefficient"))
+    out, ck = (folder(t, x) for x in ("steps", "ck"))
+    rows = t.events.select("user_id", "value", "event_id")
+    in_parts(t, [rows.where(f"event_id % 2 = {k}") for k in range(2)], lambda s: stateful.run_to_end(stateful.adaptive_controller(s, "user_id", "value", 0.2, 20.0, 10_000, 4), out, ck))
+    return stateful.state_of(t.spark, ck, "controller").select("user_id", F.round("coefficient", 6).alias("coefficient"), "updates")
 
 
 @query("o_x6_fill_batch", """with a as (select c_custkey as task_id, row_number() over (order by md5(c_custkey::varchar || ':0'), c_custkey) as rn from customer where coalesce(c_acctbal > 0, true)), k as (select task_id from a where rn <= (select max(x) from (select unnest(range(1, 65)) as x) where 64 % x = 0 and x <= least(64, (select count(*) from a)))),
@@ -91,9 +99,19 @@ def _(t):
     return st.fill_batch(tasks, t.orders.select(F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("trajectory_id")), 64)
 
 
-@query("o_x7_barrier", "select event_id // 100 as batch, string_agg(event_id::varchar, '|' order by event_id) as requests from events group by 1")
+@query("o_x7_barrier", "select actor, seq, place // 100 as batch, place from (select user_id % 2 as actor, event_id as seq, row_number() over (order by user_id % 2, event_id) - 1 as place from events)")
 def _(t):
-    return t.events.groupBy(F.floor(F.col("event_id") / 100).alias("batch")).agg(F.array_join(F.array_sort(F.collect_list("event_id")), "|").alias("requests"))
+    def run(batches, offset):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            place = np.arange(offset, offset + b.num_rows)
+            offset += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column("actor"), b.column("seq"), pa.array(place // 100), pa.array(place)], ["actor", "seq", "batch", "place"])
+
+    requests = t.events.select((F.col("user_id") % 2).alias("actor"), F.col("event_id").alias("seq"))
+    return st.in_barrier(requests, 2, run, "actor long, seq long, batch long, place long")
 
 
 @query("o_x8_resume_offset", "select event_id from events where event_id >= 500")
@@ -111,6 +129,16 @@ def _(t):
     return t.events.select("user_id", "event_id", F.sum(k).over(W.partitionBy("user_id").orderBy("event_id")).alias("used"))
 
 
+@query("o_x9_token_stream", "select user_id, event_id, sum(k) over (partition by user_id, part order by event_id)::bigint as used from (select *, json_extract(props, '$.k')::bigint as k, count(*) filter (where event_type = (select min(event_type) from events)) over (partition by user_id order by event_id) as part from events)")
+def _(t):
+    out, ck = (folder(t, x) for x in ("used", "ck"))
+    first = t.events.agg(F.min("event_type")).first()[0]
+    half = t.events.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    rows = t.events.select("user_id", "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), (F.col("event_type") == first).alias("again"))
+    in_parts(t, [rows.where(F.col("event_id") <= half), rows.where(F.col("event_id") > half)], lambda s: stateful.run_to_end(stateful.running_totals(s, "user_id", "event_id", "k", "again"), out, ck))
+    return t.spark.read.parquet(out)
+
+
 def samples(t):
     return t.events.select(F.concat(F.lit("u"), "user_id").alias("input"), F.col("event_type").alias("output"), F.col("value").alias("reward"), F.col("event_id").alias("seq"))
 

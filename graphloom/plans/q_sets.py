@@ -106,6 +106,12 @@ def _(t):
 
 @query("o_i23_upsert", "select o_orderkey, case when o_orderkey % 2 = 0 then 'X' else o_orderstatus end as status from orders")
 def _(t):
+    from graphloom.plans.q_sources import folder
+    from graphloom.sources.keyed_table import KeyedTable
+
     old = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(0).alias("seq"))
     new = old.where("o_orderkey % 2 = 0")
-    return op.upsert(old, new.withColumn("status", F.lit("W")).unionByName(new.withColumn("status", F.lit("X")).withColumn("seq", F.lit(1))), "o_orderkey").select("o_orderkey", "status")
+    table = KeyedTable(t.spark, folder(t, "orders"), "o_orderkey", "seq", buckets=16)
+    table.upsert(old)
+    table.upsert(op.upsert(new.withColumn("status", F.lit("W")), new.withColumn("status", F.lit("X")), "o_orderkey").withColumn("seq", F.lit(1)))
+    return table.rows().select("o_orderkey", "status")

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from graphloom.operators.joins import last_per, not_done
+from graphloom.operators.joins import last_per
 from graphloom.plans.base import CALLS, Registry
 from graphloom.sources import files as io
 
@@ -76,14 +76,16 @@ def _(t):
     return io.read_results(t.spark, at, "event_id: bigint").select("test_type", "result.event_id")
 
 
-@query("o_i9_yaml")
+@query("o_i9_yaml", "select 'item ' || item_id::varchar as query, text as ground_truth, length(text)::varchar as end_line from benchmark")
 def _(t):
     at = folder(t, "yaml")
-    t.spark.createDataFrame([("benchmark:\n- query: 'complete f'\n  start_line: 3\n  ground_truth: |\n    int f() {\n      return 1;\n    }\n- query: g\n  end_line: 9",)], "value string").coalesce(1).write.option("lineSep", "\n").text(at)
+    block = F.concat(F.lit("    "), F.replace("text", F.lit("\n"), F.lit("\n    ")))
+    rows = t.benchmark.select(F.concat(F.lit("- query: 'item "), "item_id", F.lit("'\n  end_line: "), F.length("text"), F.lit("\n  ground_truth: |\n"), block).alias("value"))
+    rows.repartition(4).write.option("lineSep", "\n").text(at)
     t.spark.dataSource.register(io.YamlSource)
     parts = [r["path"] for r in io.list_files(t.spark, at, [".txt"]).select("path").collect()]
     d = t.spark.read.format("yaml_cases").option("path", ",".join(parts)).load()
-    return d.select(F.col("case")["query"].alias("query"), F.col("case")["ground_truth"].alias("ground_truth"))
+    return d.select(*(F.col("case")[c].alias(c) for c in ("query", "ground_truth", "end_line")))
 
 
 def graph_json(t, u, v):
@@ -127,11 +129,16 @@ def _(t):
     return io.read_graphml(t.spark, at)[1].select("src", "dst")
 
 
-@query("o_i18_paged", "select i as id, 'issue ' || i::varchar as title from (select unnest(range(250)) as i) where i % 7 <> 0")
+@query("o_i18_paged", "select page_id as id, url as title from pages where page_id % 7 <> 0")
 def _(t):
-    def fetch(page, size):
-        part = range(250)[(page - 1) * size : page * size]
-        return [{"id": i, "title": f"issue {i}"} | ({"pull_request": {}} if i % 7 == 0 else {}) for i in part]
+    path = f"{t.dir}/pages.parquet"
+
+    def fetch(page, size):  # stands for a remote interface, a page a call
+        import pyarrow.dataset as ds
+
+        at = ds.field("page_id")
+        rows = ds.dataset(path).to_table(columns=["page_id", "url"], filter=(at >= (page - 1) * size) & (at < page * size)).sort_by("page_id").to_pylist()
+        return [{"id": r["page_id"], "title": r["url"]} | ({"pull_request": {}} if r["page_id"] % 7 == 0 else {}) for r in rows]
 
     return io.read_issues(t.spark, fetch, 100)
 
@@ -183,9 +190,14 @@ def _(t):
     return t.spark.read.schema("event_id long, event_type string").json(at)
 
 
-@query("o_i22_sidecar", "select user_id, arg_max(event_id, event_id) as event_id from events group by 1")
+@query("o_i22_sidecar", "select user_id, max(event_id) as event_id from events group by 1")
 def _(t):
-    return last_per(t.events.select("user_id", "event_id"), ["user_id"], "event_id")
+    from graphloom.sources.keyed_table import KeyedTable
+
+    table, rows = KeyedTable(t.spark, folder(t, "sidecar"), "user_id", "event_id", buckets=8), t.events.select("user_id", "event_id")
+    for part in (rows.where("event_id % 3 <> 0"), rows.where("event_id % 3 = 0")):
+        table.upsert(part)
+    return table.rows()
 
 
 @query("o_i24_cache_misses", "select doc_id from documents where md5(text) not in (select md5(text) from documents where doc_id % 3 = 0)")
@@ -209,9 +221,11 @@ def _(t):
     return t.part.select("p_partkey", io.as_strings(F.struct("p_name", "p_size")).alias("json"))
 
 
-@query("o_i28_resume", "select o_orderkey, o_custkey from orders where o_orderkey % 3 <> 0")
+@query("o_i28_resume", "select o_orderkey, o_custkey from orders")
 def _(t):
-    at = folder(t, "bodies")
-    done = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey")
-    not_done(t.orders.select("o_orderkey", "o_custkey"), done, ["o_orderkey"]).write.mode("append").json(at)
-    return t.spark.read.schema("o_orderkey long, o_custkey long").json(at)
+    from graphloom.streaming.ledger import Ledger
+
+    at, rows = folder(t, "bodies"), t.orders.select("o_orderkey", "o_custkey")
+    for part in (rows.where("o_orderkey % 3 = 0"), rows):  # what is done comes from what the first run has stored
+        Ledger(t.spark, at, ["o_orderkey"], buckets=16, format="json").process(part, lambda d: d)
+    return Ledger(t.spark, at, ["o_orderkey"], buckets=16, format="json").rows()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators import windows as op
+from graphloom.operators.scans import trajectory_returns
 from graphloom.plans.base import Registry
 
 query = Registry()
@@ -55,6 +57,26 @@ def _(t):
     return paths(t).select("l_orderkey", joined(op.gae(F.col("v"), F.col("r"), 0.9, 0.8)["returns"], "%.2f", 1e-7).alias("returns"))
 
 
+_STEPS = """with l as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_tax) as k, l_quantity as r, l_tax * 100 as v from lineitem),
+  d as (select *, r + 0.9::double * coalesce(lead(v) over (partition by l_orderkey order by k), 0) - v as delta from l)
+  select a.l_orderkey, a.k, round({0}, 6) as "return" from d a join d b on b.l_orderkey = a.l_orderkey and b.k >= a.k group by a.l_orderkey, a.k, a.v"""
+
+
+def steps(t):
+    k = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_tax")).cast("long")
+    return t.lineitem.select("l_orderkey", k.alias("k"), F.col("l_quantity").alias("r"), (F.col("l_tax") * 100).alias("v"))
+
+
+@query("o_w6_returns_by_step", _STEPS.format("sum(b.r * pow(0.9::double, b.k - a.k))"))
+def _(t):
+    return trajectory_returns(steps(t), "l_orderkey", "k", "r", 0.9).select("l_orderkey", "k", F.round("return", 6).alias("return"))
+
+
+@query("o_w7_gae_by_step", _STEPS.format("a.v + sum(b.delta * pow(0.9::double * 0.8::double, b.k - a.k))"))
+def _(t):
+    return trajectory_returns(steps(t), "l_orderkey", "k", "r", 0.9, "v", 0.8).select("l_orderkey", "k", F.round("return", 6).alias("return"))
+
+
 @query("o_w8_token_rewards", "select l_orderkey, string_agg(printf('%.4f', -0.1::double * v + case when k = n then 5.0 else 0 end), '|' order by k) as rewards from (select l_orderkey, l_tax * 100 as v, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_tax) as k, count(*) over (partition by l_orderkey) as n from lineitem) group by 1")
 def _(t):
     return paths(t).select("l_orderkey", joined(op.token_rewards(F.lit(9.0), F.col("v"), 0.1, clip=5.0)).alias("rewards"))

@@ -1,4 +1,4 @@
-"""Streaming forms of incremental extraction, logs and bounded buffers."""
+"""Logs as streams, the sample-update loop, requests behind a barrier, filled batches. State: stateful.py; exactly-once output: ledger.py."""
 
 from __future__ import annotations
 
@@ -7,47 +7,62 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.streaming.ledger import Ledger
+
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An append-only JSON log as a stream."""
     return spark.readStream.schema(schema).json(path)
 
 
-def process_new(stream: DataFrame, target: str, checkpoint: str, keys: list[str], work: Callable[[DataFrame], DataFrame]):
-    """Run work on rows whose keys the target (Parquet) hasn't yet, and append; ends when the stream's input is used up.
+def train_loop(tasks: DataFrame, ledger: Ledger, key: str, batch: int, generate: Callable[[DataFrame, int], DataFrame], update: Callable[[DataFrame, int], None], seed: int = 0) -> int:
+    """Draw batch tasks that aren't used yet, generate, hand the buffer to update, clear it; ends on an empty draw. Gives the number of steps.
 
-    Within a batch each key is handled once. A batch that runs again after a failure finds its keys done.
+    What is used is what the ledger holds, so a loop that starts again goes on with what is left. A draw is in the
+    order of a seeded hash. update is called once for a step unless a step is lost before its commit; then it runs again
+    with the same draw.
     """
-    def batch(df: DataFrame, _epoch: int) -> None:
-        spark = df.sparkSession
-        try:
-            done = spark.read.parquet(target).select(*keys)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = spark.createDataFrame([], df.select(*keys).schema)
-        work(df.dropDuplicates(keys).join(done, keys, "left_anti")).write.mode("append").parquet(target)
-
-    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
-
-
-def bounded_buffer(stream: DataFrame, key: str, order: str, limit: int, target: str, checkpoint: str):
-    """Keep the newest limit rows of each key in target, batch by batch; versions alternate so that none is read while written."""
-    from pyspark.sql import Window as W
+    step = ledger.last() + 1
+    while True:
+        drawn = ledger.new_rows(tasks).orderBy(F.xxhash64(F.lit(seed), key), key).limit(batch)
+        if drawn.isEmpty():
+            return step
+        ledger.write(drawn, step, lambda rows, k=step: generate(rows, k))
+        update(ledger.epoch(step), step)
+        ledger.commit(step)
+        step += 1
+
+
+def in_barrier(requests: DataFrame, actors: int, run: Callable, schema: str, actor: str = "actor", order: str = "seq") -> DataFrame:
+    """Run requests (actor from 0 to actors - 1, order, ...) as one batch that starts when every actor has submitted, and split it back.
+
+    One task an actor, in a barrier stage: each says what it has, and none goes on until all have; if an actor has sent
+    nothing the stage fails. run: a function of the Arrow batches of an actor, sorted by order, and the actor's offset in
+    the whole batch (actors one after the other), that yields Arrow batches of schema. An actor's requests are read as
+    a stream. The cluster needs as many free slots as there are actors.
+    """
+    sizes = requests.groupBy(actor).agg(F.count("*").alias("n")).where(F.col(actor).between(0, actors - 1)).collect()
+    count = {r[0]: r[1] for r in sizes}
+    offsets = [sum(count.get(i, 0) for i in range(k)) for k in range(actors)]
+
+    def task(batches):
+        from pyspark import BarrierTaskContext
+
+        ctx = BarrierTaskContext.get()
+        me, first = ctx.partitionId(), next(batches, None)
+        heard = ctx.allGather("" if first is None or not first.num_rows else str(me))
+        missing = sorted(set(range(actors)) - {int(x) for x in heard if x})
+        if missing:
+            raise ValueError(f"actors that have submitted nothing: {missing}")
+
+        def rows():
+            yield first
+            yield from batches
+
+        yield from run(rows(), offsets[me])
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        rows = df
-        if epoch:
-            rows = rows.unionByName(spark.read.parquet(f"{target}/{epoch - 1}"))
-        rn = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
-        rows.withColumn("__rn", rn).where(F.col("__rn") <= limit).drop("__rn").write.mode("overwrite").parquet(f"{target}/{epoch}")
-
-    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
+    parts = requests.where(F.col(actor).between(0, actors - 1)).repartitionById(actors, F.col(actor).cast("int")).sortWithinPartitions(order)
+    return parts.mapInArrow(task, schema, barrier=True)
 
 
 def fill_batch(tasks: DataFrame, trajectories: DataFrame, batch: int, seed: int = 0) -> DataFrame:
