@@ -256,6 +256,17 @@ def _(t):
     return t.part.select("p_partkey", tx.complexity(F.when(c("p_size") > 20, "if (a && b) { x = c ? 1 : 2; } // if").otherwise("return;")).alias("n"))
 
 
+# A file a part: a function of p_size % 4 branches, a class with a method, and text that only looks like code. Counted by rule.
+@query("o_s42_function_metrics", """select p_partkey, 'f' as name, 1::bigint as start_line, (p_size % 4 + 3)::bigint as end_line, (p_size % 4 + 3)::bigint as nloc, (2 * (p_size % 4) + 1)::bigint as complexity from part
+  union all select p_partkey, 'm', (p_size % 4 + 5)::bigint, (p_size % 4 + 5)::bigint, 1, 2 from part""")
+def _(t):
+    from graphloom.operators.code_metrics import function_metrics
+
+    branch = F.lit('  if (a > 1 && b) { s = "}"; } // }\n')
+    code = F.concat(F.lit("int f(int a) {\n"), F.repeat(branch, c("p_size") % 4), F.lit("  return a; /* if */\n}\nclass K { // "), "p_name", F.lit("\n  int m() const { return x ? 1 : 2; }\n};\n"))
+    return function_metrics(t.part.select(F.col("p_partkey").alias("id"), code.alias("code"))).withColumnRenamed("id", "p_partkey")
+
+
 @query("o_s43_change", "select l_orderkey, l_linenumber, round(l_tax - l_discount, 6) as diff, round(case when l_discount <> 0 then 100 * (l_tax - l_discount) / abs(l_discount) else 0 end, 4) as percent, case when l_tax = l_discount then 'same' when l_tax < l_discount then 'better' else 'worse' end as status from lineitem")
 def _(t):
     v = t.lineitem.select("l_orderkey", "l_linenumber", *tx.change(c("l_tax"), c("l_discount"), higher_is_better=False))

@@ -16,14 +16,19 @@ def text(a, form="%.4f"):
     return F.array_join(F.transform(a, lambda x: F.format_string(form, x)), "|")
 
 
-def doubles(a, k=4):
-    return F.transform(F.slice(a, 1, k), lambda x: x.cast("double"))
+def doubles(a):
+    return F.transform(a, lambda x: x.cast("double"))
 
 
-LIST = "list_transform(embedding[1:4], lambda x: x::double)"
-BASE = "list_transform(embedding[2:5], lambda x: x::double)"
+def rows_of(a, size):
+    """A vector as rows of size."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / size).cast("int") - 1), lambda i: F.slice(doubles(a), i * size + 1, size))
+
+
+LIST = "list_transform(embedding, lambda x: x::double)"
+BASE = "list_transform(list_reverse(embedding), lambda x: x::double)"
 ZIP = f"list_zip({LIST}, {BASE})"
-base = lambda: F.transform(F.slice("embedding", 2, 4), lambda x: x.cast("double"))
+base = lambda: doubles(F.reverse("embedding"))
 
 for _k, _sql in (("k1", "z[1] - z[2]"), ("k2", "(z[1] - z[2]) * (z[1] - z[2]) / 2"), ("k3", "exp(z[2] - z[1]) - 1 + (z[1] - z[2])")):
     query(f"o_s44_kl_{_k}", f"select vec_id, array_to_string(list_transform({ZIP}, lambda z: printf('%.4f', {_sql})), '|') as kl from embeddings")(
@@ -40,10 +45,10 @@ def _(t):
 LSE = f"ln(list_sum(list_transform({LIST}, lambda x: exp(x))))"
 
 
-@query("o_s46_log_softmax", f"select vec_id, round({LSE}, 6) as lse, round({LIST}[(label % 4 + 1)::int] - {LSE}, 6) as logp from embeddings".replace("select vec_id", "select vec_id"))
+@query("o_s46_log_softmax", f"select vec_id, round({LSE}, 6) as lse, round({LIST}[(label * 7 % len(embedding) + 1)::int] - {LSE}, 6) as logp from embeddings".replace("select vec_id", "select vec_id"))
 def _(t):
     d = doubles("embedding")
-    return t.embeddings.select("vec_id", F.round(tr.log_sum_exp(d), 6).alias("lse"), F.round(tr.log_softmax_at(d, c("label") % 4), 6).alias("logp"))
+    return t.embeddings.select("vec_id", F.round(tr.log_sum_exp(d), 6).alias("lse"), F.round(tr.log_softmax_at(d, c("label") * 7 % F.size("embedding")), 6).alias("logp"))
 
 
 IDS = "range(1, p_size % 7 + 2)"
@@ -115,19 +120,19 @@ loss("o_l8_kto", f"case when l_linenumber % 2 = 0 then 1 - 1 / (1 + exp(-0.1 * (
 
 @query("o_l1_language_model")
 def _(t):
-    logits = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.transform(F.slice("embedding", i, 4), lambda x: x.cast("double")))
-    return t.embeddings.select("vec_id", F.round(tr.language_model_loss(logits, F.array(F.lit(0), c("label") % 4, F.lit(-100), F.lit(2))), 6).alias("loss"))
+    logits = rows_of(c("embedding"), 16)
+    return t.embeddings.select("vec_id", F.round(tr.language_model_loss(logits, F.array(F.lit(0), c("label") % 16, F.lit(-100), F.lit(2))), 6).alias("loss"))
 
 
-@query("o_l9_distillation", f"with l as (select vec_id, {LIST} as te, {BASE} as st from embeddings), s as (select *, ln(list_sum(list_transform(te, lambda x: exp(x)))) as t, ln(list_sum(list_transform(st, lambda x: exp(x)))) as s from l) select vec_id, round(-list_sum(list_transform(range(1, 5), lambda i: exp(te[i] - t) * (st[i] - s))), 6) as loss from s")
+@query("o_l9_distillation", f"with l as (select vec_id, {LIST} as te, {BASE} as st from embeddings), s as (select *, ln(list_sum(list_transform(te, lambda x: exp(x)))) as t, ln(list_sum(list_transform(st, lambda x: exp(x)))) as s from l) select vec_id, round(-list_sum(list_transform(range(1, len(te) + 1), lambda i: exp(te[i] - t) * (st[i] - s))), 6) as loss from s")
 def _(t):
     return t.embeddings.select("vec_id", F.round(tr.distillation_loss(base(), doubles("embedding")), 6).alias("loss"))
 
 
 @query("o_l10_process_reward")
 def _(t):
-    logits = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.transform(F.slice("embedding", i, 2), lambda x: x.cast("double")))
-    r = tr.process_reward_loss(logits, F.array(F.lit(1), F.lit(-100), c("label") % 2))
+    labels = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(i % 3 == 0, F.lit(1)).when(i % 3 == 1, F.lit(-100)).otherwise(c("label") % 2))
+    r = tr.process_reward_loss(rows_of(c("embedding"), 2), labels)
     return t.embeddings.select("vec_id", r.alias("r")).select("vec_id", F.round("r.loss", 6).alias("loss"), F.round("r.accuracy", 6).alias("accuracy"))
 
 

@@ -98,9 +98,9 @@ def _(t):
     return op.position_ids(t.lineitem, "l_orderkey", "l_returnflag", "l_extendedprice").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "position_id")
 
 
-@query("o_w12_unpack", "select vec_id, round(list_sum(list_transform(embedding[1:2], lambda x: x::double)), 6) as a, round(list_sum(list_transform(embedding[3:5], lambda x: x::double)), 6) as b from embeddings")
+@query("o_w12_unpack", "select vec_id, round(list_sum(list_transform(embedding[1:20], lambda x: x::double)), 6) as a, round(list_sum(list_transform(embedding[21:64], lambda x: x::double)), 6) as b from embeddings")
 def _(t):
-    parts = op.unpack(F.col("embedding"), F.array(F.lit(2), F.lit(3)))
+    parts = op.unpack(F.col("embedding"), F.array(F.lit(20), F.lit(44)))
     total = lambda k: F.aggregate(parts[k], F.lit(0.0), lambda s, x: s + x.cast("double"))
     return t.embeddings.select("vec_id", r6(total(0), "a"), r6(total(1), "b"))
 
