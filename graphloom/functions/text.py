@@ -49,7 +49,8 @@ def declaration_count(code: Column) -> Column:
 
     A kind's word counts where a word follows and it isn't itself the name after such a word (`enum class A` is one).
     A statement, which is what ends with a semicolon, declares a function if, but for qualifiers, it ends with a
-    closing parenthesis, and in what that one closes two words stand before an opening one.
+    closing parenthesis and, after any earlier closing one, two words stand before an opening one; so `return f(x);`
+    counts, and a function whose last parameter has parentheses doesn't.
     """
     c = strip_comments(code)
     words = F.regexp_extract_all(c, F.lit(r"\w+|[^\w\s]"), F.lit(0))
