@@ -206,20 +206,21 @@ def test_mixing(spark, rows, monkeypatch):
         sizes[s] += size(t)
     target = brute_targets(sizes, (5, 2, 1), 1.5, 2)
     seen = []
-    for bucket, window, sent in ((512, 1 << 14, 500_000), (2, 16, 500_000), (2, 16, 0), (2, 16, 0)):
+    for bucket, sent in ((512, 500_000), (2, 500_000), (2, 0), (2, 0)):
         monkeypatch.setattr(M, "BUCKET", bucket)
         monkeypatch.setattr(M, "MOST_SENT", sent)
-        monkeypatch.setattr(M.fit_budget, "__defaults__", (window,))
         got = [tuple(r) for r in M.mix_sources(frame(spark, rows)).collect()]
         seen.append(sorted(got, key=str))
         assert sorted((str(r[0]), r[1], r[2], r[3]) for r in got) == sorted((str(d), size(t), sizes[s], pytest.approx(target[s])) for d, t, s in rows)
         assert all(0 <= r[4] <= 2 * r[1] and r[4] == r[1] * r[5] for r in got)
-        of = {d: s for d, _, s in rows if d is not None}
-        near = defaultdict(int)
-        for d, _, whole, goal, taken, _ in got:
-            near[whole] += taken
-        for s in sizes:  # sizes of sources differ here
-            assert abs(near[sizes[s]] - target[s]) <= (1 if s in ("s1", "s2") else 60), (s, of and near[sizes[s]], target[s])
+        taken = defaultdict(int)
+        for _, _, whole, _, words, _ in got:
+            taken[whole] += words
+        assert len(set(sizes.values())) == len(sizes)  # a source is known by its size here
+        for s in sizes:
+            largest = max(size(t) for _, t, of in rows if of == s)
+            few = len({size(t) for _, t, of in rows if of == s}) < 5  # documents of one size or one alone: half of one may be missed
+            assert abs(taken[sizes[s]] - target[s]) <= (largest / 2 if few else 1), (s, taken[sizes[s]], target[s])
     assert seen[1] == seen[3] == seen[2]
     assert M.mix_sources(frame(spark, rows).limit(0)).count() == 0
     assert [(r.size, r.taken, r.target) for r in M.mix_sources(frame(spark, [(1, None, None), (2, "", "x")])).collect()] == [(0, 0, 0.0)] * 2
@@ -240,8 +241,8 @@ def test_nearest_sum_is_the_best():
         assert (abs(found - budget), found) == best
     sizes, counts = np.arange(1, 4000), np.full(3999, 50)
     whole = int((sizes * counts).sum())
-    for part in (0.1, 0.5, 0.937):
-        take = fit_budget(sizes, counts, whole * part)
+    for part, window in product((0.1, 0.5, 0.937), (1 << 14, 5000, 16)):
+        take = fit_budget(sizes, counts, whole * part, window)
         assert (take <= counts).all() and (take >= 0).all() and abs(int((sizes * take).sum()) - whole * part) <= 1
         assert abs(take / counts - part).max() <= 1  # no length is left out or used up
         assert np.abs(take[500:] - counts[500:] * part).max() <= 2
