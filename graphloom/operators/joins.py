@@ -80,16 +80,6 @@ def fan_out(edges: DataFrame, scope: DataFrame) -> DataFrame:
     return inside(inside(edges, "src"), "dst").groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("dsts"))
 
 
-def similar_pairs(rows: DataFrame, threshold: float, block: str = "block", id: str = "id", vector: str = "vector") -> DataFrame:
-    """Symmetric (src, dst, score) within blocks where the dot product is at least threshold."""
-    from graphloom.functions.vectors import dot
-
-    side = lambda p: rows.select(F.col(block).alias("b"), F.col(id).alias(f"{p}_id"), F.col(vector).alias(f"{p}_v"))
-    pairs = side("x").join(side("y"), "b").where("x_id < y_id").withColumn("score", dot(F.col("x_v"), F.col("y_v"))).where(F.col("score") >= threshold)
-    forth = pairs.select(F.col("x_id").alias("src"), F.col("y_id").alias("dst"), "score")
-    return forth.union(pairs.select("y_id", "x_id", "score"))
-
-
 def ranked_targets(ids: DataFrame, edges: DataFrame, most_rank: int, limit: int) -> DataFrame:
     """First-seen distinct targets of ids (id, pos) over edges (src, dst, rank) of good rank."""
     hits = ids.join(edges.where(F.col("rank") <= most_rank), F.col("id") == F.col("src"))

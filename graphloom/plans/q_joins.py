@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import joins as op
 from graphloom.operators.numbering import numbered
+from graphloom.operators.vector_join import similar_pairs
 from graphloom.plans.base import CALLS, Registry
 
 query = Registry()
@@ -92,7 +93,7 @@ _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[
 
 @query("o_j12_similar_pairs", f"with p as (select a.vec_id as src, b.vec_id as dst, round({_DOT}, 6) as score from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where true and {_DOT} >= 0.3) select * from p union all select dst, src, score from p")
 def _(t):
-    return op.similar_pairs(t.embeddings, 0.3, "label", "vec_id", "embedding").withColumn("score", F.round("score", 6))
+    return similar_pairs(t.embeddings, 0.3, "label", "vec_id", "embedding").withColumn("score", F.round("score", 6))
 
 
 @query("o_j15_ranked_targets", "with e as (select l_orderkey as src, l_suppkey as dst, l_linenumber as rank from lineitem), i as (select o_orderkey as id, row_number() over (order by o_orderkey desc) as pos from orders where o_orderstatus = 'P'), h as (select dst, min((pos, rank)) as place from i join e on e.src = i.id where rank <= 3 group by dst) select dst from h order by place, dst limit 25")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from graphloom.operators import retrieval as op
 from graphloom.operators.numbering import numbered
 from graphloom.plans.base import RING, Registry
+from graphloom.plans.q_sources import folder
+from graphloom.sources.pivot_table import PivotTable
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -28,6 +30,10 @@ def scored(t):
     return op.scored(rows(t), vector(t)).drop("vector")
 
 
+def stored(t):
+    return PivotTable(t.spark, folder(t, "vectors")).write(rows(t))
+
+
 def rounded(d):
     return d.withColumn("score", F.round("score", 6))
 
@@ -40,6 +46,11 @@ def _(t):
     return rounded(op.top_k(scored(t), 20, 0.1))
 
 
+@query("o_k1_stored_top_k", f"{R} ({SCORED}) where score >= 0.1 order by score desc, id limit 20")
+def _(t):
+    return rounded(stored(t).top_k(vector(t), 20, 0.1)).drop("vector")
+
+
 @query("o_k3_limit_then_threshold", f"{R} (select * from ({SCORED}) order by score desc, id limit 30) where score > 0.2")
 def _(t):
     return rounded(op.top_k_then_threshold(scored(t), 30, 0.2))
@@ -128,15 +139,27 @@ def _(t):
     return rounded(op.top_k_then_threshold(scored(t), 20, 0.3)).select("id", "score")
 
 
-@query("o_t8_decomposed", f"with s as (select e.vec_id as id, q.vec_id as q, {_DOT.format('e', 'q')} / ({_NORM.format('e')} * {_NORM.format('q')}) as score from embeddings e, (select vec_id, embedding from embeddings where vec_id in (0, 1, 2)) q), k as (select *, row_number() over (partition by q order by score desc, id) as rn from s) select id, round(max(score), 6) as score from k where rn <= 10 group by id")
-def _(t):
+DECOMPOSED = f"with s as (select e.vec_id as id, q.vec_id as q, {_DOT.format('e', 'q')} / ({_NORM.format('e')} * {_NORM.format('q')}) as score from embeddings e, (select vec_id, embedding from embeddings where vec_id in (0, 1, 2)) q), k as (select *, row_number() over (partition by q order by score desc, id) as rn from s) select id, round(max(score), 6) as score from k where rn <= 10 group by id"
+
+
+def best_of_queries(found):
     out = None
-    for i in (0, 1, 2):
-        part = op.top_k(op.scored(rows(t), vector(t, i)).drop("vector"), 10)
+    for part in found:
         out = part if out is None else out.union(part)
     return out.groupBy("id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
+@query("o_t8_decomposed", DECOMPOSED)
+def _(t):
+    return best_of_queries(op.top_k(op.scored(rows(t), vector(t, i)).drop("vector"), 10) for i in (0, 1, 2))
+
+
+@query("o_t8_stored", DECOMPOSED)
+def _(t):
+    held = stored(t)
+    return best_of_queries(held.top_k(vector(t, i), 10).drop("vector") for i in (0, 1, 2))
+
+
 @query("o_t9_select_indices", "select pos, id from (select row_number() over (order by vec_id) as pos, vec_id as id from embeddings where label = 5) where pos in (1, 3, 4)")
 def _(t):
     units = numbered(t.embeddings.where("label = 5").select(F.col("vec_id").alias("id")), ["id"], "pos")
