@@ -156,8 +156,10 @@ def similar_pairs(rows: DataFrame, threshold: float, block: str = "block", id: s
     if pivots is None:
         pivots = base.agg(F.sum(F.col("d") * 8)).first()[0] or 0
         pivots = min(MOST_PIVOTS, max(1, pivots // BUCKET_BYTES))
-    placed = to_pivots(base, "v", choose_pivots(base, "v", "id", pivots))
-    placed = cut(placed.drop("angle").withColumn("m", F.monotonically_increasing_id()))
+    placed = base.withColumn("cell", F.lit(0))  # all rows, where there is one pivot
+    if pivots > 1:
+        placed = to_pivots(base, "v", choose_pivots(base, "v", "id", pivots)).drop("angle")
+    placed = cut(placed.withColumn("m", F.monotonically_increasing_id()))
 
     key = ["b", "d", "cell"]
     sizes = placed.groupBy(*key).agg(F.ceil(F.count("*") * F.col("d") * 8 / BUCKET_BYTES).alias("parts"))
