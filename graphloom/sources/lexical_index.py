@@ -81,19 +81,24 @@ class LexicalIndex:
     def write(self, corpus: DataFrame) -> LexicalIndex:
         """Index all of corpus (doc_id, text; other columns are left out)."""
         split = corpus.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
-        split.sortWithinPartitions(F.size("t")).mapInArrow(_blocks, _SCHEMA).write.parquet(f"{self.path}/postings")
+        split.sortWithinPartitions(F.size("t")).mapInArrow(_blocks, _SCHEMA).write.option("compression", "zstd").parquet(f"{self.path}/postings")
         held = self.spark.read.schema(_SCHEMA).parquet(f"{self.path}/postings")
         stats = held.where("term is null").select(F.explode("lengths").alias("n")).agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"))
         stats = self.spark.createDataFrame([stats.first()], stats.schema)
         mean = stats.first().mean or 1.0
         weights = F.zip_with("tf", "lengths", lambda t, n: _weight(t, n, mean, self.k1, self.b))
-        held.where("term is not null").select("term", "block", F.size("docs").alias("n"), F.array_max(weights).alias("most")).write.parquet(f"{self.path}/bounds")
+        held.where("term is not null").select("term", "block", F.size("docs").alias("n"), F.array_max(weights).cast("float").alias("most")).write.option("compression", "zstd").parquet(f"{self.path}/bounds")
         stats.coalesce(1).write.parquet(f"{self.path}/stats")
         return self
 
+    def _of(self, what: str, asked: DataFrame) -> DataFrame:
+        """Rows of a table whose term is asked for; they are picked before they are shuffled, where the terms are few."""
+        terms = asked.select("term").distinct()
+        return self._read(what).join(F.broadcast(terms) if terms.count() <= MOST_TERMS else terms, "term", "left_semi")
+
     def _scores(self, wanted: DataFrame, asked: DataFrame, mean: float) -> DataFrame:
         """(query_id, doc_id, score) of all documents in wanted (query_id, block); asked: query_id, term, times."""
-        read = wanted.join(asked, "query_id").join(self._read("postings").where("term is not null"), ["block", "term"])
+        read = wanted.join(asked, "query_id").join(self._of("postings", asked), ["block", "term"])
         each = read.select("query_id", "times", F.inline(F.arrays_zip("docs", "tf", "lengths")))
         one = F.col("times") * _weight(F.col("tf"), F.col("lengths"), mean, self.k1, self.b)
         return each.groupBy("query_id", F.col("docs").alias("doc_id")).agg(F.sum(one).alias("score"))
@@ -108,17 +113,14 @@ class LexicalIndex:
 
         stats = self._read("stats").first()
         q = cut(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf")))
-        terms = q.select("term").distinct()
-        if terms.count() <= MOST_TERMS:  # else Spark decides how to join
-            terms = F.broadcast(terms)
-        met = cut(self._read("bounds").join(terms, "term"))
+        met = cut(self._of("bounds", q))
         df = met.groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.log((stats.docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         asked = cut(q.join(df, "term").select("query_id", "term", (F.col("qf") * idf).alias("times")))
         bounds = cut(met.join(asked, "term").groupBy("query_id", "block").agg(F.sum(F.col("times") * F.col("most")).alias("bound")))
         best = bounds.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).where(F.col("at") <= PROBES)
         floor = self._ranked(self._scores(best.select("query_id", "block"), asked, stats.mean)).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-        wanted = bounds.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-6))
+        wanted = bounds.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") * (1 - 1e-5) - 1e-6))
         return cut(wanted.select("query_id", "block")), bounds, asked
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
