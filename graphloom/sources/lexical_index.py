@@ -1,51 +1,64 @@
-"""A stored inverted index for BM25 whose blocks carry maxima, so that a search reads only blocks that can matter.
+"""A stored inverted index for BM25 whose blocks carry maxima, so that a search scores only blocks that can matter.
 
-    path/postings   (block, term, docs, tf, lengths): a term's postings in one block of documents
-    path/bounds     (term, block, n, most): their number and the largest weight that any of them has, without idf
+    path/postings   a row a block: its documents, their lengths, its terms, and for each term how many postings it has,
+                    with their documents' places in the block and frequencies, one list after the other
+    path/bounds     a row a block: its terms, how many postings each has and the largest weight among them, without idf
     path/stats      documents, those with a term, mean length; one row, written last
 
 A block is a run of documents of like length that lie in one partition, at most BLOCK_DOCS of them or BLOCK_TOKENS tokens
 (a longer text is a block of its own). Texts are tokenised once, where they lie; writing shuffles nothing, and no term,
 however frequent, gathers in one task.
 
-A search adds up, for each query and block, the maxima of the query's terms: an upper bound of all scores in the block. The
-blocks of the PROBES best bounds of a query are scored; its k-th score there is a floor. Of other blocks only those
-whose bound reaches the floor are read. What remains is a query's best k by partition, then of all partitions.
+A search takes queries in parts of about PART_TERMS (query, term) pairs; a part is sent to all tasks. The maxima of a
+query's terms add up to an upper bound of all scores in a block. The blocks of the PROBES best bounds of a query are
+scored first; its k-th score there is a floor, and of other blocks only those whose bound reaches the floor are scored.
+A block's scores are summed where the block lies, so that only a query's best k of a task are shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import tokens
-from graphloom.operators.retrieval import MOST_TERMS
 
-BLOCK_DOCS, BLOCK_TOKENS, PROBES = 32, 1 << 18, 8
-_SCHEMA = "block long, term string, docs array<long>, tf array<int>, lengths array<int>"
+BLOCK_DOCS, BLOCK_TOKENS, PROBES, PART_TERMS = 32, 1 << 18, 8, 200_000
+#: Sums that are added up at once in a task.
+SUMS = 1 << 21
+_POSTINGS = "block long, docs array<long>, lengths array<int>, terms array<string>, n array<int>, place array<int>, tf array<int>"
+_BOUNDS = "block long, terms array<string>, n array<int>, most array<float>"
+
+
+class Asked(NamedTuple):
+    """A part of the queries, by term: the pairs starts[t] to starts[t + 1] name the queries that hold terms[t]."""
+
+    ids: pa.Array
+    terms: pa.Array
+    starts: np.ndarray
+    query: np.ndarray
+    times: np.ndarray
+
+
+def _one(values, kind) -> pa.Array:
+    """A list column of one row."""
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def _block(number: int, docs: list[int], lengths: list[int], words: list[pa.Array]) -> pa.RecordBatch:
-    """The postings of one block's documents, and a row without term that has the lengths of all."""
-    size = np.array(lengths, np.int64)
     coded = pa.concat_arrays([w.cast(pa.string()) for w in words]).dictionary_encode()
-    place = np.repeat(np.arange(len(docs)), size)
+    place = np.repeat(np.arange(len(docs)), np.array(lengths, np.int64))
     keys, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(docs) + place, return_counts=True)
-    code, place = keys // len(docs), keys % len(docs)
-    starts = np.searchsorted(code, np.arange(len(coded.dictionary) + 1))
-    ends = lambda values: pa.array(np.append(starts, starts[-1] + values), pa.int32())
-    lists = lambda a, kind, own=(): pa.ListArray.from_arrays(ends(len(own)), pa.array(np.append(a, np.array(own, a.dtype)), kind))
-    ids = np.array(docs, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(coded.dictionary) + 1, number), pa.int64()), pa.concat_arrays([coded.dictionary, pa.array([None], pa.string())]),
-            lists(ids[place], pa.int64()), lists(tf, pa.int32()), lists(size[place], pa.int32(), lengths),
-        ],
-        names=["block", "term", "docs", "tf", "lengths"],
-    )
+    n = np.bincount(keys // len(docs), minlength=len(coded.dictionary))
+    columns = [_one(docs, pa.int64()), _one(lengths, pa.int32()), _one(coded.dictionary, None), _one(n, pa.int32()), _one(keys % len(docs), pa.int32()), _one(tf, pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], names=["block", "docs", "lengths", "terms", "n", "place", "tf"])
 
 
 def _blocks(batches):
@@ -65,10 +78,48 @@ def _blocks(batches):
         yield _block(number, docs, lengths, words)
 
 
-def _weight(tf: Column, length: Column, mean: float, k1: float, b: float) -> Column:
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values, end to end, and where each row's begin (and the last ends)."""
+    column = batch.column(name)
+    return column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)))
+
+
+def _found(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As _lists, of terms as their places among those asked for, or -1."""
+    column = batch.column("terms")
+    at = pc.fill_null(pc.index_in(column.flatten().cast(pa.string()), value_set=terms), -1)
+    return at.to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)))
+
+
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0] to begin[0] + n[0] - 1, then begin[1] onward."""
+    ends = np.cumsum(n)
+    return np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)
+
+
+def _weight(tf: np.ndarray, length: np.ndarray, mean: float, k1: float, b: float) -> np.ndarray:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 
+def _pairs(a: Asked, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For terms of a block (places among those asked for): the pairs' queries, times, and which of the terms they hold."""
+    n = a.starts[found + 1] - a.starts[found]
+    pairs = _ranges(a.starts[found], n)
+    return a.query[pairs], a.times[pairs], np.repeat(np.arange(len(found)), n)
+
+
+def _reaches(bound: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Bounds are kept as floats: with room for rounding."""
+    return (bound > 0) & (bound >= floor * (1 - 1e-5) - 1e-6)
+
+
+def _best(query: np.ndarray, score: np.ndarray, id: np.ndarray, k: int) -> np.ndarray:
+    """Which are a query's k largest; of equal scores (to nine places) those of larger id."""
+    order = np.lexsort((-id, -np.round(score, 9), query))
+    by = query[order]
+    return order[np.arange(len(by)) - np.searchsorted(by, by) < k]
+
+
 class LexicalIndex:
     """doc_id is unique; rows without one take no part. Null and empty texts count as documents of no length."""
 
@@ -80,51 +131,166 @@ class LexicalIndex:
 
     def write(self, corpus: DataFrame) -> LexicalIndex:
         """Index all of corpus (doc_id, text; other columns are left out)."""
-        split = corpus.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
-        split.sortWithinPartitions(F.size("t")).mapInArrow(_blocks, _SCHEMA).write.option("compression", "zstd").parquet(f"{self.path}/postings")
-        held = self.spark.read.schema(_SCHEMA).parquet(f"{self.path}/postings")
-        stats = held.where("term is null").select(F.explode("lengths").alias("n")).agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"))
+        k1, b = self.k1, self.b
+        texts = corpus.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").sortWithinPartitions(F.length("text"))
+        split = texts.select("doc_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
+        split.mapInArrow(_blocks, _POSTINGS).write.option("compression", "zstd").parquet(f"{self.path}/postings")
+        held = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings")
+        stats = held.select(F.explode("lengths").alias("n")).agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"))
         stats = self.spark.createDataFrame([stats.first()], stats.schema)
         mean = stats.first().mean or 1.0
-        weights = F.zip_with("tf", "lengths", lambda t, n: _weight(t, n, mean, self.k1, self.b))
-        held.where("term is not null").select("term", "block", F.size("docs").alias("n"), F.array_max(weights).cast("float").alias("most")).write.option("compression", "zstd").parquet(f"{self.path}/bounds")
+
+        def bounds(batches):
+            for batch in batches:
+                (lengths, at), (n, by), (place, to), (tf, _) = (_lists(batch, c) for c in ("lengths", "n", "place", "tf"))
+                weights = _weight(tf, lengths[np.repeat(at[:-1], np.diff(to)) + place], mean, k1, b)
+                most = np.maximum.reduceat(weights, np.cumsum(n) - n) if len(n) else weights
+                most = pa.ListArray.from_arrays(pa.array(by, pa.int32()), pa.array(most, pa.float32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "terms", "n")), most], names=["block", "terms", "n", "most"])
+
+        held.mapInArrow(bounds, _BOUNDS).write.option("compression", "zstd").parquet(f"{self.path}/bounds")
         stats.coalesce(1).write.parquet(f"{self.path}/stats")
         return self
 
-    def _of(self, what: str, asked: DataFrame) -> DataFrame:
-        """Rows of a table whose term is asked for; they are picked before they are shuffled, where the terms are few."""
-        terms = asked.select("term").distinct()
-        return self._read(what).join(F.broadcast(terms) if terms.count() <= MOST_TERMS else terms, "term", "left_semi")
+    def _parts(self, queries: DataFrame):
+        """The queries in parts. Only a part's pairs are on the driver at once, and in a task."""
+        from graphloom.operators.graph import cut
+
+        stats = self._read("stats").first()
+        words = queries.where("query_id is not null").select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
+        q = cut(words.groupBy("query_id", "term").agg(F.count("*").alias("qf")))
+        parts = max(1, -(-q.count() // PART_TERMS))
+        for part in range(parts):
+            rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow().combine_chunks()
+            ids, terms = (rows[c].combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+            code = terms.indices.to_numpy(zero_copy_only=False)
+            named = terms.dictionary.cast(pa.string())
 
-    def _scores(self, wanted: DataFrame, asked: DataFrame, mean: float) -> DataFrame:
-        """(query_id, doc_id, score) of all documents in wanted (query_id, block); asked: query_id, term, times."""
-        read = wanted.join(asked, "query_id").join(self._of("postings", asked), ["block", "term"])
-        each = read.select("query_id", "times", F.inline(F.arrays_zip("docs", "tf", "lengths")))
-        one = F.col("times") * _weight(F.col("tf"), F.col("lengths"), mean, self.k1, self.b)
-        return each.groupBy("query_id", F.col("docs").alias("doc_id")).agg(F.sum(one).alias("score"))
+            def counts(batches, named=named):
+                for batch in batches:
+                    found, n = _found(batch, named)[0], _lists(batch, "n")[0]
+                    df = np.bincount(found[found >= 0], n[found >= 0], minlength=len(named)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(df)), pa.array(df[df > 0])], ["at", "df"])
 
-    def _ranked(self, scores: DataFrame) -> DataFrame:
-        return scores.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.desc("doc_id"))))
+            df = np.zeros(len(named))
+            for r in self._read("bounds").select("terms", "n").mapInArrow(counts, "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).collect():  # a row a term asked for
+                df[r["at"]] = r.df
+            idf = np.log((stats.docs - df + 0.5) / (df + 0.5) + 1)
+            order = np.argsort(code, kind="stable")
+            starts = np.append(0, np.cumsum(np.bincount(code, minlength=len(named))))
+            times = rows["qf"].to_numpy() * idf[code]
+            yield Asked(ids.dictionary, named, starts, ids.indices.to_numpy(zero_copy_only=False)[order], times[order])
 
-    def plan(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """What a search reads: (query_id, block) that can reach the best k, of all (query_id, block, bound) that share a
-        term, and (query_id, term, times) with times = idf and the query's own count of the term."""
-        from graphloom.operators.graph import cut
+    def _met(self, asked: Asked, kind: str, floor: np.ndarray | None = None, most: int | None = None) -> DataFrame:
+        """(at, query_id, block, bound): blocks that share a term with a query (at: its place) and reach its floor; at most the best of a batch."""
+        sent = self.spark.sparkContext.broadcast((asked, np.full(len(asked.ids), -np.inf) if floor is None else floor))
 
-        stats = self._read("stats").first()
-        q = cut(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf")))
-        met = cut(self._of("bounds", q))
-        df = met.groupBy("term").agg(F.sum("n").alias("df"))
-        idf = F.log((stats.docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        asked = cut(q.join(df, "term").select("query_id", "term", (F.col("qf") * idf).alias("times")))
-        bounds = cut(met.join(asked, "term").groupBy("query_id", "block").agg(F.sum(F.col("times") * F.col("most")).alias("bound")))
-        best = bounds.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).where(F.col("at") <= PROBES)
-        floor = self._ranked(self._scores(best.select("query_id", "block"), asked, stats.mean)).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-        wanted = bounds.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") * (1 - 1e-5) - 1e-6))
-        return cut(wanted.select("query_id", "block")), bounds, asked
+        def run(batches):
+            a, least = sent.value
+            for batch in batches:
+                (found, to), (weights, _), numbers = _found(batch, a.terms), _lists(batch, "most"), batch.column("block").to_numpy()
+                query, block, bound = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+                for i, number in enumerate(numbers):
+                    own = np.flatnonzero(found[to[i] : to[i + 1]] >= 0) + to[i]
+                    q, times, which = _pairs(a, found[own])
+                    sums = np.bincount(q, times * weights[own][which], minlength=len(a.ids))
+                    query.append(np.flatnonzero(_reaches(sums, least)))
+                    block.append(np.full(len(query[-1]), number))
+                    bound.append(sums[query[-1]])
+                query, block, bound = (np.concatenate(x) for x in (query, block, bound))
+                if most is not None:
+                    keep = _best(query, bound, -block, most)
+                    query, block, bound = query[keep], block[keep], bound[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(query), a.ids.take(pa.array(query)), pa.array(block), pa.array(bound)], ["at", "query_id", "block", "bound"])
+
+        return self._read("bounds").select("block", "terms", "most").mapInArrow(run, f"at long, query_id {kind}, block long, bound double")
+
+    def _scores(self, asked: Asked, kind: str, k: int | None = None, floor: np.ndarray | None = None, only: dict[int, list[int]] | None = None) -> DataFrame:
+        """(at, query_id, doc_id, score) of documents in blocks that reach the floor (only: in a query's blocks named there); at most k of a batch."""
+        sent = self.spark.sparkContext.broadcast((asked, np.full(len(asked.ids), -np.inf) if floor is None else floor, only))
+        mean, k1, b = self._read("stats").first().mean, self.k1, self.b
+
+        def run(batches):
+            a, least, named = sent.value
+            slot = np.zeros(len(a.ids), np.int64)
+            for batch in batches:
+                found, to = _found(batch, a.terms)
+                (docs, at), (lengths, _), (n, _), (place, by), (tf, _) = (_lists(batch, c) for c in ("docs", "lengths", "n", "place", "tf"))
+                query, doc, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+                for i, number in enumerate(batch.column("block").to_pylist()):
+                    own = np.flatnonzero(found[to[i] : to[i + 1]] >= 0)
+                    many = n[to[i] : to[i + 1]]
+                    begin, many = (by[i] + np.cumsum(many) - many)[own], many[own]
+                    if not len(own):
+                        continue
+                    lies = _ranges(begin, many)  # the postings of terms asked for
+                    where = place[lies].astype(np.int64)
+                    weights = _weight(tf[lies], lengths[at[i] + where], mean, k1, b)
+                    begin = np.cumsum(many) - many
+                    q, times, which = _pairs(a, found[to[i] + own])
+                    wanted = _reaches(np.bincount(q, times * np.maximum.reduceat(weights, begin)[which], minlength=len(a.ids)), least)
+                    if named is not None:
+                        listed = np.zeros(len(a.ids), bool)
+                        listed[named.get(number, [])] = True
+                        wanted &= listed
+                    keep = wanted[q]
+                    q, times, which = q[keep], times[keep], which[keep]
+                    rows, size = np.flatnonzero(wanted), at[i + 1] - at[i]
+                    slot[rows] = np.arange(len(rows))
+                    sums = np.zeros(len(rows) * size)
+                    ends = np.cumsum(many[which])
+                    done = 0
+                    while done < len(q):
+                        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + SUMS)))
+                        each = many[which[done:upto]]
+                        lies = _ranges(begin[which[done:upto]], each)
+                        sums += np.bincount(np.repeat(slot[q[done:upto]] * size, each) + where[lies], np.repeat(times[done:upto], each) * weights[lies], minlength=len(sums))
+                        done = upto
+                    hit = np.flatnonzero((sums > 0) & (sums >= np.repeat(least[rows] * (1 - 1e-9) - 1e-8, size)))
+                    query.append(rows[hit // size])
+                    doc.append(docs[at[i] + hit % size])
+                    score.append(sums[hit])
+                query, doc, score = (np.concatenate(x) for x in (query, doc, score))
+                if k is not None:
+                    keep = _best(query, score, doc, k)
+                    query, doc, score = query[keep], doc[keep], score[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(query), a.ids.take(pa.array(query)), pa.array(doc), pa.array(score)], ["at", "query_id", "doc_id", "score"])
+
+        rows = self._read("postings")
+        if only is not None:
+            rows = rows.join(F.broadcast(self.spark.createDataFrame([(b,) for b in only], "block long")), "block", "left_semi")  # at most PROBES a query of the part
+        return rows.mapInArrow(run, f"at long, query_id {kind}, doc_id long, score double")
+
+    def _ranked(self, scores: DataFrame, k: int) -> DataFrame:
+        best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.desc("doc_id")))
+        return scores.withColumn("rank", best).where(F.col("rank") <= k)
+
+    def _floor(self, asked: Asked, kind: str, k: int) -> np.ndarray:
+        """By query: its k-th score in the blocks of its best bounds, or minus infinity."""
+        nth = F.row_number().over(W.partitionBy("at").orderBy(F.desc("bound"), "block"))
+        only: dict[int, list[int]] = {}
+        for r in self._met(asked, kind, most=PROBES).withColumn("nth", nth).where(F.col("nth") <= PROBES).collect():  # PROBES rows a query of the part
+            only.setdefault(r.block, []).append(r["at"])
+        floor = np.full(len(asked.ids), -np.inf)
+        for r in self._ranked(self._scores(asked, kind, k, only=only), k).where(F.col("rank") == k).collect():  # a row a query of the part
+            floor[r["at"]] = r.score
+        return floor
+
+    def plan(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, list[Asked]]:
+        """What a search scores: (query_id, block, bound) that can reach the best k, and all that share a term; the parts."""
+        kind = queries.schema["query_id"].dataType.simpleString()
+        parts = [(a, self._floor(a, kind, k)) for a in self._parts(queries)]
+        both = ([self._met(a, kind, floor).drop("at") for a, floor in parts], [self._met(a, kind).drop("at") for a, _ in parts])
+        return *(reduce(DataFrame.union, x) for x in both), [a for a, _ in parts]
+
+    def scores(self, queries: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score) of all documents that share a term with a query, without an exchange."""
+        kind = queries.schema["query_id"].dataType.simpleString()
+        return reduce(DataFrame.union, [self._scores(a, kind).drop("at") for a in self._parts(queries)])
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, doc_id, score, rank) of queries (query_id, text): the best k documents that share a term, equal scores
-        by falling doc_id. A query's repeated terms count repeatedly; rows of one query_id are one query."""
-        wanted, _, asked = self.plan(queries, k)
-        return self._ranked(self._scores(wanted, asked, self._read("stats").first().mean)).where(F.col("rank") <= k)
+        by falling doc_id. A query's repeated terms count repeatedly; rows of one query_id are one query; those without are none."""
+        kind = queries.schema["query_id"].dataType.simpleString()
+        found = [self._ranked(self._scores(a, kind, k, self._floor(a, kind, k)), k).drop("at") for a in self._parts(queries)]
+        return reduce(DataFrame.union, found)

@@ -56,3 +56,27 @@ def test_empty_index_and_no_queries(spark, tmp_path):
     held = li.LexicalIndex(spark, f"file://{tmp_path}/s").write(some)
     assert held.search(ask.limit(0), 3).collect() == []
     assert [(r.doc_id, r.rank) for r in held.search(ask, 1 << 20).orderBy("rank").collect()] == [(2, 1), (1, 2)]
+
+
+def test_parts_of_queries_and_slices_of_sums(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(li, "PART_TERMS", 4)
+    corpus = corpus_of(300, seed=9)
+    queries = [(f"q{i}", f"name{i} w{i} w1") for i in range(12)] + [(None, "w1")]
+    held = li.LexicalIndex(spark, f"file://{tmp_path}/i").write(spark.createDataFrame(corpus, "doc_id long, text string"))
+    q = spark.createDataFrame(queries, "query_id string, text string")
+    assert len(held.plan(q, 4)[2]) > 3
+    assert sorted((r.query_id, r.doc_id, r.rank) for r in held.search(q, 4).collect()) == ranked(corpus, queries[:-1], 4)
+    assert sorted((r.query_id, r.doc_id) for r in held.scores(q).collect()) == sorted(x[:2] for x in ranked(corpus, queries[:-1], 1000))
+
+
+def test_sums_in_slices_equal_those_at_once():
+    """_ranges and _best, on which a block's sums rest, against loops."""
+    import numpy as np
+
+    r = random.Random(3)
+    begin, n = np.array([r.randint(0, 50) for _ in range(40)]), np.array([r.randint(0, 6) for _ in range(40)])
+    assert li._ranges(begin, n).tolist() == [b + i for b, m in zip(begin.tolist(), n.tolist()) for i in range(m)]
+    query, score, ids = (np.array([r.randint(0, m) for _ in range(500)]) for m in (9, 5, 10**6))
+    want = sorted(sorted((i for i in range(500) if query[i] == q), key=lambda i: (-score[i], -ids[i]))[:7] for q in range(10))
+    got = li._best(query, score.astype(float), ids, 7).tolist()
+    assert sorted([i for i in got if query[i] == q] for q in range(10)) == want
