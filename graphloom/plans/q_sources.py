@@ -22,9 +22,9 @@ def folder(t, name):
 
 @query("o_i1_markdown", "select source, doc_id, md5(text) as digest from documents")
 def _(t):
-    at = folder(t, "md")  # a folder a source, in which documents are parted by a control character
+    at = folder(t, "md")  # a folder a source, with at most 128 documents in a file, parted by a control character
     rows = t.documents.select("source", F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text").alias("value"))
-    rows.repartition("source").write.partitionBy("source").option("lineSep", "\x03").text(at)
+    rows.hint("rebalance", "source").write.partitionBy("source").option("maxRecordsPerFile", 128).option("lineSep", "\x03").text(at)
     d = io.read_markdown(t.spark, at, "*.txt").select(F.replace("source", F.lit("source="), F.lit("")).alias("source"), F.explode(F.split("content", "\x03")).alias("doc")).where("doc <> ''")
     return d.select("source", F.regexp_extract("doc", "^(\\d+):", 1).cast("long").alias("doc_id"), F.md5(F.regexp_replace("doc", "^\\d+:", "")).alias("digest"))
 
@@ -71,8 +71,10 @@ def _(t):
 @query("o_i8_dual_shape", "select case when user_id % 2 = 0 then 'even' else 'unknown' end as test_type, event_id from events")
 def _(t):
     at = folder(t, "results")
-    r = t.events.groupBy((F.col("user_id") % 10).alias("user_id")).agg(F.to_json(F.collect_list(F.struct("event_id"))).alias("r"))
-    r.select(F.when(F.col("user_id") % 2 == 0, F.concat(F.lit('{"metadata":{"test_type":"even"},"results":'), "r", F.lit("}"))).otherwise(F.col("r")).alias("value"), "user_id").repartition(6, "user_id").write.partitionBy("user_id").text(at)
+    even = (F.col("user_id") % 2 == 0).alias("even")  # a file holds the events of one parity in a run of 2000 ids
+    r = t.events.groupBy(even, F.floor(F.col("event_id") / 2000).alias("run")).agg(F.to_json(F.collect_list(F.struct("event_id"))).alias("r"))
+    shape = F.when(F.col("even"), F.concat(F.lit('{"metadata":{"test_type":"even"},"results":'), "r", F.lit("}"))).otherwise(F.col("r"))
+    r.select(shape.alias("value")).write.option("maxRecordsPerFile", 1).text(at)
     return io.read_results(t.spark, at, "event_id: bigint").select("test_type", "result.event_id")
 
 
