@@ -69,7 +69,7 @@ def test_parts_of_queries_and_slices_of_sums(spark, tmp_path, monkeypatch):
     assert sorted((r.query_id, r.doc_id) for r in held.scores(q).collect()) == sorted(x[:2] for x in ranked(corpus, queries[:-1], 1000))
 
 
-def test_sums_in_slices_equal_those_at_once():
+def test_ranges_and_best_against_loops():
     """_ranges and _best, on which a block's sums rest, against loops."""
     import numpy as np
 
