@@ -360,3 +360,22 @@ def test_property_graph(spark):
     assert rows(g.components()) == [(1, 1), (2, 1), (3, 3)]
     assert g.subgraph(spark.range(3)).edges.count() == 2
     assert rows(with_defaults(v.withColumn("label", F.lit(None).cast("string")), {"label": "", "body": "-"}).select("label", "body").distinct()) == [("", "-")]
+
+
+def test_calls_by_symbol_against_all_pairs(spark, monkeypatch):
+    """Bundles of a few ids, repeated rows, nodes of several symbols, nulls; pairs of nodes of one symbol are not shuffled."""
+    monkeypatch.setattr(jn, "BUNDLE", 3)
+    calls = [(i % 40, "ab"[i % 2]) for i in range(60)] + [(1, "b"), (2, "c"), (None, "a"), (3, None), (4, "nowhere")]
+    nodes = [(100 + i % 20, "a") for i in range(30)] + [(200 + i, "b") for i in range(10)] + [(100, "b"), (300, "c"), (300, "a"), (None, "b"), (301, None)]
+    got = jn.calls_by_symbol(spark.createDataFrame(calls, "src long, symbol string"), spark.createDataFrame(nodes, "id long, symbol string"))
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(s, d) for s, x in calls for d, y in nodes if x is not None and x == y}
+
+
+def test_calls_by_symbol_shuffles_no_pairs(spark):
+    """3,000 callers and 3,000 nodes of one symbol: nine million edges, a few thousand rows in the exchanges."""
+    side = lambda c: spark.range(3000).select(F.col("id").alias(c), F.lit("x").alias("symbol"))
+    out = jn.calls_by_symbol(side("src"), side("id"))
+    assert out.count() == 9_000_000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Repartition")  # unfolded after the last exchange
