@@ -65,9 +65,19 @@ def explode_members(owners: DataFrame, functions: DataFrame, owner: str, members
 
 
 def canonical(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
-    """wanted (id, symbol, file) to the candidate (cid, symbol, file, seq): of the same file if there's one, else the first."""
-    c = candidates.select("cid", "symbol", F.col("file").alias("cfile"), "seq")
-    return first_per(wanted.join(c, "symbol"), ["id"], [F.desc(F.col("file") == F.col("cfile")), F.col("seq")]).select("id", "cid")
+    """wanted (id, symbol, file) to the candidate (cid, symbol, file, seq): of the same file if there's one, else the first.
+
+    A row of wanted is held against four rows at most, whatever its symbol has: the first candidate of its file, of
+    those with a file, and of all. Candidates without a file come last, but for a row that has none either.
+    """
+    place = F.struct("seq", "cid")
+    c = candidates.where("symbol is not null")
+    of_file = c.where("file is not null").groupBy("symbol", "file").agg(F.min(place).alias("__same"))
+    of_symbol = c.groupBy("symbol").agg(F.min(F.struct(F.col("file").isNull().alias("bare"), "seq", "cid")).alias("__named"), F.min(place).alias("__any"))
+    met = wanted.select("id", "symbol", "file").join(of_symbol, "symbol").join(of_file, ["symbol", "file"], "left")
+    other = F.when(F.col("file").isNull(), F.struct(F.lit(2).alias("k"), "__any.seq", "__any.cid")).otherwise(F.struct((F.col("__named.bare").cast("int") + 1).alias("k"), "__named.seq", "__named.cid"))
+    best = F.when(F.col("__same").isNotNull(), F.struct(F.lit(0).alias("k"), "__same.seq", "__same.cid")).otherwise(other)
+    return met.groupBy("id").agg(F.min(best)["cid"].alias("cid"))
 
 
 def owner_dependencies(members: DataFrame, calls: DataFrame) -> DataFrame:

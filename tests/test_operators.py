@@ -379,3 +379,22 @@ def test_calls_by_symbol_shuffles_no_pairs(spark):
     assert out.count() == 9_000_000
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Repartition")  # unfolded after the last exchange
+
+
+def test_canonical_against_all_candidates(spark):
+    """As the scan orders them: same file, other file, none; then seq. One symbol with many rows is not paired."""
+    import random
+
+    r = random.Random(3)
+    pick = lambda: r.choice(["f1", "f2", "f3", None])
+    wanted = [(i, r.choice(["s", "t", "u", None]), pick()) for i in range(60)]
+    cands = [(i, r.choice(["s", "t", None]), r.choice(["f1", "f2", "f8", None]), i * 7 % 41) for i in range(40)] + [(99, "u", None, 1)]
+    order = lambda f, g: 2 if f is None or g is None else int(f != g)
+    want = []
+    for i, s, f in wanted:
+        own = sorted((order(f, g), q, c) for c, x, g, q in cands if s is not None and x == s)
+        want += [(i, own[0][2])] if own else []
+    w, c = spark.createDataFrame(wanted, "id long, symbol string, file string"), spark.createDataFrame(cands, "cid long, symbol string, file string, seq long")
+    assert sorted(tuple(r) for r in jn.canonical(w, c).collect()) == want
+    big = jn.canonical(spark.range(20_000).select("id", F.lit("s").alias("symbol"), F.col("id").cast("string").alias("file")), spark.range(20_000).select(F.col("id").alias("cid"), F.lit("s").alias("symbol"), F.lit("f").alias("file"), F.col("id").alias("seq")))
+    assert big.agg(F.count("*"), F.max("cid")).first() == (20_000, 0)  # 400 million pairs, were they made
