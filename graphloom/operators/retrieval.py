@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import tokens
 from graphloom.functions.vectors import cosine
 
 
@@ -32,37 +31,17 @@ def top_k_per(rows: DataFrame, group: list[str], k: int, id: str = "id") -> Data
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("score"), id))).where(F.col("rank") <= k)
 
 
-#: Distinct terms of queries up to which they are sent to all tasks.
-MOST_TERMS = 500_000
-
-
 def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): the best k documents that share a term with a query.
 
-    An inverted index by equi-join on terms: documents that share no term are never paired. A query's repeated
-    terms count repeatedly. The sums of a pair are partially aggregated before they are shuffled.
+    An inverted index of blocks of documents, in the scratch folder: a block's documents are scored where they lie, so that
+    only a query's best k of a task are shuffled, and never its pairs. A query's repeated terms count repeatedly. doc_id is
+    unique; rows without one take no part.
     """
-    from graphloom.operators.graph import cut
+    from graphloom.shared import scratch
+    from graphloom.sources.lexical_index import LexicalIndex
 
-    q = cut(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf")))
-    asked = q.select("term").distinct()
-    if asked.count() <= MOST_TERMS:  # else Spark decides how to join
-        asked = F.broadcast(asked)
-    # Texts are tokenised once. What is kept: a document's first row, with its length, and its rows of terms that are asked for.
-    split = corpus.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("length"), F.posexplode_outer("t").alias("pos", "term"))
-    met = split.join(asked.withColumn("asked", F.lit(True)), "term", "left").where("asked or coalesce(pos, 0) = 0")
-    kept = cut(met.groupBy("doc_id", "length", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("first")))
-    total, docs, mean = kept.agg(F.sum("first"), F.count_if((F.col("first") > 0) & (F.col("length") > 0)), F.sum(F.col("first") * F.col("length"))).first()
-    if not docs:
-        return q.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    mean /= total
-    tf = kept.where("term is not null")
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    weighted = tf.join(idf, "term").select("doc_id", "term", w.alias("w"))
-    pairs = q.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.desc("doc_id")))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    return LexicalIndex(corpus.sparkSession, scratch(corpus.sparkSession, "bm25"), k1, b).write(corpus).search(queries, k).select("query_id", "doc_id", "score", "rank")
 
 
 def retrieve(rows: DataFrame, edges: DataFrame, query: list[float], per_graph: int, depth: int, limit: int, threshold: float) -> DataFrame:
