@@ -193,13 +193,14 @@ def rounds(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     return out if out is not None else todo.withColumn("round", F.lit(0))
 
 
-def propagate(edges: DataFrame, starts: DataFrame, changes) -> DataFrame:
+def propagate(edges: DataFrame, starts: DataFrame, changes, most_rounds: int | None = None) -> DataFrame:
     """(id, round): worklist along edges; changes (a function of a DataFrame with id) says which of the nodes reached
-    change, and those pass the work on. Every node is handled once a round and passes on once."""
+    change, and those pass the work on. Every node is handled once a round and passes on once. Ends when nothing
+    changes, or after most_rounds."""
     seen = cut(starts.select("id").distinct().withColumn("round", F.lit(0)))
     steps = cut(edges.select(F.col("src").alias("id"), "dst").distinct())
     frontier, k = seen, 0
-    while not frontier.isEmpty():
+    while k != most_rounds and not frontier.isEmpty():
         k += 1
         reached = frontier.join(steps, "id").select(F.col("dst").alias("id")).distinct()
         frontier = cut(changes(reached.join(seen, "id", "left_anti")).select("id").withColumn("round", F.lit(k)))

@@ -398,3 +398,21 @@ def test_canonical_against_all_candidates(spark):
     assert sorted(tuple(r) for r in jn.canonical(w, c).collect()) == want
     big = jn.canonical(spark.range(20_000).select("id", F.lit("s").alias("symbol"), F.col("id").cast("string").alias("file")), spark.range(20_000).select(F.col("id").alias("cid"), F.lit("s").alias("symbol"), F.lit("f").alias("file"), F.col("id").alias("seq")))
     assert big.agg(F.count("*"), F.max("cid")).first() == (20_000, 0)  # 400 million pairs, were they made
+
+
+def test_propagate_ends_after_its_rounds(spark, tmp_path):
+    """A ring on which some nodes are further than 30 rounds away: o_g25_propagate goes as far as its SQL."""
+    from graphloom.operators.graph import propagate
+
+    chain = spark.range(12).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert propagate(chain, spark.range(1), lambda d: d, 5).agg(F.max("round"), F.count("*")).first() == (5, 6)
+    assert propagate(chain, spark.range(1), lambda d: d).agg(F.max("round"), F.count("*")).first() == (12, 13)
+    duckdb = pytest.importorskip("duckdb")
+    from graphloom.plans import q_graph
+
+    spark.range(100_000).select(F.col("id").alias("vec_id")).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(q_graph.ORACLES["o_g25_propagate"]).fetchall()
+    got = [tuple(r) for r in q_graph.QUERIES["o_g25_propagate"](spark, str(tmp_path)).select("id", "round").collect()]
+    assert sorted(got) == sorted(want)
