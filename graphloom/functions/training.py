@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import let
+
 IGNORED = -100
 
 
@@ -31,8 +33,8 @@ def adaptive_coefficient(initial: float, kls: Column, target: float, horizon: in
 
 
 def log_sum_exp(a: Column) -> Column:
-    m = F.array_max(a)
-    return m + F.ln(total(F.transform(a, lambda x: F.exp(x - m))))
+    within = lambda a: let(F.array_max(a), lambda m: m + F.ln(total(F.transform(a, lambda x: F.exp(x - m)))))
+    return let(a, within)
 
 
 def log_softmax_at(logits: Column, i: Column) -> Column:
@@ -131,8 +133,12 @@ def language_model_loss(logits: Column, labels: Column) -> Column:
 
 def distillation_loss(student: Column, teacher: Column) -> Column:
     """Cross-entropy of the teacher's distribution under the student's, for one token's logits."""
-    t, s = log_sum_exp(teacher), log_sum_exp(student)
-    return -total(F.zip_with(teacher, student, lambda a, b: F.exp(a - t) * (b - s)))
+
+    def within(p: Column) -> Column:
+        norms = F.struct(log_sum_exp(p["t"]).alias("t"), log_sum_exp(p["s"]).alias("s"))
+        return let(norms, lambda n: -total(F.zip_with(p["t"], p["s"], lambda a, b: F.exp(a - n["t"]) * (b - n["s"]))))
+
+    return let(F.struct(teacher.alias("t"), student.alias("s")), within)
 
 
 def process_reward_loss(logits: Column, labels: Column) -> Column:

@@ -416,3 +416,15 @@ def test_propagate_ends_after_its_rounds(spark, tmp_path):
     want = con.execute(q_graph.ORACLES["o_g25_propagate"]).fetchall()
     got = [tuple(r) for r in q_graph.QUERIES["o_g25_propagate"](spark, str(tmp_path)).select("id", "round").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_expressions_compute_a_value_once(spark):
+    """What several places of an expression need is written once, and not within the lambdas that use it."""
+    from graphloom.functions import training as tr
+
+    times = lambda x, what: spark.range(1).select(F.lit("int a_b = f(x);").alias("c"), F.array(F.lit(1.0), F.lit(2.0)).alias("v")).select(x.alias("r"))._jdf.queryExecution().analyzed().toString().split("\n")[0].count(what)
+    assert times(tx.halstead(F.col("c")), "regexp_extract_all(") == 1
+    assert times(tx.naming_consistency(F.col("c")), "regexp_extract_all(") == 1
+    assert times(tx.declaration_count(F.col("c")), "regexp_extract_all(") == 2  # words, and statements
+    assert times(tr.distillation_loss(F.reverse(F.col("v")), F.col("v")), "array_max(") == 2
+    assert times(tr.log_sum_exp(F.col("v")), "array_max(") == 1
