@@ -40,3 +40,10 @@ def test_functions_by_hand(spark):
     mine = {n: (a, b, nloc, c) for i, n, a, b, nloc, c in got if i == 1}
     # find: for, if, &&, ||, ?, two cases, catch, while: nine decisions; line 16 is blank, line 17 a comment
     assert mine == {"~A": (7, 7, 1, 1), "get": (8, 8, 1, 1), "A::find": (12, 24, 11, 10), "A": (6, 6, 1, 1)}
+
+
+def test_files_are_read_where_they_lie(spark):
+    out = function_metrics(spark.createDataFrame([(1, CODE)], "id long, code string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    assert dict(out.dtypes) == {"id": "bigint", "name": "string", "start_line": "bigint", "end_line": "bigint", "nloc": "bigint", "complexity": "bigint"}
