@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.operators.windows import coalesce_small
+from graphloom.shared import small_batches, trim
 
 SEPARATORS = ("\n\n", "\n", " ", "")
+#: Characters of pieces that a task passes on at once.
+PASSED = 1 << 20
 
 
 def sections(docs: DataFrame, depth: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -54,13 +58,27 @@ def split_text(text: str, size: int, overlap: int, length=len, separators: tuple
 
 
 def recursive_split(docs: DataFrame, size: int = 600, overlap: int = 100, length=len, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, ordinal, content); length is any function of a text, say a token count."""
-
-    @F.pandas_udf("array<string>")
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: split_text(x or "", size, overlap, length))
-
-    return docs.select(id, F.posexplode(split(text)).alias("ordinal", "content"))
+    """(id, ordinal, content); length is any function of a text, say a token count. Texts come and go in batches of a few MB."""
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(id, F.col(text).alias("__text"))
+    schema = T.StructType([rows.schema[0], T.StructField("ordinal", T.IntegerType()), T.StructField("content", T.StringType())])
+
+    def split(batches):
+        for batch in batches:
+            at, ordinals, contents, held = [], [], [], 0
+            for i, t in enumerate(batch.column(1)):
+                pieces = split_text(t.as_py() or "", size, overlap, length)
+                at += [i] * len(pieces)
+                ordinals += range(len(pieces))
+                contents += pieces
+                held += sum(map(len, pieces))
+                if held >= PASSED or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ordinals, pa.int32()), pa.array(contents, pa.string())], names=schema.names)
+                    at, ordinals, contents, held = [], [], [], 0
+            trim()
+
+    return rows.mapInArrow(split, schema)
 
 
 def merge_small(chunks: DataFrame, least: int = 200, id: str = "doc_id") -> DataFrame:

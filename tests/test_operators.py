@@ -428,3 +428,15 @@ def test_expressions_compute_a_value_once(spark):
     assert times(tx.declaration_count(F.col("c")), "regexp_extract_all(") == 2  # words, and statements
     assert times(tr.distillation_loss(F.reverse(F.col("v")), F.col("v")), "array_max(") == 2
     assert times(tr.log_sum_exp(F.col("v")), "array_max(") == 1
+
+
+def test_recursive_split_passes_pieces_on(spark, monkeypatch):
+    """Texts come in batches of a few MB and pieces leave in runs, not a column of 10,000 texts at a time."""
+    from graphloom.shared import BATCH, BATCH_BYTES
+
+    texts = [(i, "word " * (i % 50) + "\n\n" + "x" * (i % 7)) for i in range(200)] + [(900, None), (901, "")]
+    monkeypatch.setattr(sg, "PASSED", 100)
+    spark.conf.unset(BATCH)
+    out = sg.recursive_split(spark.createDataFrame(texts, "doc_id long, text string"), 50, 10)
+    assert spark.conf.get(BATCH) == str(BATCH_BYTES) and "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted((i, k, p) for i, t in texts for k, p in enumerate(sg.split_text(t or "", 50, 10)))
