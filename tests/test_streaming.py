@@ -155,3 +155,18 @@ def test_barrier_waits_for_all(spark):
     assert sorted(got) == [(*r, i) for i, r in enumerate(sorted(rows))]
     with pytest.raises(Exception, match="submitted nothing: \\[1\\]"):
         in_barrier(table_.where("actor <> 1"), 3, run, "actor long, seq long, place long").collect()
+
+
+def test_a_draw_sorts_only_its_last_range(spark):
+    """The same rows as a sort of all with a limit, without one task that takes them."""
+    from graphloom.streaming.incremental import earliest
+
+    rows, order = spark.range(5000).repartition(3), [F.xxhash64(F.lit(0), "id"), F.col("id")]
+    for most in (0, 1, 1700, 4999, 5000, 9000):
+        drawn, n = earliest(rows, order, most)
+        assert n == min(most, 5000)
+        assert sorted(r.id for r in drawn.collect()) == sorted(r.id for r in rows.orderBy(*order).limit(most).collect())
+    drawn, _ = earliest(rows, order, 1700)
+    last = drawn._jdf.queryExecution().analyzed().toString()
+    assert "Union" in last and last.index("Union") < last.index("GlobalLimit")  # the limit is on the last range only
+    assert earliest(rows.limit(0), order, 5)[1] == 0
