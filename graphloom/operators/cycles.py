@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.graph import cut
 
+#: So many paths an edge cost less than the search for strongly connected components.
+PATHS = 8
+
 
 def _trimmed(e: DataFrame) -> DataFrame:
     """Edges of nodes that have both in- and out-edges, again and again: what is left has a cycle, or is empty."""
@@ -76,27 +79,45 @@ def inner_edges(edges: DataFrame) -> DataFrame:
     return cut(inside.where("a = b").select("src", "dst"))
 
 
-def cycles(edges: DataFrame, max_length: int) -> DataFrame:
-    """(cycle): simple cycles of at most max_length edges, each once, from its smallest node.
+def _met_half_way(e: DataFrame, max_length: int, most: int | None) -> DataFrame | None:
+    """The cycles of distinct edges e by length, or None where either kind of paths becomes more than most.
 
-    Paths grow only inside strongly connected components, and only from a component's nodes to larger ones; a graph
-    without cycles never has a path.
+    A cycle is a path out of its smallest node and one back into it that share no other node. For each length the
+    kind of which there are fewer grows by an edge, and then both are joined on their two ends.
     """
-    e = inner_edges(edges)
-    now = cut(e.where("src <= dst").select(F.array("src").alias("path"), F.col("dst").alias("next")))
-    out = None
-    for length in range(1, max_length + 1):
-        done = now.where(F.col("next") == F.col("path")[0]).select(F.col("path").alias("cycle"))
-        out = done if out is None else out.union(done)
-        if length == max_length:
-            break
-        on = now.where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next")))
-        now = cut(on.join(e, F.col("next") == F.col("src")).select(F.concat("path", F.array("next")).alias("path"), F.col("dst").alias("next")))
-        if now.isEmpty():
+    meet = (F.col("next") == F.col("back")[0]) & (F.col("path")[0] == F.col("last")) & ~F.arrays_overlap("path", "back")
+    there = cut(e.where("src < dst").select(F.array("src").alias("path"), F.col("dst").alias("next")))
+    back = cut(e.where("src > dst").select(F.array("src").alias("back"), F.col("dst").alias("last")))
+    n, m = there.count(), back.count()
+    out = e.where("src = dst").select(F.array("src").alias("cycle"))
+    for length in range(2, max_length + 1):
+        if length > 2 and n <= m:
+            on = there.select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("src")).join(e, "src")
+            there = cut(on.where((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))).select("path", F.col("dst").alias("next")))
+            n = there.count()
+        elif length > 2:
+            on = back.withColumn("dst", F.col("back")[0]).join(e, "dst")
+            back = cut(on.where((F.col("src") > F.col("last")) & ~F.array_contains("back", F.col("src"))).select(F.concat(F.array("src"), "back").alias("back"), "last"))
+            m = back.count()
+        if not n or not m:
             break
+        if most is not None and max(n, m) > most:
+            return None
+        out = out.union(there.join(back, meet).select(F.concat("path", "back").alias("cycle")))
     return out
 
 
+def cycles(edges: DataFrame, max_length: int) -> DataFrame:
+    """(cycle): simple cycles of at most max_length edges, each once, from its smallest node.
+
+    Paths go only from a node to larger ones, and only half way round. Where they become more than PATHS an edge, they
+    are begun again inside strongly connected components only; a graph without cycles has no path there.
+    """
+    e = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    out = _met_half_way(e, max_length, PATHS * e.count())
+    return _met_half_way(inner_edges(e), max_length, None) if out is None else out
+
+
 def explicit_cycles(rest: DataFrame, edges: DataFrame) -> DataFrame:
     """(cycle, position, id): one cycle for each part of what a topological order leaves over (rest: id), in the direction of the edges.
 

@@ -60,6 +60,26 @@ def test_no_path_grows_without_a_cycle(spark, monkeypatch):
     assert C.strong_components(nodes_of(spark, 3), graph(spark, [])).where("id = component").count() == 3
 
 
+def test_short_cycles_need_no_components(spark, monkeypatch):
+    n = 3000
+    pairs = [(i, (a * i + b) % n) for i in range(n) for a, b in ((7, 1), (13, 5))]  # two permutations: all is one component or few
+    monkeypatch.setattr(C, "strong_components", None)
+    for most in range(1, 7):
+        found = [tuple(r.cycle) for r in C.cycles(graph(spark, pairs), most).collect()]
+        assert len(found) == len(set(found)) and set(found) == brute_cycles(set(pairs), n, most)
+
+
+@pytest.mark.parametrize("paths", [0, 1000])
+def test_cycles_of_every_length(spark, monkeypatch, paths):
+    rng, n = random.Random(4), 9
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(26)] + [(None, 2), (2, None), (1, 1), (1, 1)]
+    monkeypatch.setattr(C, "PATHS", paths)
+    want = brute_cycles({p for p in pairs if None not in p}, n, n)
+    found = [tuple(r.cycle) for r in C.cycles(graph(spark, pairs), n + 3).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert C.cycles(graph(spark, []), 5).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_explicit_cycle(spark, seed):
     rng, n = random.Random(seed), 40
