@@ -72,8 +72,9 @@ def packing_offsets(rows: DataFrame, batch: str, order: str, length: str, multip
     )
 
 
-def position_ids(rows: DataFrame, row: str, segment: str, order: str) -> DataFrame:
-    return rows.withColumn("position_id", F.row_number().over(W.partitionBy(row, segment).orderBy(order)) - 1)
+def position_ids(rows: DataFrame, row: str, segment: str, order: str, *ties: str) -> DataFrame:
+    """position_id: places from 0 in each segment of a row by order, then by ties; rows without an order come last, as in SQL."""
+    return rows.withColumn("position_id", F.row_number().over(W.partitionBy(row, segment).orderBy(*(F.col(c).asc_nulls_last() for c in (order, *ties)))) - 1)
 
 
 def unpack(values: Column, lengths: Column) -> Column:

@@ -95,7 +95,7 @@ def _(t):
 
 @query("o_w11_position_ids", "select l_orderkey, l_linenumber, l_quantity, l_extendedprice, (row_number() over (partition by l_orderkey, l_returnflag order by l_extendedprice) - 1)::int as position_id from lineitem")
 def _(t):
-    return op.position_ids(t.lineitem, "l_orderkey", "l_returnflag", "l_extendedprice").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "position_id")
+    return op.position_ids(t.lineitem, "l_orderkey", "l_returnflag", "l_extendedprice", "l_linenumber", "l_quantity").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "position_id")
 
 
 @query("o_w12_unpack", "select vec_id, round(list_sum(list_transform(embedding[1:20], lambda x: x::double)), 6) as a, round(list_sum(list_transform(embedding[21:64], lambda x: x::double)), 6) as b from embeddings")
